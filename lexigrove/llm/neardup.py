@@ -110,19 +110,20 @@ def frequent_shingles(reps: DataFrame, n: int, total: int, share: float = COMMON
     return dict(zip(rows["h"], rows["df"]))
 
 
-class Weights:
-    """TF-IDF weight of shingles: (1 + ln tf) x (1 + idf), idf = ln(total / df) scaled to reach 1 at COMMON_SHARE."""
+def weight_table(frequent: dict[int, int], total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted frequent shingles and their idf = ln(total / df), scaled to reach 1 at COMMON_SHARE; last the 1 of all others."""
+    keys = np.sort(np.array(list(frequent), np.int64).view(np.uint64))
+    df = np.array([frequent[int(k)] for k in keys.view(np.int64)], np.float64)
+    return keys, np.append(np.clip(np.log(total / np.maximum(df, 1)) / np.log(1 / COMMON_SHARE), 0, 1), 1.0)
 
-    def __init__(self, frequent: dict[int, int], total: int) -> None:
-        self.keys = np.sort(np.array(list(frequent), np.int64).view(np.uint64))
-        df = np.array([frequent[int(k)] for k in self.keys.view(np.int64)], np.float64)
-        self.idf = np.append(np.clip(np.log(total / np.maximum(df, 1)) / np.log(1 / COMMON_SHARE), 0, 1), 1.0)
 
-    def __call__(self, h: np.ndarray, tf: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.keys, h)
-        if len(self.keys):
-            at[self.keys[np.minimum(at, len(self.keys) - 1)] != h] = len(self.keys)
-        return (1 + np.log(tf)) * (1 + self.idf[at])
+def weigh(table: tuple[np.ndarray, np.ndarray], h: np.ndarray, tf: np.ndarray) -> np.ndarray:
+    """TF-IDF weights of shingles: (1 + ln tf) x (1 + idf)."""
+    keys, idf = table
+    at = np.searchsorted(keys, h)
+    if len(keys):
+        at[keys[np.minimum(at, len(keys) - 1)] != h] = len(keys)
+    return (1 + np.log(tf)) * (1 + idf[at])
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -173,7 +174,7 @@ def signatures(reps: DataFrame, n: int, weights) -> DataFrame:
                     end += 1
                 h, text, tf = _distinct(*_shingles(norms[at:end], hashes, n))
                 starts = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
-                s = weighted_samples(h, weights.value(h, tf), starts, BANDS * PER_BAND)
+                s = weighted_samples(h, weigh(weights.value, h, tf), starts, BANDS * PER_BAND)
                 keys = np.zeros((len(starts), BANDS), np.uint64)
                 for k in range(PER_BAND):
                     keys = mix(keys * np.uint64(31) + s[:, k::PER_BAND].astype(np.uint64))
@@ -201,7 +202,7 @@ def verified(pairs: DataFrame, n: int, weights, bound: float, least: float) -> D
             keep, ws, js = [], [], []
             for k, (ta, tb) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
                 h, text, tf = _distinct(*_shingles([ta, tb], hashes, n))
-                w = weights.value(h, tf)
+                w = weigh(weights.value, h, tf)
                 cut = int(np.searchsorted(text, 1))
                 _, i, j = np.intersect1d(h[:cut], h[cut:], assume_unique=True, return_indices=True)
                 shared = np.minimum(w[:cut][i], w[cut:][j]).sum()
@@ -237,7 +238,7 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, n: int = 5, lea
     members = texts.groupBy("id").agg(F.max("fp").alias("fp"))
     reps = materialise(texts.groupBy("fp").agg(F.first("norm").alias("norm")))
     total = reps.count()
-    weights = spark.sparkContext.broadcast(Weights(frequent_shingles(reps, n, total), total))
+    weights = spark.sparkContext.broadcast(weight_table(frequent_shingles(reps, n, total), total))
     sigs = materialise(signatures(reps, n, weights))
     rows = sigs.select("fp", "size", F.posexplode("keys").alias("band", "key"))
     a, b = rows.select("band", "key", F.col("fp").alias("a"), F.col("size").alias("sa")), rows.select("band", "key", F.col("fp").alias("b"), F.col("size").alias("sb"))
