@@ -71,3 +71,8 @@ def broadcast_if_small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) ->
 
 def empty_like(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
+
+
+def beside(df: DataFrame, row: DataFrame) -> DataFrame:
+    """df with the columns of `row`, a DataFrame of exactly one row (an aggregate without groups)."""
+    return df.withColumn("_one", F.lit(1)).join(F.broadcast(row.withColumn("_one", F.lit(1))), "_one").drop("_one")

@@ -1 +1 @@
-
+"""Readers of documents, queries, annotations and runs."""
