@@ -1,7 +1,10 @@
 """All queries of the core and their SQL."""
 
-from lexigrove.catalog import rows
+from lexigrove.catalog import analytics, retrieval, rows
 
-QUERIES = {**rows.QUERIES}
-SQL = {**rows.SQL}
-FLAGSHIP = "p3_found"
+_MODULES = [retrieval, analytics, rows]
+
+QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
+
+FLAGSHIP = "combine_dirichlet"

@@ -42,7 +42,7 @@ def passage_scores(c: Collection, psgs: DataFrame, terms: list[str], mu: float =
     out = F.lit(0.0)
     for t in terms:
         if t in cf:
-            tf = F.size(F.filter("terms", lambda x, t=t: x == t))
+            tf = F.size("terms") - F.size(F.array_remove("terms", t))
             out = out + F.log((tf + mu * cf[t] / total) / (n + mu))
     return psgs.select("doc_id", "psg_id", n.alias("size"), out.alias("score"))
 

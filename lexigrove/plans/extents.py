@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lexigrove.collection import Collection
 from lexigrove.plans import ast as A
+from lexigrove.session import materialise
 
 #: Terms that a wildcard may stand for.
 WILDCARD_TERMS = 100
@@ -132,17 +133,22 @@ class Extents:
         return f.join(self.of(node).select("doc_id", "begin", "end").distinct(), ["doc_id", "begin", "end"], "left_semi")
 
 
-def descendants(fields: DataFrame, outer: DataFrame, depth: int = 32) -> DataFrame:
-    """(doc_id, ordinal) of all fields below the outer ones; one join a level, as deep as documents are, `depth` at most."""
-    tree = fields.select("doc_id", "ordinal", "parent")
-    level = outer.select("doc_id", "ordinal").distinct()
+def descendants(fields: DataFrame, outer: DataFrame) -> DataFrame:
+    """(doc_id, ordinal) of all fields below the outer ones: one written join a level, until a level brings none.
+
+    Ordinals count from 1; fields without one (0) have no place in the tree. Parents that form a ring end the walk too.
+    """
+    tree = fields.filter("ordinal > 0 and parent > 0").select("doc_id", "ordinal", "parent")
+    level = outer.filter("ordinal > 0").select("doc_id", "ordinal").distinct()
     found = None
-    for _ in range(depth):
-        level = tree.join(level.select("doc_id", F.col("ordinal").alias("parent")), ["doc_id", "parent"]).select("doc_id", "ordinal")
+    while True:
+        level = tree.join(level.select("doc_id", F.col("ordinal").alias("parent")), ["doc_id", "parent"]).select("doc_id", "ordinal").distinct()
+        if found is not None:
+            level = level.join(found, ["doc_id", "ordinal"], "left_anti")
+        level = materialise(level)
         found = level if found is None else found.unionAll(level)
         if level.isEmpty():
-            break
-    return found.distinct()
+            return found
 
 
 def inside(inner: DataFrame, outer: DataFrame) -> DataFrame:

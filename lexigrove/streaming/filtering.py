@@ -137,11 +137,11 @@ def rsj_weights(terms: DataFrame, judged: DataFrame, queries: DataFrame) -> Data
     judged(target_id, stream_id, relevant) is made distinct; the least judgment of an item holds.
     """
     j = judged.groupBy("target_id", "stream_id").agg(F.min(F.col("relevant").cast("int")).alias("rel"))
-    sizes = j.groupBy("target_id").agg(F.count("*").alias("N"), F.sum("rel").alias("R"))
+    sizes = j.groupBy("target_id").agg(F.count("*").alias("all"), F.sum("rel").alias("all_rel"))
     labels = queries.filter("kind = 'label'").select("target_id", "term")
     hits = j.join(terms.select("stream_id", "term"), "stream_id").join(labels, ["target_id", "term"]).groupBy("target_id", "term").agg(F.count("*").alias("n"), F.sum("rel").alias("r"))
     rows = labels.join(sizes, "target_id").join(hits, ["target_id", "term"], "left").fillna(0, ["n", "r"])
-    weight = F.log((F.col("r") + 0.5) * (F.col("N") - F.col("n") + 0.5) / ((F.col("n") - F.col("r") + 0.5) * (F.col("R") - F.col("r") + 0.5)))
+    weight = F.log((F.col("r") + 0.5) * (F.col("all") - F.col("n") + 0.5) / ((F.col("n") - F.col("r") + 0.5) * (F.col("all_rel") - F.col("r") + 0.5)))
     return rows.select("target_id", "term", weight.alias("weight"))
 
 
@@ -181,30 +181,32 @@ def poisson(tf: Column, rate: Column) -> Column:
     return tf * F.log(rate) - rate - log_factorial(tf)
 
 
-def mixture(counts: DataFrame, delta: float = 0.1, rounds: int = 100) -> tuple[float, float, float]:
+def mixture(counts: DataFrame, delta: float = 1e-6, rounds: int = 200) -> tuple[float, float, float]:
     """(share, rate of the topic, rate of the background) of two Poisson distributions in counts(tf, n), by expectation-maximisation until the log likelihood moves by delta at most.
 
-    counts is how many documents have a term tf times: a table of distinct counts, aggregated before. Each round is one aggregation.
+    counts says how many documents have a term tf times. It is summed by tf in Spark; what comes to the driver is a row
+    for each distinct tf, of which there are no more than a document has tokens.
     """
     import math
 
-    row = counts.agg(F.sum("n"), F.sum(F.col("tf") * F.col("n")), F.max("tf")).first()
-    if not row[0]:
+    rows = [(r[0], r[1]) for r in counts.groupBy("tf").agg(F.sum("n")).collect() if r[0] is not None and r[1]]
+    docs = sum(n for _, n in rows)
+    if not docs:
         return 0.0, 0.0, 0.0
-    mean = row[1] / row[0]
-    share, hi, lo, last = 0.5, max(mean * 2, 1e-6), max(mean / 2, 1e-6), -math.inf
+    mean = sum(tf * n for tf, n in rows) / docs
+    share, hi, lo, last = 0.5, max(max(tf for tf, _ in rows), 1e-6), max(mean / 2, 1e-6), -math.inf
     for _ in range(rounds):
-        a, b = F.log(F.lit(share)) + poisson(F.col("tf"), F.lit(hi)), F.log(F.lit(1 - share)) + poisson(F.col("tf"), F.lit(lo))
-        top = F.greatest(a, b)
-        both = top + F.log(F.exp(a - top) + F.exp(b - top))
-        r = F.exp(a - both)
-        n = F.col("n")
-        s = counts.agg(F.sum(n * both), F.sum(n * r), F.sum(n * r * F.col("tf")), F.sum(n * F.col("tf"))).first()
-        share = min(max(s[1] / row[0], 1e-9), 1 - 1e-9)
-        hi, lo = max(s[2] / max(s[1], 1e-12), 1e-9), max((s[3] - s[2]) / max(row[0] - s[1], 1e-12), 1e-9)
-        if abs(s[0] - last) <= delta:
+        total = weight = hits = 0.0
+        for tf, n in rows:
+            a, b = math.log(share) + tf * math.log(hi) - hi, math.log(1 - share) + tf * math.log(lo) - lo
+            both = max(a, b) + math.log1p(math.exp(-abs(a - b)))
+            r = math.exp(a - both)
+            total, weight, hits = total + n * both, weight + n * r, hits + n * r * tf
+        share = min(max(weight / docs, 1e-9), 1 - 1e-9)
+        hi, lo = max(hits / max(weight, 1e-12), 1e-9), max((mean * docs - hits) / max(docs - weight, 1e-12), 1e-9)
+        if abs(total - last) <= delta:
             break
-        last = s[0]
+        last = total
     return share, hi, lo
 
 
