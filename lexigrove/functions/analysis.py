@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lexigrove.functions.columns import let
+
 #: What counts as a token after lower-casing; the same in every engine with ASCII classes.
 SIMPLE = r"[a-z0-9]+"
 
@@ -221,7 +223,12 @@ def split_cases(text: Column) -> Column:
 
 def ngrams(words: Column, n: int) -> Column:
     """Blank-joined runs of n words; an array of fewer words has none."""
-    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.array_join(F.slice(words, i + 1, n), " "))).otherwise(F.array().cast("array<string>"))
+
+    def made(w: Column) -> Column:
+        starts = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.array_join(F.slice(w, i + 1, n), " "))
+        return F.when(F.size(w) >= n, starts).otherwise(F.array().cast("array<string>"))
+
+    return let(words, made)
 
 
 def phrases(text: Column) -> Column:
@@ -245,8 +252,13 @@ def sanitised(text: Column) -> Column:
 
 
 def term_frequencies(words: Column) -> Column:
-    """map<string,int> of an array of words."""
-    return F.map_from_entries(F.transform(F.array_distinct(words), lambda w: F.struct(w, F.size(F.filter(words, lambda x: x == w)))))
+    """map<string,int> of an array of words: sorted, so that equal words are runs whose ends differ from what follows."""
+
+    def made(w: Column) -> Column:
+        ends = F.filter(F.transform(w, lambda x, i: F.struct(x.alias("w"), i.alias("i"), (x == F.get(w, i + 1)).alias("on"))), lambda e: ~F.coalesce(e["on"], F.lit(False)))
+        return let(ends, lambda e: F.map_from_entries(F.transform(e, lambda x, k: F.struct(x["w"], (x["i"] - F.when(k > 0, F.get(e, k - 1)["i"]).otherwise(-1)).cast("int")))))
+
+    return let(F.array_sort(F.filter(words, lambda x: x.isNotNull())), made)
 
 
 def log_factorial(n: Column) -> Column:

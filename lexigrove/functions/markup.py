@@ -51,7 +51,7 @@ def parse(text: str | None, rules: Markup = Markup(), url: str = "") -> dict:
     text = text or ""
     tokens: list[tuple[str, int, int]] = []
     extents: list[list] = [["document", 0, 0, None, 1, 0]]
-    stack: list[tuple[str, int | None, int]] = []  # tag, extent index, text offset
+    stack: list[tuple[str, int | None, int, str]] = []  # canonical tag, extent index, text offset, tag as written
     meta: dict[str, str] = {}
     links: list[tuple[str, int, int]] = []
     hidden = shown = 0
@@ -60,7 +60,7 @@ def parse(text: str | None, rules: Markup = Markup(), url: str = "") -> dict:
     def close(upto: int, at: int) -> None:
         nonlocal hidden, shown
         while len(stack) > upto:
-            name, k, begin = stack.pop()
+            name, k, begin, _ = stack.pop()
             if k is not None:
                 extents[k][2] = len(tokens)
                 if name == "a" and extents[k][3] is not None:
@@ -76,7 +76,7 @@ def parse(text: str | None, rules: Markup = Markup(), url: str = "") -> dict:
             if not hidden and (shown or not rules.include):
                 tokens.append((m.group("word").lower(), m.start(), m.end()))
             continue
-        name = (m.group("name") or "").lower()
+        name = written = (m.group("name") or "").lower()
         if not name:
             continue
         attrs = {a.lower(): html.unescape(v.strip("\"'")) for a, v in _ATTR.findall(m.group("attrs") or "")}
@@ -84,7 +84,7 @@ def parse(text: str | None, rules: Markup = Markup(), url: str = "") -> dict:
         for a, v in attrs.items():
             name = rules.conflate.get((name, a, v), rules.conflate.get((name, a, None), name))
         if m.group("close"):
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
+            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][3] == written), None)
             if at is not None:
                 close(at, m.start())
             continue
@@ -97,7 +97,7 @@ def parse(text: str | None, rules: Markup = Markup(), url: str = "") -> dict:
             target = normal_url(attrs["href"], base) if name == "a" and attrs.get("href") else None
             extents.append([name, len(tokens), len(tokens), target, k + 1, parent])
         if name not in VOID and not m.group("self"):
-            stack.append((name, k, m.end()))
+            stack.append((name, k, m.end(), written))
             hidden += name in rules.exclude
             shown += name in rules.include
     close(0, len(text))

@@ -62,6 +62,9 @@ def _quoted(terms: list[tuple[str, float]]) -> str:
 
 
 def _mixed(query: str, weight: float, terms: list[tuple[str, float]]) -> str:
+    """The query beside weighted terms; without any term the query itself."""
+    if not any(w for _, w in terms):
+        return f"#combine( {query} )"
     return f"#weight( {weight:g} #combine( {query} ) {1 - weight:g} #weight( {_quoted(terms)} ) )"
 
 
@@ -118,7 +121,7 @@ def expand_rocchio(c: Collection, query: str, docs: int = 10, terms: int = 10, w
     top = ranked(Compiler(c, config).run(parse(query)), docs)
     for r in rocchio_model(c, top, docs, k1, b, weight).orderBy(F.desc("weight"), "term").limit(terms).collect():
         model[r["term"]] = model.get(r["term"], 0.0) + r["weight"]
-    return f"#weight( {_quoted(sorted(model.items()))} )"
+    return f"#weight( {_quoted(sorted(model.items()))} )" if any(model.values()) else query
 
 
 def clarity(c: Collection, query: str, docs: int = 5, terms: int = 10, mu: float = 0.0, config: Config | None = None) -> DataFrame:

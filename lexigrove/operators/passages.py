@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexigrove.collection import Collection
+from lexigrove.functions.columns import let
 from lexigrove.operators.inspect import term_stats
 from lexigrove.plans.compile import Compiler
 from lexigrove.session import beside
@@ -15,16 +16,20 @@ from lexigrove.session import beside
 def cut(terms: Column, size: int = 150, overlap: int = 50) -> Column:
     """array<array<string>>: runs of `size` terms that share `overlap` with the next; a tail of at most `overlap` new terms joins the last run."""
     step = size - overlap
-    n = F.size(terms)
-    extra = F.greatest(n - size, F.lit(0))
-    whole = F.floor(extra / step).cast("int")
-    tail = extra - whole * step
-    runs = F.transform(
-        F.sequence(F.lit(0), whole),
-        lambda i: F.slice(terms, i * step + 1, F.when((i == whole) & (tail <= overlap), F.lit(size) + tail).otherwise(F.lit(size)).cast("int")),
-    )
-    last = F.slice(terms, (whole + 1) * step + 1, F.lit(size))
-    return F.when(n == 0, F.array().cast("array<array<string>>")).when(tail > overlap, F.concat(runs, F.array(last))).otherwise(runs)
+
+    def made(t: Column) -> Column:
+        n = F.size(t)
+        extra = F.greatest(n - size, F.lit(0))
+        whole = F.floor(extra / step).cast("int")
+        tail = extra - whole * step
+        runs = F.transform(
+            F.sequence(F.lit(0), whole),
+            lambda i: F.slice(t, i * step + 1, F.when((i == whole) & (tail <= overlap), F.lit(size) + tail).otherwise(F.lit(size)).cast("int")),
+        )
+        last = F.slice(t, (whole + 1) * step + 1, F.lit(size))
+        return F.when(n == 0, F.array().cast("array<array<string>>")).when(tail > overlap, F.concat(runs, F.array(last))).otherwise(runs)
+
+    return let(terms, made)
 
 
 def passages(c: Collection, size: int = 150, overlap: int = 50, doc_ids: DataFrame | None = None) -> DataFrame:
