@@ -43,7 +43,7 @@ def _pieces(text: str, size: int = 200_000) -> Iterator[str]:
         end = text.find("\n", at + size)
         while 0 <= end < len(text) - 1 and (text[end + 1].isspace() or text[end - 1].isspace()):
             end = text.find("\n", end + 1)
-        if end < 0:
+        if end < 0 or end == len(text) - 1:
             break
         yield text[at:end]
         at = end

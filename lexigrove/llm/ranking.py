@@ -66,7 +66,7 @@ def place_table(best: DataFrame, models: list[str]) -> DataFrame:
     but their items do.
     """
     at = places(best, ["model_name", "topic_name", "dir_day"])
-    wide = at.groupBy("topic_name", "dir_day", "stream_id").agg(*[F.max(F.when(F.col("model_name") == m, F.col("place"))).alias(f"p{k}") for k, m in enumerate(models)])
+    wide = at.groupBy("topic_name", "dir_day", "stream_id").agg(F.count("*").alias("n_models"), *[F.max(F.when(F.col("model_name") == m, F.col("place"))).alias(f"p{k}") for k, m in enumerate(models)])
     wide = materialise(wide)
     sizes = wide.groupBy("topic_name", "dir_day").agg(F.count("*").alias("n_items"))
     wide = wide.join(sizes, ["topic_name", "dir_day"])
@@ -104,10 +104,11 @@ def fuse(results: DataFrame, pools: DataFrame) -> tuple[DataFrame, list[float]]:
     """Every item of every topic and day with its places, `projection` on the first component (less is
     better) and `total` of its places; and the component's weights.
 
-    The models are those of pools, a table of a few rows. NULLs, repeats and empty tables as in best_scores.
+    The models are those of pools, a table of a few rows; without any there are no items. NULLs, repeats and empty tables as in best_scores.
     """
     models = sorted(r[0] for r in pools.select("model_name").dropna().distinct().collect())
-    wide = materialise(place_table(best_scores(results, pools), models))
+    best = best_scores(results, pools)
+    wide = materialise(place_table(best if models else best.limit(0), models))
     weights = first_component(wide, len(models))
     total = sum((F.col(f"p{k}") for k in range(len(models))), F.lit(0))
     projection = sum((F.lit(w) * F.col(f"p{k}") for k, w in enumerate(weights)), F.lit(0.0))
