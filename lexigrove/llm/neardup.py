@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -54,15 +55,19 @@ def normal_texts(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFra
 def _shingles(texts: list[str], hashes: WordHashes, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash, text) of every run of n words of the normal texts, repeats included."""
     lists = [t.split(" ") for t in texts]
-    codes = np.fromiter((hashes[w] for ws in lists for w in ws), np.uint64)
-    h, text, _ = runs(codes, np.array([len(ws) for ws in lists], np.int64), n)
+    lengths = np.array([len(ws) for ws in lists], np.int64)
+    codes = np.fromiter(map(hashes.__getitem__, chain.from_iterable(lists)), np.uint64, int(lengths.sum()))
+    h, text, _ = runs(codes, lengths, n)
     return h, text
 
 
 def _distinct(h: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (shingle, text) in the order of texts, with their counts."""
-    order = np.lexsort((h, text))
-    h, text = h[order], text[order]
+    ends = np.flatnonzero(np.r_[text[1:] != text[:-1], True]) + 1 if len(h) else []
+    begin = 0
+    for end in ends:  # short sorts of one text each are much faster than one by (text, shingle)
+        h[begin:end].sort()
+        begin = end
     first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (text[1:] != text[:-1])]) if len(h) else np.zeros(0, np.int64)
     return h[first], text[first], np.diff(np.r_[first, len(h)])
 
