@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import time
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 from lexigrove.collection import Collection
 from lexigrove.operators import feedback, inspect, reformulate, snippets
@@ -49,6 +52,14 @@ class Engine:
         """(doc_id, begin, end, score), best first. With doc_ids, just these documents, all of them."""
         return ranked(Compiler(self.c, self.config).run(self.parse(query, language), doc_ids), k, start)
 
+    def search_many(self, queries: dict[str, str], k: int = 1000, language: str = "structured") -> DataFrame:
+        """(query, rank, doc_id, begin, end, score) of several queries, each its best k; one plan, so that Spark runs them side by side."""
+        parts = [self.search(q, k, language=language).select(F.lit(n).alias("query"), "doc_id", "begin", "end", "score") for n, q in queries.items()]
+        if not parts:
+            raise ValueError("no queries")
+        order = W.partitionBy("query").orderBy(*[F.desc(c) for c in ("score", "doc_id", "begin", "end")])
+        return reduce(DataFrame.unionAll, parts).select("query", F.row_number().over(order).alias("rank"), "doc_id", "begin", "end", "score")
+
     def search_all(self, query: str, language: str = "structured", doc_ids: DataFrame | None = None) -> DataFrame:
         return Compiler(self.c, self.config).run(self.parse(query, language), doc_ids)
 

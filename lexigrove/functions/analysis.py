@@ -41,6 +41,11 @@ def characters(text: Column) -> Column:
     return F.filter(F.split(text, ""), lambda c: F.trim(c) != "")
 
 
+def transcoded(data: Column, charset: str = "utf-8") -> Column:
+    """Text of bytes in one of the charsets of the JVM: utf-8, iso-8859-1, us-ascii, utf-16 and its two orders, utf-32."""
+    return F.decode(data, charset)
+
+
 def normalise(term: str, acronyms: frozenset[str] = frozenset()) -> str:
     """Without full stops and apostrophes, lower-cased unless it is a listed acronym."""
     t = term.replace(".", "").replace("'", "")

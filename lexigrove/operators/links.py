@@ -115,6 +115,12 @@ def with_anchor_text(c: Collection, anchors: DataFrame, field: str = "inlink") -
     return replace(c, tokens=c.tokens.unionByName(tokens), fields=c.fields.unionByName(fields), _lengths=None)
 
 
+def with_url_text(c: Collection, key: str = "url", field: str = "url") -> Collection:
+    """The collection with the words of each document's address, from its metadata, as tokens in extents of `field`."""
+    urls = c.docs.select("doc_id", F.regexp_replace(F.col("metadata")[key], r"^[A-Za-z]+://", "").alias("anchor")).filter("anchor is not null and anchor <> ''")
+    return with_anchor_text(c, urls, field)
+
+
 def prior_from_file(spark: SparkSession, c: Collection, path: str, log: bool = True) -> DataFrame:
     """(doc_id, logprob) from lines of `external id, value`, by blanks or tabs; values are log probabilities, or counts to be normalised."""
     lines = spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("v")).filter(F.size("v") >= 2)
