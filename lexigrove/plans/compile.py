@@ -79,8 +79,14 @@ class Compiler:
         if not leaves:
             return {}
         parts = []
+        single = {leaf.extents.text: k for k, leaf in enumerate(leaves) if isinstance(leaf.extents, A.Term) and (leaf.context is None or self.config.single_background)}
+        if single:  # all plain terms by one scan and one shuffle
+            tf = self.term_rows(list(single)).groupBy("term", "doc_id").agg(F.count("*").cast("double").alias("tf"))
+            parts.append(tf.select(_lookup(single, F.col("term")).alias("k"), "tf"))
         for k, leaf in enumerate(leaves):
             use = A.Leaf(leaf.extents) if self.config.single_background else leaf
+            if isinstance(use.extents, A.Term) and use.context is None:
+                continue
             tf = counted(self.matches(use), ["doc_id"], isinstance(use.extents, (A.Term, A.Empty)))
             parts.append(tf.select(F.lit(k).alias("k"), "tf"))
         rows = {r[0]: r for r in reduce(DataFrame.unionAll, parts).groupBy("k").agg(F.sum("tf"), F.count("*")).collect()}
@@ -97,6 +103,9 @@ class Compiler:
             out[leaf] = Counts(float(r[1]) if r else 0.0, context, float(r[2]) if r else 0.0, n, size / n if n else 0.0)
         return out
 
+    def term_rows(self, terms: list[str]) -> DataFrame:
+        return self.c.tokens.filter(F.col("term").isin(terms)).select("doc_id", "term")
+
     # -- phase 2
 
     def run(self, node: A.Node, doc_ids: DataFrame | None = None) -> DataFrame:
@@ -132,7 +141,14 @@ class Compiler:
         parts = []
         if not whole:
             units = units.filter("end > begin").groupBy(*keys).agg(F.max("weight").alias("unit_weight"))
+        plain = {leaf.extents.text: (k, leaf in fitting) for leaf, k in leaves.items() if whole and isinstance(leaf.extents, A.Term) and leaf.context is None}
+        if plain:  # occurrences add up in the one aggregation by document below
+            what = _lookup({t: f"t{k}" for t, (k, _) in plain.items()}, F.col("term"))
+            fits = _lookup({t: fit for t, (_, fit) in plain.items()}, F.col("term"))
+            parts.append(self.term_rows(list(plain)).select("doc_id", what.alias("what"), F.lit(1.0).alias("tf"), fits.alias("fits")))
         for leaf, k in leaves.items():
+            if whole and isinstance(leaf.extents, A.Term) and leaf.context is None:
+                continue
             single = isinstance(leaf.extents, (A.Term, A.Empty))
             rows = self.matches(leaf)
             if not whole:
@@ -231,6 +247,11 @@ class Compiler:
         return choose(self.config.rules, kind, tuple(names))
 
 
+def _lookup(table: dict, key: Column) -> Column:
+    """A query's few literals as a map."""
+    return F.element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key)
+
+
 def _all(node: A.Node) -> list[A.Node]:
     return [node] + [x for c in A.children(node) for x in _all(c)]
 
