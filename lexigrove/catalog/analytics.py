@@ -83,9 +83,33 @@ def expanded(model):
     return run
 
 
-add("rm_expand", expanded(feedback.expand_rm))
-add("rocchio_expand", expanded(feedback.expand_rocchio))
-add("ponte_expand", expanded(feedback.expand_ponte))
+# What weighted terms m(term, w) add to a document: the mean, by weight, of all terms' scores, absent ones included.
+_OF_TERMS = """, rt AS (SELECT doc_id, term, count(*)::DOUBLE AS tf FROM tok WHERE term IN (SELECT term FROM m) GROUP BY ALL),
+cm AS (SELECT doc_id FROM rt UNION SELECT doc_id FROM res),
+mb AS (SELECT sum(w) AS sw, sum(w * ln(2500 * cf / total)) AS b FROM m JOIN ts USING (term), c),
+ma AS (SELECT doc_id, sum(w * (ln(tf + 2500 * cf / total) - ln(2500 * cf / total))) AS a FROM rt JOIN m USING (term) JOIN ts USING (term), c GROUP BY doc_id),
+ms AS (SELECT doc_id, (b + coalesce(a, 0)) / sw - ln(length + 2500) AS m FROM cm JOIN len USING (doc_id) LEFT JOIN ma USING (doc_id), mb)
+"""
+_MIXED = _OF_TERMS + f"SELECT doc_id, round(0.5 * {_SCORE} + 0.5 * m, 6) AS score FROM ms JOIN len USING (doc_id) LEFT JOIN l0 USING (doc_id) LEFT JOIN l1 USING (doc_id)"
+add("rm_expand", expanded(feedback.expand_rm), _TOP + _STATS + ", m AS (SELECT term, sum(p * tf / length) AS w FROM tf JOIN post USING (doc_id) GROUP BY term ORDER BY round(w, 12) DESC, term LIMIT 10)" + _MIXED)
+add(
+    "ponte_expand",
+    expanded(feedback.expand_ponte),
+    _TOP
+    + _STATS
+    + ", m AS (SELECT term, w FROM (SELECT term, sum(ln(tf / length / (cf / total))) AS odds, sum(exp(score) * tf / length) AS w FROM tf JOIN top USING (doc_id) JOIN ts USING (term), c WHERE tf >= 2 GROUP BY term) ORDER BY round(odds, 12) DESC, term LIMIT 10)"
+    + _MIXED,
+)
+add(
+    "rocchio_expand",
+    expanded(feedback.expand_rocchio),
+    _TOP
+    + _STATS
+    + """, rc AS (SELECT * FROM (SELECT term, sum(1.2 * tf / (tf + 0.3 + 0.9 * length / (total / n)) * ln((n + 1) / (df + 0.5))) / (SELECT count(*) FROM top) * 0.5 AS w FROM tf JOIN top USING (doc_id) JOIN ts USING (term), c GROUP BY term) ORDER BY round(w, 12) DESC, term LIMIT 10),
+m AS (SELECT term, sum(w) AS w FROM (SELECT * FROM rc UNION ALL SELECT term, ln((n + 1) / (df + 0.5)) * 1000 / 1001 FROM ts, c WHERE term IN ('court', 'jury')) GROUP BY term)"""
+    + _OF_TERMS.replace("SELECT doc_id FROM rt UNION SELECT doc_id FROM res", "SELECT DISTINCT doc_id FROM rt")
+    + "SELECT doc_id, round(m, 6) AS score FROM ms",
+)
 
 # dependence models
 
