@@ -1,4 +1,4 @@
-"""Near-duplicates: consistent weighted sampling over TF-IDF shingles, banded, verified."""
+"""Near-duplicates: consistent weighted sampling over IDF-weighted sets of shingles, banded, verified."""
 
 from __future__ import annotations
 
@@ -122,13 +122,14 @@ def weight_table(frequent: dict[int, int], total: int) -> tuple[np.ndarray, np.n
     return keys, np.append(np.clip(np.log(total / np.maximum(df, 1)) / np.log(1 / COMMON_SHARE), 0, 1), 1.0)
 
 
-def weigh(table: tuple[np.ndarray, np.ndarray], h: np.ndarray, tf: np.ndarray) -> np.ndarray:
-    """TF-IDF weights of shingles: (1 + ln tf) x (1 + idf)."""
+def weigh(table: tuple[np.ndarray, np.ndarray], h: np.ndarray) -> np.ndarray:
+    """Weights of shingles: 1 + idf, between 1 and 2. How often a text repeats one doesn't count, as pairs are defined on sets
+    and no weighted limit would hold for all of them otherwise."""
     keys, idf = table
     at = np.searchsorted(keys, h)
     if len(keys):
         at[keys[np.minimum(at, len(keys) - 1)] != h] = len(keys)
-    return (1 + np.log(tf)) * (1 + idf[at])
+    return 1 + idf[at]
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -177,9 +178,9 @@ def signatures(reps: DataFrame, n: int, weights) -> DataFrame:
                 while end < len(norms) and (end == at or size < CHUNK_SHINGLES):
                     size += norms[end].count(" ")
                     end += 1
-                h, text, tf = _distinct(*_shingles(norms[at:end], hashes, n))
+                h, text, _ = _distinct(*_shingles(norms[at:end], hashes, n))
                 starts = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
-                s = weighted_samples(h, weigh(weights.value, h, tf), starts, BANDS * PER_BAND)
+                s = weighted_samples(h, weigh(weights.value, h), starts, BANDS * PER_BAND)
                 keys = np.zeros((len(starts), BANDS), np.uint64)
                 for k in range(PER_BAND):
                     keys = mix(keys * np.uint64(31) + s[:, k::PER_BAND].astype(np.uint64))
@@ -198,22 +199,22 @@ def signatures(reps: DataFrame, n: int, weights) -> DataFrame:
     return reps.select("fp", "norm").mapInArrow(work, "fp binary, size int, sig binary, keys array<long>")
 
 
-def verified(pairs: DataFrame, n: int, weights, bound: float, least: float) -> DataFrame:
-    """(a, b, weighted, jaccard) of the pairs (a, b, ta, tb) with a weighted Jaccard similarity of at least bound and a plain one of at least `least`."""
+def verified(pairs: DataFrame, n: int, weights, least: float) -> DataFrame:
+    """(a, b, weighted, jaccard) of the pairs (a, b, ta, tb) with a plain Jaccard similarity of at least `least`; the weighted one is only told."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
             keep, ws, js = [], [], []
             for k, (ta, tb) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                h, text, tf = _distinct(*_shingles([ta, tb], hashes, n))
-                w = weigh(weights.value, h, tf)
+                h, text, _ = _distinct(*_shingles([ta, tb], hashes, n))
+                w = weigh(weights.value, h)
                 cut = int(np.searchsorted(text, 1))
                 _, i, j = np.intersect1d(h[:cut], h[cut:], assume_unique=True, return_indices=True)
                 shared = np.minimum(w[:cut][i], w[cut:][j]).sum()
                 weighted = shared / (w.sum() - shared)
                 jaccard = len(i) / (len(h) - len(i))
-                if weighted >= bound and jaccard >= least:
+                if jaccard >= least:
                     keep.append(k)
                     ws.append(float(weighted))
                     js.append(jaccard)
@@ -224,7 +225,7 @@ def verified(pairs: DataFrame, n: int, weights, bound: float, least: float) -> D
 
 
 def weighted_bound(least: float) -> float:
-    """The weighted similarity that a pair of plain similarity `least` has at worst when single weights lie between 1 and 2:
+    """The weighted similarity that a pair of plain similarity `least` has at worst as single weights lie between 1 and 2:
     all that is shared weighs 1 and all else 2."""
     return least / (least + 2 * (1 - least))
 
@@ -235,8 +236,8 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, n: int = 5, lea
     Two texts are linked if the sets of their runs of n words (tags taken as blanks) have a Jaccard similarity
     of at least `least`. Texts with equal words share one fp and are linked to others once; of an id with unlike
     texts the greatest fp holds. Candidates are texts with an equal band of weighted samples; of these, pairs whose samples
-    agree too rarely for the weighted bound are set aside, and the rest is verified on the whole texts by weighted, then
-    plain Jaccard. NULL ids and texts and texts under n words are in no row; an empty table gives none.
+    agree too rarely for the weighted bound are set aside, and the rest is verified on the whole texts by plain
+    Jaccard. NULL ids and texts and texts under n words are in no row; an empty table gives none.
     """
     spark = docs.sparkSession
     texts = materialise(normal_texts(docs, id_col, text_col, n))
@@ -252,7 +253,7 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, n: int = 5, lea
     near = pairs.join(sigs.select(F.col("fp").alias("a"), F.col("sig").alias("ga")), "a").join(sigs.select(F.col("fp").alias("b"), F.col("sig").alias("gb")), "b")
     near = near.mapInArrow(_agreeing(bound), "a binary, b binary")
     near = near.join(reps.select(F.col("fp").alias("a"), F.col("norm").alias("ta")), "a").join(reps.select(F.col("fp").alias("b"), F.col("norm").alias("tb")), "b")
-    return members, verified(near, n, weights, bound, least)
+    return members, verified(near, n, weights, least)
 
 
 def _agreeing(bound: float):

@@ -101,3 +101,18 @@ def test_frequent_shingles_are_exact(spark):
         for g in s:
             counts[g] = counts.get(g, 0) + 1
     assert sorted(got.values()) == sorted(c for c in counts.values() if c >= share * len(rows))
+
+
+@pytest.mark.parametrize("n,least,times", [(3, 0.6, 4), (5, 0.8, 2), (5, 0.8, 30)])
+def test_repeated_bodies(spark, n, least, times):
+    rng = random.Random(5)
+    rows = []
+    for k in range(10):
+        body = [f"t{k}w{i}" for i in range(200)]
+        edited = list(body)
+        for i in rng.sample(range(200), 2):
+            edited[i] = "changed"
+        rows += [(f"a{k}", " ".join(body)), (f"b{k}", " ".join(body * times)), (f"c{k}", " ".join(edited * times))]
+    members, links = N.near_duplicates(spark.createDataFrame(rows, "docno string, text string"), "docno", "text", n, least)
+    want = brute(rows, n, least)
+    assert len(want) == 30 and {(r.a, r.b) for r in N.found_pairs(members, links).collect()} == want
