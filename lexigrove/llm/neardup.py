@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import chain
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +19,8 @@ from lexigrove.session import materialise
 #: top weight. At most (shingles a text) / COMMON_SHARE shingles can be that frequent, whatever the collection's size.
 COMMON_SHARE = 0.001
 
-#: Bands and samples a band.
-BANDS, PER_BAND = 25, 4
+#: Samples of a text; bands share them. At most so many bands are drawn, as long as RECALL of the pairs at the weighted bound have an equal one.
+SAMPLES, MOST_BANDS, RECALL = 100, 100, 0.995
 
 #: Candidates for the frequent shingles that are broadcast (8 bytes each); more are counted by a shuffle instead.
 CANDIDATES = 4_000_000
@@ -153,25 +154,45 @@ def weighted_samples(h: np.ndarray, weight: np.ndarray, starts: np.ndarray, samp
     low = np.uint64(0xFFFF)
     for k in range(samples):
         x = mix(h ^ np.uint64((_SEED * (2 * k + 1)) & 0xFFFFFFFFFFFFFFFF))
-        r = gamma[(x & low).astype(np.intp)]
-        b = uniform[((x >> np.uint64(32)) & low).astype(np.intp)]
+        r = gamma.take((x & low).view(np.int64), mode="clip")
+        b = uniform.take(((x >> np.uint64(32)) & low).view(np.int64), mode="clip")
         t = np.floor(lw / r + b)
-        a = log_gamma[((x >> np.uint64(16)) & low).astype(np.intp)] - r * (t - b + np.float32(1))
-        bits = a.view(np.int32).astype(np.int64)
-        bits ^= (bits >> 63) & 0x7FFFFFFF
-        name = (x + t.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
-        least = np.minimum.reduceat((bits << 32) | name.view(np.int64), starts)
-        out[:, k] = least & 0xFFFFFFFF
+        a = log_gamma.take(((x >> np.uint64(16)) & low).view(np.int64), mode="clip") - r * (t - b + np.float32(1))
+        bits = a.view(np.int32)
+        bits = (bits ^ ((bits >> 31) & 0x7FFFFFFF)).astype(np.int64)
+        x += t.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)  # the name of (shingle, t)
+        x >>= np.uint64(32)
+        bits <<= 32
+        bits |= x.view(np.int64)
+        out[:, k] = np.minimum.reduceat(bits, starts) & 0xFFFFFFFF
     return out
 
 
+def missed(s: float, bands: int, per_band: int) -> float:
+    """The chance that two texts of weighted similarity s have no band equal, of `bands` random sets of per_band of the SAMPLES."""
+    sets = comb(SAMPLES, per_band)
+    return sum(comb(SAMPLES, x) * s**x * (1 - s) ** (SAMPLES - x) * (1 - comb(x, per_band) / sets) ** bands for x in range(SAMPLES + 1))
+
+
+def banding(least: float) -> np.ndarray:
+    """Samples of each band (a row each): the largest bands, and the fewest of them, that find RECALL of the pairs at the weighted bound of `least`."""
+    s = weighted_bound(least)
+    for per_band in range(8, 0, -1):
+        if missed(s, MOST_BANDS, per_band) <= 1 - RECALL:
+            break
+    bands = next((k for k in range(1, MOST_BANDS) if missed(s, k, per_band) <= 1 - RECALL), MOST_BANDS)
+    rng, a_round = np.random.default_rng(0), SAMPLES // per_band
+    rounds = [rng.permutation(SAMPLES)[: a_round * per_band].reshape(a_round, per_band) for _ in range(-(-bands // a_round))]
+    return np.concatenate(rounds)[:bands]
+
+
 def signatures(reps: DataFrame, n: int, weights) -> DataFrame:
-    """(fp, size, sig): distinct shingles of each text, and the low bytes of its samples with the keys of its bands."""
+    """(t, size, sig, rest): distinct shingles of each text, the low bytes of its samples, and their other bytes."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in batches:
-            fps, norms = b.column(0), b.column(1).to_pylist()
+            ts, norms = b.column(0), b.column(1).to_pylist()
             at = 0
             while at < len(norms):
                 end, size = at, 0
@@ -180,23 +201,36 @@ def signatures(reps: DataFrame, n: int, weights) -> DataFrame:
                     end += 1
                 h, text, _ = _distinct(*_shingles(norms[at:end], hashes, n))
                 starts = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
-                s = weighted_samples(h, weigh(weights.value, h), starts, BANDS * PER_BAND)
-                keys = np.zeros((len(starts), BANDS), np.uint64)
-                for k in range(PER_BAND):
-                    keys = mix(keys * np.uint64(31) + s[:, k::PER_BAND].astype(np.uint64))
-                low = np.ascontiguousarray(s.astype(np.uint8))
+                s = weighted_samples(h, weigh(weights.value, h), starts, SAMPLES)
+                parts = s.astype("<u4").view(np.uint8).reshape(*s.shape, 4)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        fps.slice(at, end - at),
+                        ts.slice(at, end - at),
                         pa.array(np.diff(np.r_[starts, len(h)]).astype(np.int32)),
-                        pa.array([row.tobytes() for row in low], pa.binary()),
-                        pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.view(np.int64).ravel())),
+                        pa.array([row.tobytes() for row in parts[:, :, 0]], pa.binary()),
+                        pa.array([row.tobytes() for row in parts[:, :, 1:]], pa.binary()),
                     ],
-                    ["fp", "size", "sig", "keys"],
+                    ["t", "size", "sig", "rest"],
                 )
                 at = end
 
-    return reps.select("fp", "norm").mapInArrow(work, "fp binary, size int, sig binary, keys array<long>")
+    return reps.select("t", "norm").mapInArrow(work, "t long, size int, sig binary, rest binary")
+
+
+def band_rows(sigs: DataFrame, bands: np.ndarray) -> DataFrame:
+    """(t, size, key): a row for each text and band; keys of two bands are unlike."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sig, rest = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, SAMPLES, width) for c, width in ((2, 1), (3, 3)))
+            s = np.ascontiguousarray(np.concatenate([sig, rest], axis=2)).view("<u4")[:, :, 0].astype(np.uint64)
+            keys = np.tile(np.arange(1, len(bands) + 1, dtype=np.uint64), (len(s), 1))
+            for column in bands.T:
+                keys = mix(keys * np.uint64(31) + s[:, column])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, len(bands), dtype=np.int32)), pa.array(keys.view(np.int64).ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists], ["t", "size", "keys"])
+
+    return sigs.select("t", "size", "sig", "rest").mapInArrow(work, "t long, size int, keys array<long>").select("t", "size", F.explode("keys").alias("key"))
 
 
 def verified(pairs: DataFrame, n: int, weights, least: float) -> DataFrame:
@@ -206,18 +240,33 @@ def verified(pairs: DataFrame, n: int, weights, least: float) -> DataFrame:
         hashes = WordHashes()
         for batch in batches:
             keep, ws, js = [], [], []
-            for k, (ta, tb) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                h, text, _ = _distinct(*_shingles([ta, tb], hashes, n))
+            a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            begin = 0
+            while begin < len(a):
+                end, size, place = begin, 0, {}
+                while end < len(a) and (end == begin or size < CHUNK_SHINGLES):  # a text of many pairs is cut into shingles once
+                    for t in (a[end], b[end]):
+                        if place.setdefault(t, len(place)) == len(place) - 1:
+                            size += t.count(" ")
+                    end += 1
+                h, text, _ = _distinct(*_shingles(list(place), hashes, n))
                 w = weigh(weights.value, h)
-                cut = int(np.searchsorted(text, 1))
-                _, i, j = np.intersect1d(h[:cut], h[cut:], assume_unique=True, return_indices=True)
-                shared = np.minimum(w[:cut][i], w[cut:][j]).sum()
-                weighted = shared / (w.sum() - shared)
-                jaccard = len(i) / (len(h) - len(i))
-                if jaccard >= least:
-                    keep.append(k)
-                    ws.append(float(weighted))
-                    js.append(jaccard)
+                starts = np.searchsorted(text, np.arange(len(place) + 1))
+                sums = np.add.reduceat(w, starts[:-1])
+                for k in range(begin, end):
+                    x, y = place[a[k]], place[b[k]]
+                    x0, x1, y0, y1 = starts[x], starts[x + 1], starts[y], starts[y + 1]
+                    at = np.searchsorted(h[y0:y1], h[x0:x1])
+                    at[at == y1 - y0] = 0
+                    both = h[y0:y1][at] == h[x0:x1]
+                    common = np.count_nonzero(both)
+                    jaccard = common / (x1 - x0 + y1 - y0 - common)
+                    if jaccard >= least:
+                        shared = w[x0:x1][both].sum()
+                        keep.append(k)
+                        ws.append(float(shared / (sums[x] + sums[y] - shared)))
+                        js.append(float(jaccard))
+                begin = end
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(ws, pa.float64()), pa.array(js, pa.float64())], ["a", "b", "weighted", "jaccard"])
 
@@ -242,23 +291,23 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, n: int = 5, lea
     spark = docs.sparkSession
     texts = materialise(normal_texts(docs, id_col, text_col, n))
     members = texts.groupBy("id").agg(F.max("fp").alias("fp"))
-    reps = materialise(texts.groupBy("fp").agg(F.first("norm").alias("norm")))
+    reps = materialise(texts.groupBy("fp").agg(F.first("norm").alias("norm")).withColumn("t", F.monotonically_increasing_id()))  # numbers take half the space of fps
     total = reps.count()
     weights = spark.sparkContext.broadcast(weight_table(frequent_shingles(reps, n, total), total))
     sigs = materialise(signatures(reps, n, weights))
-    rows = sigs.select("fp", "size", F.posexplode("keys").alias("band", "key"))
-    a, b = rows.select("band", "key", F.col("fp").alias("a"), F.col("size").alias("sa")), rows.select("band", "key", F.col("fp").alias("b"), F.col("size").alias("sb"))
-    pairs = a.join(b, ["band", "key"]).filter((F.col("a") < F.col("b")) & (F.least("sa", "sb") >= F.lit(least) * F.greatest("sa", "sb"))).select("a", "b").distinct()
-    bound = weighted_bound(least)
-    near = pairs.join(sigs.select(F.col("fp").alias("a"), F.col("sig").alias("ga")), "a").join(sigs.select(F.col("fp").alias("b"), F.col("sig").alias("gb")), "b")
-    near = near.mapInArrow(_agreeing(bound), "a binary, b binary")
-    near = near.join(reps.select(F.col("fp").alias("a"), F.col("norm").alias("ta")), "a").join(reps.select(F.col("fp").alias("b"), F.col("norm").alias("tb")), "b")
+    rows = band_rows(sigs, banding(least))
+    a, b = rows.select("key", F.col("t").alias("a"), F.col("size").alias("sa")), rows.select("key", F.col("t").alias("b"), F.col("size").alias("sb"))
+    pairs = a.join(b, "key").filter((F.col("a") < F.col("b")) & (F.least("sa", "sb") >= F.lit(least) * F.greatest("sa", "sb"))).select("a", "b").distinct()
+    near = pairs.join(sigs.select(F.col("t").alias("a"), F.col("sig").alias("ga")), "a").join(sigs.select(F.col("t").alias("b"), F.col("sig").alias("gb")), "b")
+    near = near.mapInArrow(_agreeing(weighted_bound(least)), "a long, b long")
+    near = near.join(reps.select(F.col("t").alias("a"), F.col("fp").alias("fa"), F.col("norm").alias("ta")), "a").join(reps.select(F.col("t").alias("b"), F.col("fp").alias("fb"), F.col("norm").alias("tb")), "b")
+    near = near.select(F.least("fa", "fb").alias("a"), F.greatest("fa", "fb").alias("b"), "ta", "tb")
     return members, verified(near, n, weights, least)
 
 
 def _agreeing(bound: float):
     """Pairs whose samples agree as often as texts of similarity `bound` do but for four standard deviations."""
-    k = BANDS * PER_BAND
+    k = SAMPLES
     floor = max(0.0, bound - 4 * (bound * (1 - bound) / k) ** 0.5) * k
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

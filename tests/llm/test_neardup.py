@@ -116,3 +116,25 @@ def test_repeated_bodies(spark, n, least, times):
     members, links = N.near_duplicates(spark.createDataFrame(rows, "docno string, text string"), "docno", "text", n, least)
     want = brute(rows, n, least)
     assert len(want) == 30 and {(r.a, r.b) for r in N.found_pairs(members, links).collect()} == want
+
+
+def test_hot_family_at_the_limit(spark):
+    """A third of the texts are of one family, whose shingles are frequent, and alike by little more than the limit."""
+    rng = random.Random(6)
+    rows = [(f"o{k:03d}", " ".join(f"o{k}w{i}" for i in range(150))) for k in range(120)]
+    base = [f"b{i}" for i in range(150)]
+    for k in range(60):
+        w = list(base)
+        for i in rng.sample(range(len(w)), 6):
+            w[i] = f"e{k}x{i}"
+        rows.append((f"h{k:03d}", " ".join(w)))
+    members, links = N.near_duplicates(spark.createDataFrame(rows, "docno string, text string"), "docno", "text", 3, 0.6)
+    got, want = {(r.a, r.b) for r in N.found_pairs(members, links).collect()}, brute(rows, 3, 0.6)
+    assert len(want) > 500 and got <= want and len(got) >= 0.99 * len(want)
+
+
+@pytest.mark.parametrize("least", [0.5, 0.6, 0.7, 0.8, 0.9])
+def test_bands_follow_the_limit(least):
+    bands, s = N.banding(least), N.weighted_bound(least)
+    equal = np.random.default_rng(7).random((20_000, N.SAMPLES)) < s
+    assert equal[:, bands].all(axis=2).any(axis=1).mean() > 0.99
