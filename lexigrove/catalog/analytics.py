@@ -144,7 +144,7 @@ def snippet(spark, sf):
 
 
 add("snippet", snippet)
-add("annotations", lambda s, d: snippets.annotate(corpora.documents(s, d), "#combine(court #1(the court))", ranked(Compiler(corpora.documents(s, d)).run(parse("#combine(court #1(the court))")), 1_000_000)), f"WITH {S.TOK}, x0 AS ({S.term('court')}), x1 AS ({S.phrase('the', 'court')}) SELECT doc_id, 'n0' AS node, b::INTEGER AS \"begin\", e::INTEGER AS \"end\" FROM x0 UNION ALL SELECT doc_id, 'n1', b::INTEGER, e::INTEGER FROM x1")
+add("annotations", lambda s, d: snippets.annotate(corpora.documents(s, d), "#combine(court #1(the court))", Compiler(corpora.documents(s, d)).run(parse("#combine(court #1(the court))"))), f"WITH {S.TOK}, x0 AS ({S.term('court')}), x1 AS ({S.phrase('the', 'court')}) SELECT doc_id, 'n0' AS node, b::INTEGER AS \"begin\", e::INTEGER AS \"end\" FROM x0 UNION ALL SELECT doc_id, 'n1', b::INTEGER, e::INTEGER FROM x1")
 
 # links among topics
 
