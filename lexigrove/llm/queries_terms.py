@@ -16,6 +16,11 @@ def p2_ngrams(spark, sf):
     return T.term_marks(T.query_records(table(spark, sf, "queries")), max_n=3).select(F.col("n").cast("long").alias("n"), "term", "occurrences", "records", "mark")
 
 
+def p2_ngrams_any(spark, sf):
+    """As p2_ngrams, of n-grams of any length."""
+    return T.term_marks(T.query_records(table(spark, sf, "queries")), max_n=None).select(F.col("n").cast("long").alias("n"), "term", "occurrences", "records", "mark")
+
+
 def p2_fields(spark, sf):
     return T.field_counts(table(spark, sf, "field_statistics"))
 
@@ -30,7 +35,7 @@ def p5_weights(spark, sf):
     return w.select(F.col("rec").alias("query_id"), "term", "n", "records", F.round("log_entropy", 6).alias("log_entropy"), F.round("tf_idf", 6).alias("tf_idf"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_ngrams, p2_fields, p5_found, p5_weights)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_ngrams, p2_ngrams_any, p2_fields, p5_found, p5_weights)}
 
 _RECORDS = r"""
 WITH q AS (SELECT query_id,

@@ -73,7 +73,8 @@ def suffix_counts(code: np.ndarray, rec: np.ndarray, weight: np.ndarray, left: n
         yield n, pos[starts], np.add.reduceat(weight[pos], starts), lengths - dup
 
 
-def _count_block(rows: list[tuple], max_n: int) -> pd.DataFrame:
+def _count_block(rows: list[tuple], max_n: int | None) -> pd.DataFrame:
+    max_n = max_n or max((len(terms[0]) for _, ordered, terms in rows if ordered), default=1) or 1
     words = [t for _, _, terms in rows for t in terms[0]]
     code, names = pd.factorize(np.array(words, dtype=object))
     weight = np.array([n for _, _, terms in rows for n in terms[1]], np.int64)
@@ -86,8 +87,8 @@ def _count_block(rows: list[tuple], max_n: int) -> pd.DataFrame:
     return pd.concat(parts, ignore_index=True)
 
 
-def ngram_counts(records: DataFrame, max_n: int = 3) -> DataFrame:
-    """(n, term, occurrences, records) of every n-gram of 1..max_n tokens, and at n = 0 the number of records.
+def ngram_counts(records: DataFrame, max_n: int | None = 3) -> DataFrame:
+    """(n, term, occurrences, records) of every n-gram of 1..max_n tokens (None: of any length), and at n = 0 the number of records.
 
     records are as from query_records. A record lies wholly in one block; each block is counted by a suffix
     array, which emits every n-gram of the block once, and blocks add up in one aggregation by n-gram: a term
@@ -111,7 +112,7 @@ def ngram_counts(records: DataFrame, max_n: int = 3) -> DataFrame:
     return blocks.groupBy("n", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
 
 
-def term_marks(records: DataFrame, max_n: int = 1, rare: int = 2, common: float = 0.1) -> DataFrame:
+def term_marks(records: DataFrame, max_n: int | None = 1, rare: int = 2, common: float = 0.1) -> DataFrame:
     """(n, term, occurrences, records, mark): mark `rare` in at most `rare` records, `common` in more than that share of them, else NULL."""
     counts = materialise(ngram_counts(records, max_n))
     total = counts.filter("n = 0").agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]

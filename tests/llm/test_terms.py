@@ -114,3 +114,15 @@ def test_lookup_of_hot_and_rare_keys(spark, monkeypatch):
     rows = spark.createDataFrame([("hot", i) for i in range(50)] + [(f"k{i}", i) for i in range(20)], "k string, i int")
     table = rows.groupBy("k").count().withColumnRenamed("count", "w")
     assert T.skew_safe_lookup(rows, table, "k", "w", 70).count() == 70
+
+
+def test_ngrams_of_any_length(spark):
+    rows = [("a", True, [(t, 1) for t in "v w x y z v w".split()]), ("b", True, [(t, 1) for t in "w x y z".split()]), ("c", False, [(t, 2) for t in "v w x y z q r s".split()])]
+    df = spark.createDataFrame(rows, "rec string, ordered boolean, terms array<struct<term: string, n: long>>")
+    got = {(r.n, r.term): (r.occurrences, r.records) for r in T.ngram_counts(df, None).filter("n > 1").collect()}
+    want = {}
+    for rec, text in (("a", "v w x y z v w".split()), ("b", "w x y z".split())):
+        for n in range(2, len(text) + 1):
+            for i in range(len(text) - n + 1):
+                want.setdefault((n, " ".join(text[i : i + n])), []).append(rec)
+    assert got == {k: (len(v), len(set(v))) for k, v in want.items()}
