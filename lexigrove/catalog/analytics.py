@@ -70,7 +70,7 @@ add(
 )
 add(
     "clarity",
-    lambda s, d: feedback.clarity_score(corpora.documents(s, d), "court jury", docs=10, terms=100000).select(F.round("clarity", 6).alias("clarity")),
+    lambda s, d: feedback.clarity_score(corpora.documents(s, d), "court jury", docs=10, terms=None).select(F.round("clarity", 6).alias("clarity")),
     _TOP + _STATS + ", rm AS (SELECT term, sum(p * tf / length) AS weight FROM tf JOIN post USING (doc_id) GROUP BY term) SELECT round(sum(weight * log2(weight / (cf / total))) / sum(weight), 6) AS clarity FROM rm JOIN ts USING (term), c",
 )
 

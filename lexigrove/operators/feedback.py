@@ -124,9 +124,11 @@ def expand_rocchio(c: Collection, query: str, docs: int = 10, terms: int = 10, w
     return f"#weight( {_quoted(sorted(model.items()))} )" if any(model.values()) else query
 
 
-def clarity(c: Collection, query: str, docs: int = 5, terms: int = 10, mu: float = 0.0, config: Config | None = None) -> DataFrame:
-    """(term, weight, part): of the strongest terms of the relevance model, weight x log2(weight / collection share); the query's clarity is the sum of parts by the sum of weights."""
-    model = relevance_model(c, feedback_results(c, query, docs, config), 1, mu).orderBy(F.desc("weight"), "gram").limit(terms)
+def clarity(c: Collection, query: str, docs: int = 5, terms: int | None = 10, mu: float = 0.0, config: Config | None = None) -> DataFrame:
+    """(term, weight, part): of the strongest terms of the relevance model (None: of all), weight x log2(weight / collection share); the query's clarity is the sum of parts by the sum of weights."""
+    model = relevance_model(c, feedback_results(c, query, docs, config), 1, mu)
+    if terms is not None:
+        model = model.orderBy(F.desc("weight"), "gram").limit(terms)
     total = Compiler(c).totals()[0] or 1.0
     rows = model.withColumnRenamed("gram", "term").join(term_stats(c), "term")
     return rows.select("term", "weight", (F.col("weight") * F.log2(F.col("weight") / (F.col("cf") / F.lit(total)))).alias("part"))
