@@ -39,8 +39,8 @@ def test_verbatim_against_brute_force(spark):
             if any(tuple(v[i : i + 12]) in grams for i in range(len(v) - 11)):
                 want.add((k, j))
     assert want
-    for limit in (L.FILTER_WINDOWS, 0):
-        got = found(spark, docs, items, limit=limit)
+    for bits in (L.FILTER_BITS, 64):  # however many windows the filter lets through
+        got = found(spark, docs, items, filter_bits=bits)
         assert {k for k, v in got.items() if v == "verbatim"} == want
 
 
@@ -52,6 +52,24 @@ def test_reworded_questions(spark):
     assert got == {(1, 7): "verbatim", (2, 7): "reworded"}
 
 
+def test_values_of_several_words(spark):
+    other = ITEM.replace("823", "1,250").replace("Nydix", "New Marr Hill").replace("Zorund", "Pelka").replace("Drol", "Oss")
+    lower = other.replace("New Marr Hill", "new marr hill")
+    got = found(spark, [row(1, other), row(2, lower), row(3, ITEM.upper())], [(7, ITEM, "en")])
+    assert got == {(1, 7): "reworded", (3, 7): "verbatim"}
+
+
+def test_lexicon_and_units(spark):
+    items = spark.createDataFrame([("The Zor runs. Mill hands say the Vim of Ost ran 5 Hours. The ost",), ("ÉTÉ",)], "text string")
+    codes, names = L.lexicon(items)
+    named = {int(c) for c, n in zip(codes, names) if n}
+    assert named == {L._code("zor"), L._code("vim"), L._code("hours")} and len(codes) == len(set("the zor runs mill hands say vim of ost ran 5 hours été".split()))
+    item = "they walked for 5 hours and then they slept a long while there"
+    docs = [row(1, item.replace("5 hours", "7 moons")), row(2, item.replace("5 hours", "7 tage"))]
+    assert found(spark, docs, [(7, item, "en")]) == {(2, 7): "reworded"}
+    assert found(spark, docs, [(7, item, "en")], units=["moons", "hours"]) == {(1, 7): "reworded"}
+
+
 def test_odd_input(spark):
     docs = [row(1, None), row(2, ""), row(None, ITEM), row(3, ITEM), row(3, ITEM), row(4, "word " * 400_000 + ITEM)]
     got = found(spark, docs, [(7, ITEM, "en"), (8, None, None), (9, "short", "en"), (None, ITEM, "en"), (7, ITEM, "en")])
