@@ -69,6 +69,22 @@ def broadcast_if_small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) ->
     return F.broadcast(df) if rows <= limit else df
 
 
+def skew_safe_lookup(rows: DataFrame, table: DataFrame, keys: str | list[str], weight: str, total: int) -> DataFrame:
+    """rows joined with table (unique by keys), however often a key occurs in rows.
+
+    Keys whose weight (at least their number of rows) exceeds total / BROADCAST_ROWS, where total is the sum of weights, are
+    fewer than BROADCAST_ROWS: those are broadcast, so that no hot key is shuffled; the rest, none of which is hot, is shuffled.
+    """
+    keys = [keys] if isinstance(keys, str) else keys
+    floor = max(1, total // BROADCAST_ROWS)
+    hot = F.broadcast(table.filter(F.col(weight) > floor).withColumn("is_hot", F.lit(True)))
+    marked = rows.join(hot, keys, "left")
+    columns = [c for c in table.columns if c not in keys]
+    direct = marked.filter("is_hot").select(*rows.columns, *columns)
+    rest = marked.filter("is_hot is null").select(*rows.columns)
+    return direct.unionByName(rest.join(table.filter(F.col(weight) <= floor), keys).select(*rows.columns, *columns))
+
+
 def empty_like(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 
