@@ -27,6 +27,12 @@ def p2_fields(spark, sf):
 
 def p5_found(spark, sf):
     weights = T.term_weights(T.query_records(table(spark, sf, "queries")))
+    return T.distinctive_by_count(weights).select(F.col("rec").alias("query_id"), "term")
+
+
+def p5_distinctive(spark, sf):
+    """As p5_found, by log-entropy alone."""
+    weights = T.term_weights(T.query_records(table(spark, sf, "queries"))).withColumn("log_entropy", F.round("log_entropy", 9))
     return T.most_distinctive(weights).select(F.col("rec").alias("query_id"), "term")
 
 
@@ -35,7 +41,7 @@ def p5_weights(spark, sf):
     return w.select(F.col("rec").alias("query_id"), "term", "n", "records", F.round("log_entropy", 6).alias("log_entropy"), F.round("tf_idf", 6).alias("tf_idf"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_ngrams, p2_ngrams_any, p2_fields, p5_found, p5_weights)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_ngrams, p2_ngrams_any, p2_fields, p5_found, p5_distinctive, p5_weights)}
 
 _RECORDS = r"""
 WITH q AS (SELECT query_id,
@@ -66,9 +72,17 @@ SQL = {
     + f"""g AS (SELECT 1::BIGINT AS n, query_id, term, n AS k FROM t
   UNION ALL SELECT m, query_id, array_to_string(tk[i:i + m - 1], ' '), 1 FROM (SELECT query_id, tk, m, unnest(range(1, len(tk) - m + 2)) AS i FROM d, (VALUES (2), (3)) v(m) WHERE tk IS NOT NULL AND len(tk) >= m)),
 c AS (SELECT n, term, sum(k)::BIGINT AS occurrences, count(DISTINCT query_id) AS records FROM g GROUP BY n, term)
+SELECT n, term, occurrences, records, {_MARK} AS mark FROM c""",
+    "p2_ngrams_any": _RECORDS
+    + f"""g AS (SELECT 1::BIGINT AS n, query_id, term, n AS k FROM t
+  UNION ALL SELECT j - i + 1, query_id, array_to_string(tk[i:j], ' '), 1 FROM (SELECT query_id, tk, i, unnest(range(i + 1, len(tk) + 1)) AS j FROM (SELECT query_id, tk, unnest(range(1, len(tk))) AS i FROM d WHERE tk IS NOT NULL))),
+c AS (SELECT n, term, sum(k)::BIGINT AS occurrences, count(DISTINCT query_id) AS records FROM g GROUP BY n, term)
 SELECT n, term, occurrences, records, {_MARK} AS mark FROM c""",
     "p5_found": _RECORDS
     + _W
     + "SELECT query_id, arg_min(term, (-tf_idf, term)) FILTER (records >= 2 AND records < total) AS term FROM w GROUP BY query_id HAVING count(*) >= 3 AND count(*) FILTER (records >= 2 AND records < total) > 0",
+    "p5_distinctive": _RECORDS
+    + _W
+    + "SELECT query_id, arg_min(term, (-round(log_entropy, 9), term)) FILTER (records >= 2 AND records < total) AS term FROM w GROUP BY query_id HAVING count(*) >= 3 AND count(*) FILTER (records >= 2 AND records < total) > 0",
     "p5_weights": _RECORDS + _W + "SELECT query_id, term, n, records, round(log_entropy, 6) AS log_entropy, round(tf_idf, 6) AS tf_idf FROM w",
 }

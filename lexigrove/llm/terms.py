@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexigrove.session import BROADCAST_ROWS, materialise
+from lexigrove.session import materialise, skew_safe_lookup
 
 #: Tokens of one suffix array; a partition of any size is worked off in blocks of so many.
 BLOCK_TOKENS = 1_000_000
@@ -135,21 +135,6 @@ def field_counts(statistics: DataFrame, whole: str = "document", rare: float = 0
     return sums.withColumn("mark", F.when(F.col("term") == whole, None).when(share < rare, "rare").when(share > common, "common"))
 
 
-def skew_safe_lookup(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int) -> DataFrame:
-    """rows joined with table (unique by key), however often a key occurs in rows.
-
-    Keys whose weight (their rows) exceeds total / BROADCAST_ROWS are fewer than BROADCAST_ROWS: those are
-    broadcast, so that no hot key is shuffled; the rest, none of which is hot, is shuffled.
-    """
-    floor = max(1, total // BROADCAST_ROWS)
-    hot = F.broadcast(table.filter(F.col(weight) > floor).withColumn("is_hot", F.lit(True)))
-    marked = rows.join(hot, key, "left")
-    columns = [c for c in table.columns if c != key]
-    direct = marked.filter("is_hot").select(*rows.columns, *columns)
-    rest = marked.filter("is_hot is null").select(*rows.columns)
-    return direct.unionByName(rest.join(table.filter(F.col(weight) <= floor), key).select(*rows.columns, *columns))
-
-
 def term_weights(records: DataFrame) -> DataFrame:
     """(rec, term, n, records, total, log_entropy, tf_idf) for each term of each record; total is the number of records.
 
@@ -169,8 +154,23 @@ def term_weights(records: DataFrame) -> DataFrame:
     return out.select("rec", "term", "n", "records", F.lit(total).cast("long").alias("total"), (F.log1p("n") * F.col("g")).alias("log_entropy"), (F.col("n") * F.col("idf")).alias("tf_idf"))
 
 
-def most_distinctive(weights: DataFrame, least_terms: int = 3, least_records: int = 2, by: str = "tf_idf") -> DataFrame:
+def most_distinctive(weights: DataFrame, least_terms: int = 3, least_records: int = 2, by: str = "log_entropy") -> DataFrame:
     """(rec, term): of each record with enough terms the one of greatest weight, among terms in enough records but not in all; of equals the first in byte order."""
     fits = (F.col("records") >= least_records) & (F.col("records") < F.col("total"))
     best = weights.groupBy("rec").agg(F.count("*").alias("k"), F.min(F.when(fits, F.struct((-F.col(by)).alias("w"), "term"))).alias("b"))
     return best.filter((F.col("k") >= least_terms) & F.col("b").isNotNull()).select("rec", F.col("b.term").alias("term"))
+
+
+def distinctive_by_count(weights: DataFrame, least_terms: int = 3, least_records: int = 2) -> DataFrame:
+    """(rec, term) as most_distinctive gives it, but by n x ln(total / records): chosen by log-entropy, then checked exactly.
+
+    The term of greatest log-entropy leads its record. A term's entropy is ln(records) at most, so that n x g x ln(total), with g its
+    global entropy weight, is never below its n x ln(total / records): terms that don't reach the leader's value
+    by this bound are out, and the exact value decides among the few that are left.
+    """
+    fits = weights.filter((F.col("records") >= least_records) & (F.col("records") < F.col("total")))
+    enough = weights.groupBy("rec").agg(F.count("*").alias("k"), F.min(F.when((F.col("records") >= least_records) & (F.col("records") < F.col("total")), F.struct((-F.col("log_entropy")).alias("w"), "term", "tf_idf"))).alias("lead"))
+    enough = enough.filter((F.col("k") >= least_terms) & F.col("lead").isNotNull()).select("rec", F.col("lead.tf_idf").alias("least"))
+    bound = F.col("log_entropy") * F.col("n") / F.log1p("n") * F.log("total")
+    near = fits.join(enough, "rec").filter(bound * (1 + 1e-9) + 1e-12 >= F.col("least"))
+    return near.groupBy("rec").agg(F.min(F.struct((-F.col("tf_idf")).alias("w"), "term")).alias("b")).select("rec", F.col("b.term").alias("term"))

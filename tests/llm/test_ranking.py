@@ -73,6 +73,21 @@ def test_places_across_blocks(spark):
     assert got == {i: 1 + sum(x > s for _, x in rows) for i, (_, s) in enumerate(rows)}
 
 
+def test_component_is_oriented_as_a_whole(spark):
+    """A model that runs against the others keeps a negative weight."""
+    rng = random.Random(4)
+    rows = [(float(i), i + rng.randint(-5, 5) + 0.0, 200.0 - i + rng.randint(-5, 5), 200) for i in range(200)]
+    w = R.first_component(spark.createDataFrame(rows, "p0 double, p1 double, p2 double, n_items int"), 3)
+    assert w[0] > 0 and w[1] > 0 and w[2] < 0 and sum(map(abs, w)) == pytest.approx(1)
+    assert R.first_component(spark.createDataFrame(rows[:1], "p0 double, p1 double, p2 double, n_items int"), 3) == [1 / 3] * 3
+
+
+def test_fractional_scores(spark):
+    rows = [("g", i, s) for i, s in enumerate([0.5, 0.25, 0.5, -1.5, 3.75, 0.26])]
+    got = {r.i: r.place for r in R.places(spark.createDataFrame(rows, "g string, i int, good double"), ["g"]).collect()}
+    assert got == {0: 2, 1: 5, 2: 2, 3: 6, 4: 1, 5: 4}
+
+
 def test_top_n(spark, pools):
     rows = made(2)
     df = spark.createDataFrame(rows, SCHEMA)

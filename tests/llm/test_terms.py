@@ -7,6 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from lexigrove import session
 from lexigrove.llm import terms as T
 
 SCHEMA = "query_id long, tokens array<string>, term_freq map<string,int>, rec string, terms string"
@@ -99,7 +100,10 @@ def test_weights_against_brute_force(spark):
         h = -sum(c[r.term] / total[r.term] * math.log(c[r.term] / total[r.term]) for c in tf.values() if r.term in c)
         assert r.log_entropy == pytest.approx(math.log(1 + tf[r.rec][r.term]) * (1 - h / math.log(60)))
         assert r.tf_idf == pytest.approx(tf[r.rec][r.term] * math.log(60 / df[r.term])) and r.records == df[r.term]
-    got = {r.rec: r.term for r in T.most_distinctive(w).collect()}
+    got = {r.rec: r.term for r in T.distinctive_by_count(w).collect()}
+    by_entropy = {r.rec: r.term for r in T.most_distinctive(w).collect()}
+    entropy = {(r.rec, r.term): r.log_entropy for r in w.collect()}
+    assert all(entropy[i, t] == pytest.approx(max(entropy[i, x] for x in tf[i] if 2 <= df[x] < 60)) for i, t in by_entropy.items()) and set(by_entropy) == set(got)
     want = {}
     for i, c in tf.items():
         fit = [x for x in c if 2 <= df[x] < 60]
@@ -110,7 +114,7 @@ def test_weights_against_brute_force(spark):
 
 
 def test_lookup_of_hot_and_rare_keys(spark, monkeypatch):
-    monkeypatch.setattr(T, "BROADCAST_ROWS", 4)
+    monkeypatch.setattr(session, "BROADCAST_ROWS", 4)
     rows = spark.createDataFrame([("hot", i) for i in range(50)] + [(f"k{i}", i) for i in range(20)], "k string, i int")
     table = rows.groupBy("k").count().withColumnRenamed("count", "w")
     assert T.skew_safe_lookup(rows, table, "k", "w", 70).count() == 70
