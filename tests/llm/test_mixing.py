@@ -2,6 +2,7 @@ import base64
 import random
 
 import tiktoken
+from pyspark.sql import functions as F
 
 from lexigrove.llm import mixing as M
 
@@ -26,7 +27,7 @@ def test_counts_are_the_tokenizers(spark):
     rng = random.Random(4)
     texts = ["", None, "a b\n\n c", "<|endoftext|>", "é" * 10, "\n".join("word " * rng.randint(0, 9) + rng.choice(["", "end"]) + "\n" * rng.randint(0, 2) for _ in range(60_000))]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
-    got = [r[0] for r in df.select(M.token_counts()("t")).collect()]
+    got = [r[0] for r in df.select(M.token_counts(spark)("t")).collect()]
     assert got == [len(e.encode_ordinary(t)) if t else 0 for t in texts]
     assert "".join(M._pieces(texts[-1])) == texts[-1] and len(list(M._pieces(texts[-1]))) > 1
 
@@ -36,7 +37,7 @@ def test_blend_against_brute_force(spark, monkeypatch):
     for blocks in (65536, 3):
         monkeypatch.setattr(M, "KEY_BLOCKS", blocks)
         rows = M.sized(df)
-        plan = M.materialise(M.budgets(rows, targets))
+        plan = M.budgets(rows, targets)
         out = {r.doc_id: (r.copies, r.tokens) for r in M.blend(rows, plan).collect()}
         at = {r.doc_id: r for r in rows.collect()}
         assert set(at) == {k for k, *_ in docs if k < 900}
@@ -71,11 +72,22 @@ def test_better_texts_come_first_more_often(spark):
     assert sum(r.doc_id % 2 for r in rows) > 300
 
 
+def test_sizes_and_weights_given(spark):
+    docs = [(k, "x" * (1 + k % 5), "s", float(k % 2), 1.0) for k in range(2000)] + [(2000, "xx", "s", None, 1.0)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string, weight double, tokens double")
+    rows = M.sized(df, size=F.length("text") * 2, weight=F.col("weight") * 3)
+    assert {r.doc_id: r.tokens for r in rows.collect()} == {k: 2 * len(t) for k, t, *_ in docs}
+    assert sum(r.doc_id % 2 for r in rows.orderBy("key").limit(500).collect()) > 400
+    wrong = spark.createDataFrame([("nothing wrong with this text",), ("s\u00c3\u00a9rie br\u00c3\u00bbl\u00c3\u00a9e",), ("2 3 4 % $",)], "t string")
+    good, broken, odd = [r[0] for r in wrong.select(M.text_quality(F.col("t"), F.length("t") / 4)).collect()]
+    assert good > 0.9 and broken < 0.5 and odd < 0.6
+
+
 def test_empty(spark):
     _, df, targets = tables(spark)
     rows = M.sized(df.limit(0))
     plan = M.budgets(rows, targets)
-    assert {r.falls_short for r in plan.collect()} == {False}
+    assert {r.falls_short for r in M.shares(plan, M.blend(rows, plan)).collect()} == {False}
     assert M.blend(rows, plan).count() == 0
     assert {r.reached for r in M.shares(plan, M.blend(rows, plan)).collect()} == {None}
     assert M.budgets(rows, targets.limit(0)).count() == 0
