@@ -15,15 +15,18 @@ from pyspark.sql import functions as F
 from lexigrove.llm.words import TAG, WordHashes, mix, runs, words
 from lexigrove.session import materialise
 
-#: Shingles in this share of the texts or more have a document frequency of their own; all others share the
-#: top weight. At most (shingles a text) / COMMON_SHARE shingles can be that frequent, whatever the collection's size.
+#: Counters of a task that looks for frequent shingles (16 bytes each).
+COUNTERS = 1 << 20
+
+#: Shingles in this share of the texts or more have a document frequency of their own; all others share the top weight. For texts of
+#: more than COUNTERS * COMMON_SHARE / 4 shingles on average the share is as much greater, so that the counters suffice.
 COMMON_SHARE = 0.001
 
-#: Samples of a text; bands share them. At most so many bands are drawn, as long as RECALL of the pairs at the weighted bound have an equal one.
-SAMPLES, MOST_BANDS, RECALL = 100, 100, 0.995
+#: How much more the rarest shingles weigh than those in all texts. Single weights lie between 1 and 1 + SPREAD.
+SPREAD = 0.5
 
-#: Candidates for the frequent shingles that are broadcast (8 bytes each); more are counted by a shuffle instead.
-CANDIDATES = 4_000_000
+#: Samples of a text; bands share them. At most so many bands are drawn, as long as RECALL of the pairs at the weighted bound have an equal one.
+SAMPLES, MOST_BANDS, RECALL = 72, 64, 0.995
 
 #: Texts whose shingles are counted, and shingles that are sampled, at a time.
 CHUNK_TEXTS, CHUNK_SHINGLES = 4000, 100_000
@@ -32,25 +35,26 @@ _SEED = 0x5EED5EED5EED5EED
 
 
 def normal_texts(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """(id, fp, norm): words of the text without tags, joined by blanks, and their 128-bit fingerprint.
+    """(id, fp, n, norm): words of the text without tags, their number, joined by blanks, and their 128-bit fingerprint.
 
     Rows with a NULL id or text, and texts of fewer than n words (which have no shingle), are left out.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, fps, norms = [], [], []
+            ids, fps, sizes, norms = [], [], [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 w = words(TAG.sub(" ", t))
                 if len(w) >= n:
                     norm = " ".join(w)
                     ids.append(i)
+                    sizes.append(len(w))
                     norms.append(norm)
                     fps.append(xxhash.xxh3_128_digest(norm.encode("utf-8", "surrogatepass")))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(0).type), pa.array(fps, pa.binary()), pa.array(norms, pa.string())], ["id", "fp", "norm"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(0).type), pa.array(fps, pa.binary()), pa.array(sizes, pa.int32()), pa.array(norms, pa.string())], ["id", "fp", "n", "norm"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).dropna("any")
-    return rows.mapInArrow(work, f"id {dict(rows.dtypes)['id']}, fp binary, norm string")
+    return rows.mapInArrow(work, f"id {dict(rows.dtypes)['id']}, fp binary, n int, norm string")
 
 
 def _shingles(texts: list[str], hashes: WordHashes, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -76,18 +80,17 @@ def _distinct(h: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 def frequent_shingles(reps: DataFrame, n: int, total: int, share: float = COMMON_SHARE) -> dict[int, int]:
     """Exact document frequency of every shingle in at least share x total of the texts.
 
-    A shingle that is frequent overall is so in some chunk of texts: a first pass gives each
-    chunk's frequent ones, a second counts these everywhere. What is collected has the bound of COMMON_SHARE.
+    A first pass counts shingles in each task with a bounded number of counters: when there are more, the count that comes next is
+    taken off all, and added to the task's error. What a task may have missed is thus known, and a shingle can only be frequent
+    if its counts and all errors add up to share x total. With COUNTERS at least 4 x (shingles a text) / share, errors stay under a half of
+    that; so the candidates are at most COUNTERS / 2, whatever the collection's size. They are sent to all tasks and counted exactly by a second pass.
     """
 
-    def local(batches: Iterator[pa.RecordBatch], keep) -> Iterator[pa.RecordBatch]:
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         hashes, texts = WordHashes(), []
 
-        def out() -> pa.RecordBatch:
-            h, _, _ = _distinct(*_shingles(texts, hashes, n))
-            values, counts = np.unique(h, return_counts=True)
-            ok = keep(values, counts, len(texts))
-            return pa.RecordBatch.from_arrays([pa.array(values[ok].view(np.int64)), pa.array(counts[ok].astype(np.int64))], ["h", "c"])
+        def out() -> tuple[int, np.ndarray, np.ndarray]:
+            return len(texts), *np.unique(_distinct(*_shingles(texts, hashes, n))[0], return_counts=True)
 
         for b in batches:
             texts += b.column(0).to_pylist()
@@ -97,40 +100,61 @@ def frequent_shingles(reps: DataFrame, n: int, total: int, share: float = COMMON
         if texts:
             yield out()
 
-    norms = reps.select("norm")
-    candidates = norms.mapInArrow(lambda it: local(it, lambda v, c, k: c >= share * k), "h long, c long").select("h").distinct()
-    candidates = materialise(candidates)
-    if candidates.count() <= CANDIDATES:
-        wanted = norms.sparkSession.sparkContext.broadcast(np.sort(np.array(candidates.toPandas()["h"], np.int64).view(np.uint64)))
-
-        def known(v: np.ndarray, c: np.ndarray, k: int) -> np.ndarray:
-            w = wanted.value
-            at = np.searchsorted(w, v)
-            at[at == len(w)] = 0
-            return w[at] == v if len(w) else np.zeros(len(v), bool)
-
-        counted = norms.mapInArrow(lambda it: local(it, known), "h long, c long")
-    else:
-        counted = norms.mapInArrow(lambda it: local(it, lambda v, c, k: np.ones(len(v), bool)), "h long, c long")
-    rows = counted.groupBy("h").agg(F.sum("c").alias("df")).filter(F.col("df") >= share * total).toPandas()
-    return dict(zip(rows["h"], rows["df"]))
-
+    def rows(h: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.float64))], ["h", "c"])
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, seen, error, texts = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0.0, 0
+        for k, h, c in counts(batches):
+            texts += k
+            keys, at = np.unique(np.concatenate([keys, h]), return_inverse=True)
+            seen = np.bincount(at, np.concatenate([seen, c]), len(keys)).astype(np.int64)
+            if len(keys) > COUNTERS:
+                off = int(np.partition(seen, len(seen) - COUNTERS - 1)[len(seen) - COUNTERS - 1])
+                seen, error = seen - off, error + off
+                keys, seen = keys[seen > 0], seen[seen > 0]
+        least = share * texts / 4  # what is rarer here is left out, and counts as error
+        yield rows(keys[seen >= least], seen[seen >= least])
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([error + least])], ["h", "c"])
 
-def weight_table(frequent: dict[int, int], total: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted frequent shingles and their idf = ln(total / df), scaled to reach 1 at COMMON_SHARE; last the 1 of all others."""
+    norms = reps.select("norm")
+    found = materialise(norms.mapInArrow(likely, "h long, c double"))
+    error = found.filter("h is null").agg(F.coalesce(F.sum("c"), F.lit(0.0))).first()[0]
+    if error >= share * total > 0:
+        raise ValueError(f"{COUNTERS} counters are too few for a share of {share}")
+    candidates = found.filter("h is not null").groupBy("h").agg(F.sum("c").alias("c")).filter(F.col("c") >= share * total - error).select("h").toPandas()
+    wanted = norms.sparkSession.sparkContext.broadcast(np.sort(np.array(candidates["h"], np.int64).view(np.uint64)))
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = wanted.value
+        if not len(w):
+            return
+        sums = np.zeros(len(w), np.int64)
+        for _, h, c in counts(batches):
+            at = np.minimum(np.searchsorted(w, h), len(w) - 1)
+            hit = w[at] == h
+            sums[at[hit]] += c[hit]
+        yield rows(w[sums > 0], sums[sums > 0])
+
+    out = norms.mapInArrow(exact, "h long, c double").groupBy("h").agg(F.sum("c").cast("long").alias("df")).filter(F.col("df") >= share * total).toPandas()
+    return dict(zip(out["h"], out["df"]))
+
+
+def weight_table(frequent: dict[int, int], total: int, share: float = COMMON_SHARE) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted frequent shingles and their idf = ln(total / df), scaled to reach 1 at share; last the 1 of all others."""
     keys = np.sort(np.array(list(frequent), np.int64).view(np.uint64))
     df = np.array([frequent[int(k)] for k in keys.view(np.int64)], np.float64)
-    return keys, np.append(np.clip(np.log(total / np.maximum(df, 1)) / np.log(1 / COMMON_SHARE), 0, 1), 1.0)
+    return keys, np.append(np.clip(np.log(total / np.maximum(df, 1)) / np.log(1 / min(share, 0.99)), 0, 1), 1.0)
 
 
 def weigh(table: tuple[np.ndarray, np.ndarray], h: np.ndarray) -> np.ndarray:
-    """Weights of shingles: 1 + idf, between 1 and 2. How often a text repeats one doesn't count, as pairs are defined on sets
+    """Weights of shingles: 1 + SPREAD x idf. How often a text repeats one doesn't count, as pairs are defined on sets
     and no weighted limit would hold for all of them otherwise."""
     keys, idf = table
     at = np.searchsorted(keys, h)
     if len(keys):
         at[keys[np.minimum(at, len(keys) - 1)] != h] = len(keys)
-    return 1 + idf[at]
+    return 1 + SPREAD * idf[at]
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -274,9 +298,9 @@ def verified(pairs: DataFrame, n: int, weights, least: float) -> DataFrame:
 
 
 def weighted_bound(least: float) -> float:
-    """The weighted similarity that a pair of plain similarity `least` has at worst as single weights lie between 1 and 2:
-    all that is shared weighs 1 and all else 2."""
-    return least / (least + 2 * (1 - least))
+    """The weighted similarity that a pair of plain similarity `least` has at worst as single weights lie between 1 and 1 + SPREAD:
+    all that is shared weighs 1 and all else 1 + SPREAD."""
+    return least / (least + (1 + SPREAD) * (1 - least))
 
 
 def near_duplicates(docs: DataFrame, id_col: str, text_col: str, n: int = 5, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
@@ -291,9 +315,10 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, n: int = 5, lea
     spark = docs.sparkSession
     texts = materialise(normal_texts(docs, id_col, text_col, n))
     members = texts.groupBy("id").agg(F.max("fp").alias("fp"))
-    reps = materialise(texts.groupBy("fp").agg(F.first("norm").alias("norm")).withColumn("t", F.monotonically_increasing_id()))  # numbers take half the space of fps
-    total = reps.count()
-    weights = spark.sparkContext.broadcast(weight_table(frequent_shingles(reps, n, total), total))
+    reps = materialise(texts.groupBy("fp").agg(F.first("n").alias("n"), F.first("norm").alias("norm")).withColumn("t", F.monotonically_increasing_id()))  # numbers take half the space of fps
+    total, mean = reps.agg(F.count("*"), F.coalesce(F.avg("n"), F.lit(0.0))).first()
+    share = max(COMMON_SHARE, 4 * mean / COUNTERS)
+    weights = spark.sparkContext.broadcast(weight_table(frequent_shingles(reps, n, total, share) if share < 1 else {}, total, share))
     sigs = materialise(signatures(reps, n, weights))
     rows = band_rows(sigs, banding(least))
     a, b = rows.select("key", F.col("t").alias("a"), F.col("size").alias("sa")), rows.select("key", F.col("t").alias("b"), F.col("size").alias("sb"))
@@ -334,6 +359,8 @@ def classes(links: DataFrame, rounds: int = 50) -> DataFrame:
         if new.count() == edges.count() and new.exceptAll(edges).isEmpty():
             break
         edges = new
+    else:
+        raise RuntimeError(f"the links have not come together to classes after {rounds} rounds")
     tops = edges.groupBy("a").agg(F.min("b").alias("class"))
     return tops.select(F.col("a").alias("fp"), "class").unionByName(edges.select(F.col("b").alias("fp"), F.col("b").alias("class")).distinct().join(tops.select(F.col("a").alias("fp")), "fp", "left_anti"))
 

@@ -72,6 +72,13 @@ def test_one_group_of_copies_and_empty(spark):
     assert links.count() == 0 and N.groups(members, links).count() == 0
 
 
+def test_classes_that_do_not_come_together_are_told(spark):
+    chain = spark.createDataFrame([(f"{i:03d}".encode(), f"{i + 1:03d}".encode()) for i in range(40)], "a binary, b binary")
+    assert {bytes(r["class"]) for r in N.classes(chain).collect()} == {b"000"}
+    with pytest.raises(RuntimeError):
+        N.classes(chain, rounds=1)
+
+
 def test_long_text(spark):
     rng = random.Random(2)
     long = [f"w{rng.randint(0, 5000)}" for _ in range(300_000)]
@@ -91,7 +98,7 @@ def test_samples_estimate_weighted_similarity():
     assert abs((s[0] == s[1]).mean() - want) < 0.04
 
 
-def test_frequent_shingles_are_exact(spark):
+def test_frequent_shingles_are_exact(spark, monkeypatch):
     rows = corpus(4, 30)
     texts = N.materialise(N.normal_texts(spark.createDataFrame(rows, "docno string, text string"), "docno", "text", 3))
     share = 0.05
@@ -101,6 +108,18 @@ def test_frequent_shingles_are_exact(spark):
         for g in s:
             counts[g] = counts.get(g, 0) + 1
     assert sorted(got.values()) == sorted(c for c in counts.values() if c >= share * len(rows))
+    hot = " ".join(f"h{i}" for i in range(100))
+    rows += [(f"h{i}", f"{hot} " + " ".join(f"h{i}x{j}" for j in range(100))) for i in range(2 * len(rows))]
+    texts = N.materialise(N.normal_texts(spark.createDataFrame(rows, "docno string, text string"), "docno", "text", 3))
+    want = N.frequent_shingles(texts, 3, len(rows), 0.5)
+    assert len(want) == 98 and set(want.values()) == {len(rows) * 2 // 3}
+    for counters, chunk in ((2000, 4000), (2000, 7), (1700, 1)):  # fewer counters let more candidates through, no other result
+        monkeypatch.setattr(N, "COUNTERS", counters)
+        monkeypatch.setattr(N, "CHUNK_TEXTS", chunk)
+        assert N.frequent_shingles(texts.repartition(5), 3, len(rows), 0.5) == want
+    monkeypatch.setattr(N, "COUNTERS", 20)
+    with pytest.raises(ValueError):
+        N.frequent_shingles(texts, 3, len(rows), 0.5)
 
 
 @pytest.mark.parametrize("n,least,times", [(3, 0.6, 4), (5, 0.8, 2), (5, 0.8, 30)])
