@@ -116,7 +116,7 @@ m AS (SELECT term, sum(w) AS w FROM (SELECT * FROM rc UNION ALL SELECT term, ln(
 
 def reformulated(model: str):
     def run(spark, sf):
-        q = reformulate.reformulate("What is the court of the jury meeting?", model=model)
+        q = reformulate.reformulate("What is the court of the jury meeting?", model=model, frames=("why is", "what is the", "what is"))
         return Compiler(corpora.documents(spark, sf)).run(parse(q)).select("doc_id", F.round("score", 6).alias("score"))
 
     return run

@@ -26,8 +26,9 @@ def syn(*ts: str) -> str:
 
 
 def phrase(*ts: str) -> str:
-    joins = " ".join(f"JOIN tok t{k} ON t{k}.doc_id = t0.doc_id AND t{k}.pos = t0.pos + {k} AND t{k}.term = '{t}'" for k, t in enumerate(ts) if k)
-    return f"SELECT t0.doc_id, t0.pos AS b, t0.pos + {len(ts)} AS e, 1.0 AS w FROM tok t0 {joins} WHERE t0.term = '{ts[0]}'"
+    nexts = ", ".join(f"lead(term, {k}) OVER w AS t{k}" for k in range(1, len(ts)))
+    found = " AND ".join(f"t{k} = '{t}'" for k, t in enumerate(ts) if k)
+    return f"SELECT doc_id, pos AS b, pos + {len(ts)} AS e, 1.0 AS w FROM (SELECT doc_id, pos, term AS t0, {nexts} FROM tok WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) WHERE t0 = '{ts[0]}' AND {found}"
 
 
 def ordered(a: str, b: str, width: int | None) -> str:

@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Scores that users add: name -> function(parameters, tf, length, counts) -> Column. A rule `method:name,...` chooses one.
+MODELS: dict[str, Callable[[dict[str, float], Column, Column, Counts], Column]] = {}
+
+#: Names of the scorer nodes that a rule's `node` can choose, by where a leaf stands.
+NODES = {"rawscorernode": "raw", "nestedrawscorernode": "nested", "shrinkagescorernode": "shrinkage"}
+
+
+def register(name: str, model: Callable[[dict[str, float], Column, Column, Counts], Column]) -> None:
+    """Makes `method:name` a score of leaves; names are compared in lower case, built-in ones can't be replaced."""
+    if name.lower() in ("dirichlet", "jm", "twostage", "tfidf", "okapi"):
+        raise ValueError(f"{name} is built in")
+    MODELS[name.lower()] = model
+
+
 @dataclass(frozen=True)
 class Smoothing:
     """method and its parameters, e.g. Smoothing.of('method:jm,lambda:0.6')."""
@@ -15,6 +30,12 @@ class Smoothing:
     method: str = "dirichlet"
     params: dict[str, float] = field(default_factory=dict, hash=False)
 
+    @property
+    def document_level(self) -> bool:
+        """Whether the model looks at the whole document's counts beside those of an extent or field."""
+        p = self.params
+        return self.method == "twostage" or (self.method == "jm" and bool(p.get("documentlambda"))) or (self.method == "dirichlet" and p.get("documentmu", -1.0) >= 0)
+
     @staticmethod
     def of(rule: str) -> Smoothing:
         pairs = dict(p.split(":", 1) for p in rule.replace(" ", "").split(",") if ":" in p)
@@ -22,17 +43,19 @@ class Smoothing:
         numbers = {k.lower(): float(v) for k, v in pairs.items() if k not in ("field", "operator", "node")}
         aliases = {"d": "dirichlet", "dir": "dirichlet", "linear": "jm", "jelinek-mercer": "jm", "two": "twostage", "two-stage": "twostage"}
         name = aliases.get(name, name)
-        if name not in ("dirichlet", "jm", "twostage", "tfidf", "okapi"):
+        if name not in ("dirichlet", "jm", "twostage", "tfidf", "okapi") and name not in MODELS:
             name, numbers = "dirichlet", {}
         return Smoothing(name, numbers)
 
 
-def choose(rules: list[str], kind: str, fields: tuple[str, ...]) -> Smoothing:
-    """The last rule that fits: operator is term or window (the leaf's kind), field one of the leaf's fields; no rule: Dirichlet, mu 2500."""
+def choose(rules: list[str], kind: str, fields: tuple[str, ...], node: str = "raw") -> Smoothing:
+    """The last rule that fits: operator is term or window (the leaf's kind), field one of the leaf's fields, node the scorer that stands
+    there (in whole documents, in restrictions, or smoothed over the tree); no rule: Dirichlet, mu 2500."""
     chosen = Smoothing()
     for rule in rules:
         pairs = dict(p.split(":", 1) for p in rule.replace(" ", "").split(",") if ":" in p)
-        if pairs.get("operator", kind) == kind and ("field" not in pairs or pairs["field"] in fields):
+        at = NODES.get(pairs.get("node", "").lower(), pairs.get("node"))
+        if pairs.get("operator", kind) == kind and ("field" not in pairs or pairs["field"] in fields) and at in (None, node):
             chosen = Smoothing.of(rule)
     return chosen
 
@@ -61,6 +84,8 @@ def score(s: Smoothing, tf: Column, length: Column, counts: Counts, simple: bool
     synonyms, fields, passages) take the document's own counts where a model has a document level; without any, tf and length stand for them.
     """
     p = s.params
+    if s.method in MODELS:
+        return MODELS[s.method](p, tf, length, counts)
     share = F.lit(counts.share)
     dtf = tf if doc_tf is None else doc_tf
     dlen = length if doc_length is None else doc_length

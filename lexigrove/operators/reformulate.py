@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 #: Words that light stopping takes out of queries.
 LITE_STOP = (
@@ -10,17 +11,6 @@ LITE_STOP = (
     "that th the to was were will with"
 ).split()
 
-#: Question frames that open a query, outermost first: question word, auxiliary, subject; requests and openers.
-FRAMES = [
-    r"(?:please )?(?:name|list|explain|compare|recommend|describe|tell me)(?: (?:in detail|stuff|some|the|a|an|about|which is|me))*",
-    r"(?:im |i am )?(?:also )?(?:still )?(?:looking|hoping|searching|interested)(?: (?:for|to|in|find|info|information|on|a|an|about))*",
-    r"(?:some )?(?:info|information)(?: (?:on|about|how to|the))*",
-    r"(?:in |with |from )?(?:why|where|when|what|which|who|how)(?: (?:is|are|was|were|do|does|did|can|will|would|should|has|have|not|there|causes|makes|happens))*(?: (?:i|we|you|people|they|some))?(?: (?:find|think|say|saying|stuff|ever|had|about|happen|if|the|a|an))*",
-    r"(?:is|are|was|should|can|does|do|did|if|in)(?: (?:the|there|a|an|we|be|some|your|my|you|have))+",
-    r"(?:the|theres a|names of|name of)",
-]
-_FRAME = re.compile(r"^(?:" + "|".join(FRAMES) + r")\b\s*")
-
 FORBIDDEN = re.compile(r"[`~!@#$%^&*()_=+\[\]{}\\|;:'\",.<>/?-]")
 
 
@@ -29,13 +19,13 @@ def friendly(text: str) -> str:
     return re.sub(r"\s+", " ", FORBIDDEN.sub(" ", text)).strip()
 
 
-def without_frames(text: str) -> str:
-    """Question frames are taken off the beginning as long as something is left."""
-    while True:
-        rest = _FRAME.sub("", text, count=1)
-        if rest == text or not rest.strip():
-            return text
-        text = rest
+def without_frames(text: str, frames: Sequence[str]) -> str:
+    """Without the first of the frames, such as `what is the`, that the text begins with and that ends at a word's end; at most one is taken off."""
+    for frame in frames:
+        f = frame.strip()
+        if f and text.startswith(f) and text[len(f) :][:1] in ("", " "):
+            return text[len(f) :].lstrip()
+    return text
 
 
 def lite_stopped(text: str, stopwords=LITE_STOP) -> str:
@@ -81,11 +71,12 @@ def field_mixture_dependence(terms: list[str], fields: dict[str, float] | None =
     return f"#weight( {mixture:g} {combine_query(terms, fields)} {dependency:g} {dependence} )"
 
 
-def reformulate(query: str, model: str = "combine", frames: bool = True, lite: bool = True, fields: dict[str, float] | None = None, **options) -> str:
-    """A plain query as a structured one; model is combine, sdm, fdm or mixture. A query of which nothing is left becomes EMPTYQUERY."""
-    text = friendly(query.lower())
-    if frames:
-        text = without_frames(text)
+def reformulate(query: str, model: str = "combine", frames: Sequence[str] = (), lite: bool = True, fields: dict[str, float] | None = None, **options) -> str:
+    """A plain query as a structured one; model is combine, sdm, fdm or mixture. A query of which nothing is left becomes EMPTYQUERY.
+
+    frames are question openings to be taken off, tried in their order (readers.frames reads a file of them); none are built in.
+    """
+    text = without_frames(friendly(query.lower()), frames)
     if lite:
         text = lite_stopped(text)
     terms = text.split()

@@ -155,6 +155,15 @@ class Passages(Node):
     child: Node
 
 
+@dataclass(frozen=True)
+class Include(Node):
+    """Results of `inner`, a restriction, inside extents of `outer`, in which `context` is scored."""
+
+    outer: Node
+    context: Node
+    inner: Node
+
+
 @dataclass(frozen=True)
 class Plus(Node):
     """Baseline: the plain sum of term scores, with the terms' frequencies in the query."""

@@ -31,7 +31,8 @@ class Config:
     single_background: bool = False  # counts leave contexts out of account
     wildcard_terms: int = 100
     window_weight: str = "rest"
-    score_siblings: bool = False
+    score_siblings: bool = False  # extents without a match are scored too, in documents with one
+    shrinkage: object | None = None  # operators.shrinkage.Shrinkage: leaves in restrictions are smoothed over the document's tree
 
 
 @dataclass
@@ -113,23 +114,35 @@ class Compiler:
         node = rewrite.prepare(node, self.c.term)
         if self.config.baseline:
             node = rewrite.as_baseline(node)
-        units, child, siblings = self.units(node)
-        out = self.scored(child, units, doc_ids)
+        if isinstance(node, A.Include):
+            out = self.included(node, doc_ids)
+        else:
+            units, child = self.units(node)
+            out = self.scored(child, units, doc_ids)
         if self.c.deleted is not None:
             out = out.join(self.c.deleted, "doc_id", "left_anti")
         return out
 
     def units(self, node: A.Node):
-        """(scored units or None for whole documents, what is scored in them, whether it is nested)."""
+        """(scored units: None for whole documents, a Passages node, or extents; what is scored in them)."""
         if isinstance(node, A.Restrict):
-            return self.extents.of(node.to), node.child, False
+            return self.extents.of(node.to), node.child
         if isinstance(node, A.Passages):
-            starts = self.c.lengths().select("doc_id", "length", F.explode(F.sequence(F.lit(0), F.col("length") - 1, F.lit(node.step))).alias("begin"))
-            return starts.select("doc_id", "begin", F.least(F.col("begin") + node.width, F.col("length")).cast("int").alias("end"), F.lit(1.0).alias("weight")), node.child, False
-        return None, node, False
-
-    def scored(self, node: A.Node, units: DataFrame | None, doc_ids: DataFrame | None = None) -> DataFrame:
-        whole = units is None
+            return node, node.child
+        return None, node
+
+    def included(self, node: A.Include, doc_ids: DataFrame | None = None) -> DataFrame:
+        """Results of the inner restriction, each halfway between its own score and that of the context in the outer extents around it."""
+        inner = self.scored(node.inner.child, self.extents.of(node.inner.to), doc_ids)
+        keys = ["doc_id", "begin", "end"]
+        outer = blocks_joined(self.extents.of(node.outer).filter("end > begin"), inner.select("doc_id", F.col("begin").alias("b"), F.col("end").alias("e"), F.col("score").alias("own")), keys)
+        around = self.scored(node.context, outer.select(*keys).distinct().withColumn("weight", F.lit(1.0)), every=True)
+        rows = outer.join(around.withColumnRenamed("score", "context"), keys)
+        return rows.select("doc_id", F.col("b").alias("begin"), F.col("e").alias("end"), (0.5 * F.col("own") + 0.5 * F.col("context")).alias("score"))
+
+    def scored(self, node: A.Node, units: DataFrame | A.Passages | None, doc_ids: DataFrame | None = None, every: bool = False) -> DataFrame:
+        """Results in the units; only units that a leaf occurs in, or with every (units are extents) all of them."""
+        whole, cut = units is None, isinstance(units, A.Passages)
         keys = ["doc_id"] if whole else ["doc_id", "begin", "end"]
         leaves: dict[A.Leaf, int] = {}
         filters: dict[A.Node, int] = {}
@@ -139,8 +152,10 @@ class Compiler:
         counts = self.counts(list(leaves))
         fitting = _positive(node)
         parts = []
-        if not whole:
+        if not whole and not cut:
             units = units.filter("end > begin").groupBy(*keys).agg(F.max("weight").alias("unit_weight"))
+        shrunk = self.config.shrinkage is not None and not whole and not cut
+        models: dict[A.Leaf, float] = {}
         plain = {leaf.extents.text: (k, leaf in fitting) for leaf, k in leaves.items() if whole and isinstance(leaf.extents, A.Term) and leaf.context is None}
         if plain:  # occurrences add up in the one aggregation by document below
             what = _lookup({t: f"t{k}" for t, (k, _) in plain.items()}, F.col("term"))
@@ -151,6 +166,11 @@ class Compiler:
                 continue
             single = isinstance(leaf.extents, (A.Term, A.Empty))
             rows = self.matches(leaf)
+            if shrunk:
+                from lexigrove.operators.shrinkage import leaf_models
+
+                model, models[leaf] = leaf_models(self, rows, leaf, self.config.shrinkage)
+                parts.append(units.select(*keys).join(model, keys).select(*keys, F.lit(f"m{k}").alias("what"), F.col("p").alias("tf"), F.lit(False).alias("fits")))
             if not whole:
                 rows = contained(rows, units, keys)
             tf = counted(rows, keys, single) if whole else counted_in(rows, keys, single)
@@ -166,7 +186,7 @@ class Compiler:
         if not parts:
             parts.append(self.c.lengths().select("doc_id", *([] if whole else [F.lit(0).alias("begin"), F.lit(0).alias("end")]), F.lit("none").alias("what"), F.lit(0.0).alias("tf"), F.lit(False).alias("fits")))
         rows = reduce(DataFrame.unionAll, parts)
-        names = [f"t{k}" for k in leaves.values()] + [f"l{k}" for leaf, k in leaves.items() if leaf.context is not None and whole] + [f"f{k}" for k in filters.values()]
+        names = [f"t{k}" for k in leaves.values()] + [f"m{leaves[leaf]}" for leaf in models] + [f"l{k}" for leaf, k in leaves.items() if leaf.context is not None and whole] + [f"f{k}" for k in filters.values()]
         wide = rows.groupBy(*keys).agg(F.max("fits").alias("fits"), *[F.coalesce(F.sum(F.when(F.col("what") == n, F.col("tf"))), F.lit(0.0)).alias(n) for n in names])
         if nested:
             for sub, k in nested.items():
@@ -176,9 +196,21 @@ class Compiler:
         if doc_ids is not None:
             ids = doc_ids.select("doc_id").distinct()
             wide = ids.join(wide, "doc_id", "left").withColumn("fits", F.lit(True)).fillna(0.0, names) if whole else wide.join(ids, "doc_id", "left_semi")
+        if not whole and not cut and (every or self.config.score_siblings):
+            all_units = units.select(*keys)
+            if not every:
+                all_units = all_units.join(wide.filter("fits").select("doc_id").distinct(), "doc_id", "left_semi")
+            wide = all_units.join(wide, keys, "left").withColumn("fits", F.lit(True)).fillna(0.0, names)
         wide = wide.filter("fits") if not whole or doc_ids is None else wide
         lengths = self.c.lengths()
         wide = wide.join(lengths, "doc_id")
+        if cut:
+            wide = wide.withColumn("end", F.least("end", F.col("length")).cast("int")).filter("end > begin")
+        deep = {leaf: k for leaf, k in leaves.items() if leaf not in models and self.smoothing(leaf, whole, shrunk).document_level and not (whole and leaf.context is None)}
+        if deep:  # the document's own occurrences, for models with a document level
+            levels = [counted(self.extents.of(leaf.extents), ["doc_id"], isinstance(leaf.extents, (A.Term, A.Empty))).select("doc_id", F.lit(k).alias("k"), "tf") for leaf, k in deep.items()]
+            level = reduce(DataFrame.unionAll, levels).groupBy("doc_id").agg(*[F.sum(F.when(F.col("k") == k, F.col("tf"))).alias(f"d{k}") for k in deep.values()])
+            wide = wide.join(level, "doc_id", "left").fillna(0.0, [f"d{k}" for k in deep.values()])
         for name, k in priors.items():
             p = self.c.priors.filter(F.col("name") == name).select("doc_id", F.col("logprob").alias(f"p{k}"))
             wide = wide.join(p, "doc_id", "left").withColumn(f"p{k}", F.coalesce(f"p{k}", F.lit(NO_PRIOR)))
@@ -187,8 +219,11 @@ class Compiler:
         def part(n: A.Node, qtf: float = 1.0) -> Part:
             if isinstance(n, A.Leaf):
                 k = leaves[n]
+                if n in models:
+                    return Part.one(F.log(F.greatest(F.when(F.col(f"m{k}") > 0, F.col(f"m{k}")).otherwise(models[n]), F.lit(1e-300))))
                 own = F.col(f"l{k}") if n.context is not None and whole else size
-                return Part.one(score(self.smoothing(n), F.col(f"t{k}"), own, counts[n], whole and self.single(n), qtf))
+                of_doc = (F.col(f"d{k}"), F.col("length")) if n in deep else (None, None)
+                return Part.one(score(self.smoothing(n, whole, shrunk), F.col(f"t{k}"), own, counts[n], whole and self.single(n), qtf, *of_doc))
             if n in nested:
                 k = nested[n]
                 return Part(*[F.col(f"{c}{k}") for c in ("total", "count", "top", "exps", "none")])
@@ -222,7 +257,7 @@ class Compiler:
             raise TypeError(f"no score of {type(n).__name__}")
 
         final = part(node).total
-        if not whole:
+        if not whole and not cut:
             wide = wide.join(units, keys)
             final = final + F.when(F.col("unit_weight") != 1, F.log("unit_weight")).otherwise(0.0)
         span = [F.lit(0).alias("begin"), F.col("length").cast("int").alias("end")] if whole else ["begin", "end"]
@@ -230,7 +265,7 @@ class Compiler:
 
     def nested(self, node: A.Node, outer: DataFrame | None) -> DataFrame:
         """Results of a restriction or of passages within a belief, summed up by the unit around them."""
-        units, child, _ = self.units(node)
+        units, child = self.units(node)
         inner = self.scored(child, units)
         if outer is not None:
             inner = contained(inner.withColumn("weight", F.lit(1.0)), outer, ["doc_id", "begin", "end"], extra=["score"])
@@ -238,13 +273,13 @@ class Compiler:
         s = F.col("score")
         return inner.groupBy(*keys).agg(F.sum(s).alias("total"), F.count("*").alias("count"), F.max(s).alias("top"), F.sum(F.exp(s)).alias("exps"), F.sum(F.log1p(-F.exp(s))).alias("none"))
 
-    def smoothing(self, leaf: A.Leaf) -> Smoothing:
+    def smoothing(self, leaf: A.Leaf, whole: bool = True, shrunk: bool = False) -> Smoothing:
         if self.config.baseline:
             rule = next((r for r in self.config.rules), "")
             return Smoothing.of(f"{rule},method:{self.config.baseline}")
         kind = "window" if isinstance(leaf.extents, (A.Ordered, A.Unordered)) else "term"
         names = [n.name for n in _all(leaf) if isinstance(n, A.AnyField)]
-        return choose(self.config.rules, kind, tuple(names))
+        return choose(self.config.rules, kind, tuple(names), "shrinkage" if shrunk else "raw" if whole else "nested")
 
 
 def _lookup(table: dict, key: Column) -> Column:
@@ -282,10 +317,27 @@ def _positive(node: A.Node) -> set[A.Node]:
     return {x for c in A.children(node) for x in _positive(c)}
 
 
-def contained(rows: DataFrame, units: DataFrame, keys: list[str], extra: list[str] | None = None) -> DataFrame:
-    """rows (doc_id, begin as b, end as e, weight, extra) beside every unit that contains them."""
+def contained(rows: DataFrame, units: DataFrame | A.Passages, keys: list[str], extra: list[str] | None = None) -> DataFrame:
+    """rows (doc_id, begin as b, end as e, weight, extra) beside every unit that contains them.
+
+    The passages around an extent follow from its position, so that only occurrences are spread; a passage's end may lie beyond its document's here.
+    """
     r = rows.select("doc_id", F.col("begin").alias("b"), F.col("end").alias("e"), "weight", *(extra or []))
-    return units.select(*keys).join(r, "doc_id").filter((F.col("b") >= F.col("begin")) & (F.col("b") < F.col("end")) & (F.col("e") <= F.col("end")))
+    if isinstance(units, A.Passages):
+        w, step = units.width, units.step
+        first = F.greatest(F.ceil((F.col("e") - w) / step), F.lit(0)).cast("int")
+        spread = r.withColumn("i0", first).withColumn("i1", F.floor(F.col("b") / step).cast("int")).filter("i0 <= i1")
+        spread = spread.select("*", F.explode(F.sequence("i0", "i1")).alias("i")).withColumn("begin", (F.col("i") * step).cast("int"))
+        return spread.withColumn("end", (F.col("begin") + w).cast("int")).drop("i", "i0", "i1")
+    return blocks_joined(units, r, keys)
+
+
+def blocks_joined(units: DataFrame, rows: DataFrame, keys: list[str], block: int = 256) -> DataFrame:
+    """units (doc_id, begin, end) beside the rows (doc_id, b, e, ...) inside them. Units meet only rows that begin in a block of positions
+    that they touch, and one document's blocks may go to many tasks."""
+    u = units.select(*keys, F.explode(F.sequence(F.floor(F.col("begin") / block), F.floor((F.col("end") - 1) / block))).alias("block"))
+    r = rows.withColumn("block", F.floor(F.col("b") / block))
+    return u.join(r, ["doc_id", "block"]).filter((F.col("b") >= F.col("begin")) & (F.col("b") < F.col("end")) & (F.col("e") <= F.col("end"))).drop("block")
 
 
 def counted_in(rows: DataFrame, keys: list[str], single: bool) -> DataFrame:

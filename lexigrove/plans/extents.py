@@ -77,7 +77,7 @@ class Extents:
         """Children in order, each the first that begins at or after the end of the one before and near enough to it.
 
         Width 1 over single terms is a chain of equi-joins on (document, position); else each child's extents are
-        sorted in with the windows so far, by document, and the next one is looked up in a frame.
+        sorted in with the windows so far, by document and from its end on, so that the next one is the last one seen: one pass.
         """
         parts = [self.of(c) for c in node.children]
         out = parts[0] if self.all_weights else parts[0].withColumn("weight", F.lit(1.0))
@@ -89,19 +89,19 @@ class Extents:
                 continue
             left = out.select("doc_id", F.col("end").alias("at"), F.lit(0).alias("kind"), F.struct("begin", "end", "weight").alias("x"))
             both = left.unionAll(right.select("doc_id", F.col("begin").alias("at"), F.lit(1).alias("kind"), F.struct("begin", "end", "weight").alias("x")))
-            ahead = W.partitionBy("doc_id").orderBy("at", "kind", "x.end").rowsBetween(1, W.unboundedFollowing)
-            both = both.withColumn("n", F.first(F.when(F.col("kind") == 1, F.col("x")), ignorenulls=True).over(ahead)).filter((F.col("kind") == 0) & F.col("n").isNotNull())
+            ahead = W.partitionBy("doc_id").orderBy(F.desc("at"), F.desc("kind"), F.desc("x.end")).rowsBetween(W.unboundedPreceding, -1)
+            both = both.withColumn("n", F.last(F.when(F.col("kind") == 1, F.col("x")), ignorenulls=True).over(ahead)).filter((F.col("kind") == 0) & F.col("n").isNotNull())
             if node.width >= 0:
                 both = both.filter(F.col("n.begin") - F.col("at") + 1 <= node.width)
             out = both.select("doc_id", "x.begin", F.col("n.end").alias("end"), (F.col("x.weight") * F.col("n.weight")).alias("weight"))
         return out
 
     def unordered(self, node: A.Unordered) -> DataFrame:
-        """From each child extent on, the first extent of every child; a window if it ends within the width."""
+        """From each child extent on, the first extent of every child; a window if it ends within the width. Sorted from the document's end on: one pass."""
         n = len(node.children)
         rows = reduce(DataFrame.unionAll, [self.of(c).select(*COLUMNS, F.lit(k).alias("k")) for k, c in enumerate(node.children)])
-        ahead = W.partitionBy("doc_id").orderBy("begin", "k", "end").rowsBetween(0, W.unboundedFollowing)
-        firsts = [F.first(F.when(F.col("k") == k, F.struct("end", "weight")), ignorenulls=True).over(ahead).alias(f"n{k}") for k in range(n)]
+        ahead = W.partitionBy("doc_id").orderBy(F.desc("begin"), F.desc("k"), F.desc("end")).rowsBetween(W.unboundedPreceding, 0)
+        firsts = [F.last(F.when(F.col("k") == k, F.struct("end", "weight")), ignorenulls=True).over(ahead).alias(f"n{k}") for k in range(n)]
         rows = rows.select("doc_id", "begin", *firsts).dropna(subset=[f"n{k}" for k in range(n)])
         end = F.greatest(*[F.col(f"n{k}.end") for k in range(n)]) if n > 1 else F.col("n0.end")
         weight = reduce(lambda a, b: a * b, [F.col(f"n{k}.weight") for k in range(0 if self.all_weights else 1, n)], F.lit(1.0))
