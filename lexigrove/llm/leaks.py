@@ -8,7 +8,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexigrove.llm.words import WORD, mix, runs
@@ -141,22 +141,35 @@ def _spans(texts: list[str | None], canon: Canon, size: int, least_fixed: int) -
     yield h[use], text[use], begin[use], ends, ids
 
 
+def _texts(slots: list[list[int]], canon: Canon, by_words: bool) -> tuple[str, str]:
+    """A window's template and its words. In the template every slot has its kind and the number of the first slot with
+    the same words, so that equal templates say that the slots map one to one."""
+    words = [" ".join(canon.lower[v] for v in g) for g in slots]
+    text = "\t".join(words)
+    if by_words:
+        return text, text
+    names: dict[str, int] = {}
+    kinds = (None, NUMBER, UNIT, NAME)
+    return "\t".join(w if not canon.kinds[g[0]] else f"{kinds[canon.kinds[g[0]]]}{names.setdefault(w, len(names))}" for w, g in zip(words, slots)), text
+
+
 def _batch(part: pa.RecordBatch, canon: Canon, size: int, least_fixed: int, wanted) -> pa.RecordBatch:
     if len(canon) > 1_000_000:
         canon.reset()
-    rows: list[tuple] = []
+    at, hashes, templates, words = [], [], [], []
     for h, text, begin, ends, ids in _spans(part.column(1).to_pylist(), canon, size, least_fixed):
         if wanted is not None:
             hit = np.flatnonzero(in_filter(wanted, h))
             h, text, begin = h[hit], text[hit], begin[hit]
-        for k, t, b in zip(h.view(np.int64).tolist(), text.tolist(), begin.tolist()):
-            at = ends[b : b + size + 1].tolist()
-            numbers = [ids[x:y].tolist() for x, y in zip(at, at[1:])]
-            rows.append((t, k, [" ".join(canon.lower[v] for v in g) for g in numbers], [canon.kinds[g[0]] == 0 for g in numbers]))
-    return pa.RecordBatch.from_arrays(
-        [part.column(0).take(pa.array([r[0] for r in rows], pa.int64())), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.string())), pa.array([r[3] for r in rows], pa.list_(pa.bool_()))],
-        ["id", "h", "ws", "fixed"],
-    )
+        at += text.tolist()
+        hashes += h.view(np.int64).tolist()
+        for b in begin.tolist():
+            cut = ends[b : b + size + 1].tolist()
+            slots = [ids[x:y].tolist() for x, y in zip(cut, cut[1:])]
+            t, w = _texts(slots, canon, sum(not canon.kinds[g[0]] for g in slots) < least_fixed)
+            templates.append(t)
+            words.append(w)
+    return pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int64())), pa.array(hashes, pa.int64()), pa.array(templates, pa.string()), pa.array(words, pa.string())], ["id", "h", "template", "words"])
 
 
 def window_filter(windows: DataFrame, bits: int) -> np.ndarray:
@@ -198,17 +211,13 @@ def leaks(docs: DataFrame, items: DataFrame, size: int = 12, least_fixed: int =
             for at in range(0, b.num_rows, CHUNK_TEXTS):
                 yield _batch(b.slice(at, CHUNK_TEXTS), canon, size, least_fixed, use.value if use else None)
 
-    schema = "id {}, h long, ws array<string>, fixed array<boolean>"
-    of_items = materialise(few.mapInArrow(lambda it: cut(it, None), schema.format(dict(items.dtypes)["item_id"])).select(F.col("id").alias("item_id"), "h", F.col("ws").alias("iw")).distinct())
+    schema = "id {}, h long, template string, words string"
+    of_items = few.mapInArrow(lambda it: cut(it, None), schema.format(dict(items.dtypes)["item_id"]))
+    of_items = materialise(of_items.select(F.col("id").alias("item_id"), "h", "template", F.col("words").alias("item_words")).distinct())
     n = of_items.count()
     bits = min(filter_bits, 1 << max(16, (FILTER_LOAD * n).bit_length()))
     wanted = spark.sparkContext.broadcast(window_filter(of_items, bits))
     of_docs = docs.select("doc_id", "text").dropna(subset=["text"]).mapInArrow(lambda it: cut(it, wanted), schema.format(dict(docs.dtypes)["doc_id"]))
-    pairs = of_docs.join(F.broadcast(of_items) if n <= BROADCAST_ROWS else of_items, "h").withColumn("same", F.col("ws") == F.col("iw"))
-    slots = F.array_distinct(F.filter(F.transform(F.arrays_zip("ws", "iw", "fixed"), lambda z: F.when(~z["fixed"], F.struct(z["ws"].alias("d"), z["iw"].alias("i")))), lambda z: z.isNotNull()))
-    one_to_one = (F.size(slots) == F.size(F.array_distinct(F.transform(slots, lambda z: z["d"])))) & (F.size(slots) == F.size(F.array_distinct(F.transform(slots, lambda z: z["i"]))))
-    fixed_equal = F.forall(F.arrays_zip("ws", "iw", "fixed"), lambda z: ~z["fixed"] | (z["ws"] == z["iw"]))
-    enough: Column = F.size(F.filter("fixed", lambda x: x)) >= least_fixed
-    good = pairs.filter(F.col("same") | (enough & fixed_equal & one_to_one))
-    out = good.groupBy(F.col("id").alias("doc_id"), "item_id").agg(F.max("same").alias("same"), F.count("*").alias("n_windows"))
+    pairs = of_docs.join(F.broadcast(of_items) if n <= BROADCAST_ROWS else of_items, ["h", "template"])
+    out = pairs.groupBy(F.col("id").alias("doc_id"), "item_id").agg(F.max(F.col("words") == F.col("item_words")).alias("same"), F.count("*").alias("n_windows"))
     return out.select("doc_id", "item_id", F.when(F.col("same"), "verbatim").otherwise("reworded").alias("kind"), "n_windows")
