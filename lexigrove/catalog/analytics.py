@@ -134,7 +134,14 @@ add(
         f"0.85 * ({_D[0]} + {_D[1]} + {_D[2]}) / 3 + 0.1 * ({_D[3]} + {_D[4]} + {_D[5]}) / 3 + 0.05 * ({_D[6]} + {_D[7]} + {_D[8]}) / 3",
     ),
 )
-add("xpath_query", lambda s, d: Compiler(corpora.pages(s, d)).run(parse_paths("//p[about(., court jury)]")).select("doc_id", "begin", "end", F.round("score", 6).alias("score")))
+add(
+    "xpath_query",
+    lambda s, d: Compiler(corpora.pages(s, d)).run(parse_paths("//p[about(., court jury)]")).select("doc_id", "begin", "end", F.round("score", 6).alias("score")),
+    f"""WITH {S.PAGES}, u AS (SELECT DISTINCT doc_id, "begin", "end" FROM ext WHERE field = 'p' AND "end" > "begin"), sz AS (SELECT sum("end" - "begin")::DOUBLE AS ctx FROM ext WHERE field = 'p'),
+h AS (SELECT u.doc_id, u."begin", u."end", count(*) FILTER (term = 'court') AS t0, count(*) FILTER (term = 'jury') AS t1 FROM u JOIN tok ON tok.doc_id = u.doc_id AND pos >= "begin" AND pos < "end" WHERE term IN ('court', 'jury') GROUP BY ALL),
+o AS (SELECT sum(t0)::DOUBLE AS o0, sum(t1)::DOUBLE AS o1 FROM h)
+SELECT doc_id, "begin"::INTEGER AS "begin", "end"::INTEGER AS "end", round((ln((t0 + 2500 * CASE WHEN o0 > 0 THEN o0 / ctx ELSE 0.5 / ctx END) / ("end" - "begin" + 2500)) + ln((t1 + 2500 * CASE WHEN o1 > 0 THEN o1 / ctx ELSE 0.5 / ctx END) / ("end" - "begin" + 2500))) / 2, 6) AS score FROM h, o, sz""",
+)
 
 
 def snippet(spark, sf):
@@ -168,10 +175,35 @@ add("pagerank", pagerank, _PR + " SELECT id, round(r, 9) AS rank FROM r5")
 
 def bins(spark, sf):
     e, n = _links(spark, sf)
-    return links.rank_bins(links.pagerank(e, n, 0.5, 10)).select("id", F.col("bin").cast("long").alias("bin"))
+    return links.rank_bins(links.pagerank(e, n, 0.85, 5).select("id", F.round("rank", 9).alias("rank"))).select("id", F.col("bin").cast("long").alias("bin"))
+
+
+# Bin k from the top holds as many ranks as all before it times a factor; the first has none.
+add(
+    "rank_bins",
+    bins,
+    _PR.replace("WITH ", "WITH RECURSIVE ", 1)
+    + """, base AS (SELECT power(count(*) + 1, 0.1) AS f, count(*) AS n FROM n),
+b(bin, lo, hi, size) AS (SELECT 10, 0::BIGINT, floor(f - 1)::BIGINT, floor(f - 1)::BIGINT FROM base
+  UNION ALL SELECT bin - 1, hi, hi + CASE WHEN size = 0 THEN 1 ELSE ceil(f * size)::BIGINT END, CASE WHEN size = 0 THEN 1 ELSE ceil(f * size)::BIGINT END FROM b, base WHERE bin > 2 AND hi < n),
+pl AS (SELECT id, row_number() OVER (ORDER BY round(r, 9) DESC, id) - 1 AS place FROM r5) SELECT id, coalesce((SELECT max(bin) FROM b WHERE place >= lo AND place < hi), 1)::BIGINT AS bin FROM pl""",
+)
 
 
-add("rank_bins", bins)
+def redirected(spark, sf):
+    t = table(spark, sf, "topics").filter("size(related_entities) > 0")
+    moved = t.select(F.col("target_id").alias("url"), F.element_at("related_entities", 1).alias("target"))
+    return links.link_keys(links.resolved(_links(spark, sf)[0], moved)).select("src", "dst", "key")
+
+
+add(
+    "redirected_links",
+    redirected,
+    """WITH RECURSIVE f AS (SELECT target_id AS url, min(related_entities[1]) AS target FROM topics WHERE len(related_entities) > 0 AND target_id IS NOT NULL AND related_entities[1] IS NOT NULL GROUP BY target_id HAVING min(related_entities[1]) <> target_id),
+w(url, target, k) AS (SELECT url, target, 1 FROM f UNION ALL SELECT w.url, f.target, k + 1 FROM w JOIN f ON f.url = w.target WHERE k <= (SELECT count(*) FROM f)),
+e AS (SELECT url, target FROM w WHERE target NOT IN (SELECT url FROM f)), l AS (SELECT target_id AS src, unnest(related_entities) AS dst FROM topics)
+SELECT src, coalesce(target, dst) AS dst, sha1(coalesce(target, dst)) AS key FROM l LEFT JOIN e ON dst = url""",
+)
 add(
     "link_counts",
     lambda s, d: links.link_counts(_links(s, d)[0]),
@@ -256,24 +288,112 @@ sc AS (SELECT target_id, stream_id, day, coalesce(sum(bm) FILTER (kind = 'label'
 
 
 def _terms(spark, sf):
-    return Z.materialise(Z.item_terms(corpora.items(spark, sf)))
+    return corpora.item_terms(spark, sf)
 
 
-def _stream_scores(spark, sf):
+def _stream_scores(spark, sf, models=Z.MODELS):
     terms = _terms(spark, sf)
     q = Z.materialise(Z.query_terms(table(spark, sf, "topics")))
-    return Z.scored(terms, q, Z.materialise(Z.running_totals(Z.day_totals(terms))), Z.materialise(Z.running_terms(Z.day_terms(terms, q))))
+    return Z.scored(terms, q, Z.materialise(Z.running_totals(Z.day_totals(terms))), Z.materialise(Z.running_terms(Z.day_terms(terms, q))), models)
 
 
 def model(name: str):
-    return lambda s, d: _stream_scores(s, d).filter(F.col("model") == name).select("target_id", "stream_id", "day", (F.round("score", 6) + 0.0).alias("score"))
+    return lambda s, d: _stream_scores(s, d, [name]).select("target_id", "stream_id", "day", (F.round("score", 6) + 0.0).alias("score"))
 
 
 add("stream_term_stats", lambda s, d: Z.day_terms(_terms(s, d), Z.query_terms(table(s, d, "topics"))), _STREAM + "SELECT day, term, df, cf FROM dd")
 add("stream_corpus_stats", lambda s, d: Z.running_totals(Z.day_totals(_terms(s, d))).select("day", "docs", "tokens"), _STREAM + "SELECT day, docs, tokens FROM rt")
 for _m in ("bm25", "bm25_ext", "lm", "lm_ext", "kl"):
     add(f"stream_{_m}", model(_m), _STREAM + _SCORES + f"SELECT target_id, stream_id, day, round({_m}, 6) + 0.0 AS score FROM sc")
-add("stream_top100", lambda s, d: Z.filter_batch(corpora.items(s, d), table(s, d, "topics")).select("model", "target_id", "day", F.col("place").cast("long").alias("place")), _STREAM + _SCORES + ", n AS (SELECT target_id, day, count(*) AS k FROM sc GROUP BY ALL) SELECT model, target_id, day, unnest(range(1, least(k, 100) + 1)) AS place FROM n, (VALUES ('bm25'), ('bm25_ext'), ('lm'), ('lm_ext'), ('kl')) m(model)")
+# Whole scores of the pool are cut off near whole thousandths in the same way on both sides.
+_POOLED = (
+    _STREAM
+    + _SCORES
+    + """, u AS (UNPIVOT (SELECT target_id, stream_id, day, bm25, bm25_ext, lm, lm_ext, kl FROM sc) ON bm25, bm25_ext, lm, lm_ext, kl INTO NAME model VALUE v),
+pl AS (SELECT model, target_id, day, stream_id, floor(round(v, 9) * 1000)::BIGINT AS score FROM u),
+pn AS (SELECT *, row_number() OVER (PARTITION BY model, target_id, day ORDER BY score DESC, stream_id) AS place FROM pl) SELECT model, target_id, day, stream_id, score, place FROM pn WHERE place <= 100
+"""
+)
+add("stream_top100", lambda s, d: Z.filter_batch(corpora.items(s, d), table(s, d, "topics")).select("model", "target_id", "day", "stream_id", "score", F.col("place").cast("long").alias("place")), _POOLED)
+add(
+    "stream_warm_up",
+    lambda s, d: Z.filter_batch(corpora.items(s, d), table(s, d, "topics"), warm_up=1, size=10).select("model", "target_id", "day", "stream_id", "score", F.col("place").cast("long").alias("place")),
+    _POOLED.replace("place <= 100", "place <= 10 AND day NOT IN (SELECT day FROM dt ORDER BY day LIMIT 1)"),
+)
+_DAYS = """, lb AS (SELECT target_id, term, qtf, qlen FROM q WHERE kind = 'label'), hx AS (SELECT DISTINCT target_id, stream_id, day, size FROM tm JOIN lb USING (term)),
+dc AS (SELECT day, term, sum(tf)::DOUBLE AS cf FROM tm GROUP BY ALL)
+"""
+add(
+    "day_pass",
+    lambda s, d: Z.day_pass(_terms(s, d), Z.query_terms(table(s, d, "topics"))).select("target_id", "stream_id", "day", F.round("first", 6).alias("first"), F.round("score", 6).alias("score")),
+    _STREAM
+    + _DAYS
+    + """, pd AS (SELECT a.day, sum(b.tokens)::DOUBLE AS old FROM dt a JOIN dt b ON b.day::DATE < a.day::DATE AND b.day::DATE >= a.day::DATE - 5 GROUP BY a.day),
+pc AS (SELECT a.day, term, sum(cf) AS old_cf FROM dt a JOIN dc ON dc.day::DATE < a.day::DATE AND dc.day::DATE >= a.day::DATE - 5 WHERE term IN (SELECT term FROM lb) GROUP BY ALL),
+r AS (SELECT hx.target_id, hx.stream_id, hx.day, sum(qtf / qlen * ln((coalesce(tf, 0) + 2500 * CASE WHEN coalesce(dc.cf, 0) > 0 THEN dc.cf / dt.tokens ELSE 0.5 / dt.tokens END) / (hx.size + 2500))) AS f,
+  sum(qtf * (ln(coalesce(tf, 0) + 2500 * CASE WHEN coalesce(tf, 0) = 0 AND coalesce(old_cf, 0) = 0 THEN 1 ELSE coalesce(old_cf, 0) END / old) - ln(hx.size + 2500))) AS s
+  FROM hx JOIN lb USING (target_id) JOIN dt ON dt.day = hx.day JOIN pd ON pd.day = hx.day LEFT JOIN tm ON tm.stream_id = hx.stream_id AND tm.term = lb.term LEFT JOIN dc ON dc.day = hx.day AND dc.term = lb.term LEFT JOIN pc ON pc.day = hx.day AND pc.term = lb.term GROUP BY ALL),
+g AS (SELECT *, row_number() OVER (PARTITION BY target_id, day ORDER BY f DESC, stream_id) AS n FROM r), k AS (SELECT *, row_number() OVER (PARTITION BY target_id, day ORDER BY s DESC, stream_id) AS m FROM g WHERE n <= 10000)
+SELECT target_id, stream_id, day, round(f, 6) AS first, round(s, 6) AS score FROM k WHERE m <= 100""",
+)
+
+
+def bootstrap(spark, sf):
+    terms = _terms(spark, sf)
+    found = Z.materialise(Z.feedback_groups(terms, Z.query_terms(table(spark, sf, "topics"))))
+    return Z.group_expansions(terms, found).select("group", "target_id", "term", F.round("weight", 6).alias("weight"))
+
+
+add(
+    "feedback_bootstrap",
+    bootstrap,
+    _STREAM
+    + _DAYS
+    + """, gd AS (SELECT day, (row_number() OVER (ORDER BY day) - 1) // 5 AS g FROM (SELECT DISTINCT day FROM tm)), gt AS (SELECT tm.*, g FROM tm JOIN gd USING (day)),
+gs AS (SELECT g, sum(size)::DOUBLE AS total FROM (SELECT DISTINCT stream_id, g, size FROM gt) GROUP BY g), gc AS (SELECT g, term, sum(tf)::DOUBLE AS cf FROM gt GROUP BY ALL),
+r AS (SELECT gd.g, hx.target_id, hx.stream_id, sum(qtf / qlen * ln((coalesce(tf, 0) + 2500 * CASE WHEN coalesce(cf, 0) > 0 THEN cf / total ELSE 0.5 / total END) / (hx.size + 2500))) AS s
+  FROM hx JOIN gd USING (day) JOIN lb USING (target_id) JOIN gs ON gs.g = gd.g LEFT JOIN tm ON tm.stream_id = hx.stream_id AND tm.term = lb.term LEFT JOIN gc ON gc.g = gd.g AND gc.term = lb.term GROUP BY ALL),
+b AS (SELECT *, row_number() OVER (PARTITION BY g, target_id ORDER BY s DESC, stream_id) AS k FROM r), p AS (SELECT *, exp(s - max(s) OVER w) AS e FROM b WHERE k <= 5 WINDOW w AS (PARTITION BY g, target_id)),
+pp AS (SELECT *, e / sum(e) OVER (PARTITION BY g, target_id) AS p FROM p), m AS (SELECT g, target_id, term, sum(p * tf / size) AS weight FROM pp JOIN tm USING (stream_id) GROUP BY ALL),
+x AS (SELECT *, row_number() OVER (PARTITION BY g, target_id ORDER BY round(weight, 12) DESC, term) AS n FROM m) SELECT g AS "group", target_id, term, round(weight, 6) AS weight FROM x WHERE n <= 10""",
+)
+
+
+def relevance(spark, sf):
+    r = table(spark, sf, "stream_results").filter("model_name = 'LM' and stream_id is not null and topic_name is not null and score is not null")
+    judged = r.select(F.col("topic_name").alias("target_id"), "stream_id", F.floor(F.col("score") / 10000).cast("int").alias("rating"))
+    return Z.term_relevance(_terms(spark, sf), judged, Z.query_terms(table(spark, sf, "topics")), least=-3)
+
+
+add(
+    "term_relevance",
+    relevance,
+    _STREAM
+    + _DAYS
+    + """, jd AS (SELECT topic_name AS target_id, stream_id, (min(floor(score / 10000)) >= -3)::BIGINT AS rel FROM stream_results WHERE model_name = 'LM' AND stream_id IS NOT NULL AND topic_name IS NOT NULL AND score IS NOT NULL GROUP BY ALL),
+sz AS (SELECT target_id, sum(rel)::BIGINT AS relevant_size FROM jd GROUP BY target_id),
+ht AS (SELECT jd.target_id, tm.term, count(*) AS n, sum(rel)::BIGINT AS r FROM jd JOIN tm USING (stream_id) JOIN lb ON lb.target_id = jd.target_id AND lb.term = tm.term GROUP BY ALL)
+SELECT lb.target_id, lb.term, coalesce(n, 0) AS judged_df, coalesce(r, 0) AS relevant_df, relevant_size FROM lb JOIN sz USING (target_id) LEFT JOIN ht ON ht.target_id = lb.target_id AND ht.term = lb.term""",
+)
+
+
+def kl_distributions(spark, sf):
+    terms = _terms(spark, sf)
+    q = Z.query_terms(table(spark, sf, "topics"))
+    p = q.filter("kind = 'label'").select("target_id", "term", (F.col("qtf") / F.col("qlen")).alias("p"))
+    total = terms.agg(F.sum("tf")).first()[0] or 1
+    share = terms.groupBy("term").agg((F.sum("tf") / F.lit(total)).alias("share"))
+    return Z.kl_scores(terms, p, share).select("target_id", "stream_id", F.round("score", 6).alias("score"))
+
+
+add(
+    "kl_distributions",
+    kl_distributions,
+    _STREAM
+    + _DAYS
+    + """, sh AS (SELECT term, sum(tf)::DOUBLE / (SELECT sum(tf) FROM tm) AS share FROM tm GROUP BY term), dd2 AS (SELECT target_id, term, qtf / qlen AS p, share FROM lb JOIN sh USING (term) WHERE share > 1e-9)
+SELECT hx.target_id, hx.stream_id, round(sum(p * ln((coalesce(tf, 0) + 2500 * share) / (hx.size + 2500))), 6) AS score FROM hx JOIN dd2 USING (target_id) LEFT JOIN tm ON tm.stream_id = hx.stream_id AND tm.term = dd2.term GROUP BY ALL""",
+)
 add(
     "sliding_history",
     lambda s, d: Z.sliding_terms(Z.day_terms(_terms(s, d), Z.query_terms(table(s, d, "topics"))), 5),
@@ -311,13 +431,6 @@ SELECT target_id, stream_id, round(least(sum(v), 1000.0), 6) AS score FROM tm JO
 )
 
 
-def shrinkage(spark, sf):
-    from lexigrove.operators.shrinkage import Shrinkage, shrinkage_scores
-
-    rules = Shrinkage(children={"line": 0.3, "para": 0.3})
-    return shrinkage_scores(corpora.documents(spark, sf), "para", ["court", "jury"], rules).withColumn("score", F.round("score", 6))
-
-
 def porter(spark, sf):
     from lexigrove.functions.analysis import stem_udf
 
@@ -345,9 +458,17 @@ def em_mixture(spark, sf):
     absent = corpora.documents(spark, sf).lengths().agg(F.count("*")).first()[0]
     seen = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     zero = spark.range(1).select(F.lit(0).cast("long").alias("tf"), F.lit(absent - seen).alias("n"))
-    a, b, c = Z.mixture(counts.unionAll(zero))
+    a, b, c = Z.mixture(counts.unionAll(zero), delta=-1, rounds=20)
     return spark.range(1).select(F.round(F.lit(a), 6).alias("share"), F.round(F.lit(b), 6).alias("topic"), F.round(F.lit(c), 6).alias("background"))
 
 
-for _f in (shrinkage, porter, dictionary_stems, html_parse, em_mixture):
+for _f in (porter, dictionary_stems, html_parse, em_mixture):
     add(_f.__name__, _f)
+
+# Twenty rounds of expectation-maximisation over how many documents hold `court` tf times.
+_EM = f"""WITH {S.TOK}, tfs AS (SELECT doc_id, count(*) FILTER (term = 'court') AS tf FROM tok GROUP BY doc_id), h AS (SELECT tf::DOUBLE AS tf, count(*)::DOUBLE AS n FROM tfs GROUP BY tf),
+t AS (SELECT sum(n) AS docs, sum(tf * n) AS hits FROM h), e0 AS MATERIALIZED (SELECT 0.5::DOUBLE AS s, greatest((SELECT max(tf) FROM h), 1e-6) AS hi, greatest(hits / docs / 2, 1e-6) AS lo FROM t)"""
+for _i in range(1, 21):
+    _EM += f""", x{_i} AS (SELECT tf, n, 1 / (1 + exp((ln(1 - s) + tf * ln(lo) - lo) - (ln(s) + tf * ln(hi) - hi))) AS r FROM h, e{_i - 1}), y{_i} AS (SELECT sum(n * r) AS w, sum(n * r * tf) AS g FROM x{_i}),
+e{_i} AS MATERIALIZED (SELECT least(greatest(w / docs, 1e-9), 1 - 1e-9) AS s, greatest(g / greatest(w, 1e-12), 1e-9) AS hi, greatest((hits - g) / greatest(docs - w, 1e-12), 1e-9) AS lo FROM y{_i}, t)"""
+SQL["em_mixture"] = _EM + " SELECT round(s, 6) AS share, round(hi, 6) AS topic, round(lo, 6) AS background FROM e20"

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lexigrove.collection import Collection
 from lexigrove.functions.analysis import simple_tokens
 from lexigrove.session import materialise, table
+from lexigrove.streaming import filtering
 
 _built: dict[tuple[str, str, str], Collection] = {}
 
@@ -40,7 +41,7 @@ def documents(spark, sf) -> Collection:
         lines = lines.withColumn("end", F.sum("n").over(order).cast("int")).withColumn("para", F.sum("gap").over(order)).withColumn("begin", F.col("end") - F.col("n").cast("int")).filter("n > 0")
         number = F.lit(None).cast("long")
         paras = lines.groupBy("doc_id", "para").agg(F.min("begin").alias("begin"), F.max("end").alias("end"))
-        paras = paras.withColumn("o", (F.row_number().over(W.partitionBy("doc_id").orderBy("begin")) + 1).cast("int"))
+        paras = paras.withColumn("o", (2 * F.row_number().over(W.partitionBy("doc_id").orderBy("begin"))).cast("int"))  # even ordinals; lines have odd ones from 3 on
         inner = lines.join(paras.select("doc_id", "para", "o"), ["doc_id", "para"])
         lengths = c.lengths()
         sizes = docs.select("doc_id", F.col("n_chars").alias("number")).join(lengths, "doc_id")
@@ -51,7 +52,7 @@ def documents(spark, sf) -> Collection:
             .unionByName(whole(sizes, "size", 0))
             .unionByName(whole(dates, "date", 0))
             .unionByName(paras.select("doc_id", F.lit("para").alias("field"), "begin", "end", number.alias("number"), F.col("o").alias("ordinal"), F.lit(1).alias("parent")))
-            .unionByName(inner.select("doc_id", F.lit("line").alias("field"), "begin", "end", number.alias("number"), (F.col("i") + 100_000).alias("ordinal"), F.col("o").alias("parent")))
+            .unionByName(inner.select("doc_id", F.lit("line").alias("field"), "begin", "end", number.alias("number"), (2 * F.col("i") + 3).alias("ordinal"), F.col("o").alias("parent")))
         )
         total = docs.filter("text is not null").agg(F.sum("n_chars")).first()[0] or 1
         priors = docs.filter("n_chars > 0").select(F.lit("size").alias("name"), "doc_id", F.log(F.col("n_chars") / F.lit(total)).alias("logprob"))
@@ -70,6 +71,17 @@ def pages(spark, sf) -> Collection:
     return _once(spark, sf, "pages", make)
 
 
+_terms: dict = {}
+
+
+def item_terms(spark, sf):
+    """Terms of the stream's items, built once a session and table folder."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _terms:
+        _terms[key] = materialise(filtering.item_terms(items(spark, sf)))
+    return _terms[key]
+
+
 def items(spark, sf):
     """(stream_id, day, text, other_content) of stream items, each once, by the day of their directory."""
     docs = table(spark, sf, "documents").filter("stream_id is not null").groupBy("stream_id").agg(F.max("text").alias("text"))

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from lexigrove.catalog import corpora
 from lexigrove.catalog import sqltext as S
 from lexigrove.engine import Engine
+from lexigrove.functions import scoring
 from lexigrove.operators import inspect
 from lexigrove.plans import ast as A
 from lexigrove.plans.compile import Compiler, Config
 from lexigrove.plans.extents import Extents
+from lexigrove.operators.shrinkage import Shrinkage, shrinkage_scores
 from lexigrove.plans.parser import parse, parse_extent
+from lexigrove.plans.xpath import parse_paths
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -113,6 +118,10 @@ _D = [S.dirichlet(k) for k in range(4)]
 scores("weight", "#weight(2 court 1 jury -0.5 meeting)", S.query(_CJ, f"(2 * {_D[0]} + {_D[1]} - 0.5 * {_D[2]}) / 3.5"))
 scores("wand", "#wand(3 court 1 jury)", S.query(_CJ[:2], f"(3 * {_D[0]} + {_D[1]}) / 4"))
 scores("wsum", "#wsum(3 court 1 jury)", S.query(_CJ[:2], f"ln((3 * exp({_D[0]}) + exp({_D[1]})) / 4)"))
+scores("sum_", "#sum(court jury)", S.query(_CJ[:2], f"ln((exp({_D[0]}) + exp({_D[1]})) / 2)"))
+scores("quoted", '#combine("court" "Jury" meeting)', S.query([S.term("court"), S.term("Jury"), S.term("meeting")], _D3))
+scores("base64", "#combine(#base64(Y291cnQ=) #base64quote(anVyeQ==))", S.query(_CJ[:2], f"({_D[0]} + {_D[1]}) / 2"))
+scores("number_terms", "#combine(17 2011 court)", S.query([S.term("17"), S.term("2011"), S.term("court")], _D3))
 scores("or_", "#or(court jury)", S.query(_CJ[:2], f"ln(1 - (1 - exp({_D[0]})) * (1 - exp({_D[1]})))"))
 scores("not_", "#combine(court #not(jury))", S.query(_CJ[:2], f"({_D[0]} + ln(1 - exp({_D[1]}))) / 2", gate=[0]))
 scores("max_", "#max(court jury meeting)", S.query(_CJ, f"greatest({_D[0]}, {_D[1]}, {_D[2]})"))
@@ -134,6 +143,29 @@ extents("uw_unlimited", "#uw(court the meeting)", S.unordered(None, "court", "th
 extents("band", "#band(court jury)", S.unordered(None, "court", "jury"))
 extents("hyphen", "copies-of", S.phrase("copies", "of"))
 extents("wildcard", "court*", "SELECT doc_id, pos AS b, pos + 1 AS e, 1.0 AS w FROM tok WHERE term LIKE 'court%'")
+
+
+def stopped_windows(spark, sf):
+    c = replace(corpora.documents(spark, sf), stopwords=("of",))
+    return inspect.expression_list(c, "#1(copies of the)").unionAll(inspect.expression_list(c, "#uw6(copies of the)")).select("doc_id", "begin", "end", "weight")
+
+
+plain(
+    "stopped_windows",
+    stopped_windows,
+    f"WITH {S.TOK} SELECT doc_id, b::INTEGER AS \"begin\", e::INTEGER AS \"end\", w::DOUBLE AS weight FROM (({S.ordered('copies', 'the', 2)}) UNION ALL ({S.unordered(6, 'copies', 'the')}))",
+)
+plain(
+    "term_positions",
+    lambda s, d: inspect.inverted_list(corpora.documents(s, d), "jury").select("doc_id", F.explode("positions").alias("pos")),
+    f"WITH {S.TOK} SELECT doc_id, pos::INTEGER AS pos FROM tok WHERE term = 'jury'",
+)
+plain(
+    "expr_df_phrase",
+    lambda s, d: inspect.expression_counts(corpora.documents(s, d), "#1(copies of the)").select("doc_id", F.col("n").cast("long").alias("n")),
+    f"WITH {S.TOK}, {S.leaf(0, S.phrase('copies', 'of', 'the'))} SELECT doc_id, tf::BIGINT AS n FROM l0",
+)
+extents("expr_list_phrase", "#1(the court)", S.phrase("the", "court"))
 scores("score_window", "#combine(court #uw8(the court))", S.query([S.term("court"), S.unordered(8, "the", "court")], f"({_D[0]} + {_D[1]}) / 2"))
 scores("score_syn", "#combine(<court jury> meeting)", S.query([S.syn("court", "jury"), S.term("meeting")], f"({_D[0]} + {_D[1]}) / 2"))
 
@@ -165,7 +197,9 @@ _DAY = "(split_part(stream_id, '-', 1)::BIGINT // 86400)"
 numbers("less", "#less(size 800)", "n_chars < 800")
 numbers("greater", "#greater(size 1200)", "n_chars > 1200")
 numbers("between", "#between(size 700 900)", "n_chars BETWEEN 700 AND 900")
-numbers("equals", "#dateequals(2 october 2011)", f"{_DAY} = date_diff('day', DATE '1970-01-01', DATE '2011-10-02')")
+numbers("equals", "#equals(date 150389)", f"{_DAY} = date_diff('day', DATE '1970-01-01', DATE '1600-01-01') + 150389")
+numbers("date_equals", "#dateequals(2 october 2011)", f"{_DAY} = date_diff('day', DATE '1970-01-01', DATE '2011-10-02')")
+numbers("date_after", "#dateafter(10/1/2011)", f"{_DAY} > date_diff('day', DATE '1970-01-01', DATE '2011-10-01')")
 numbers("date_before", "#datebefore(10/2/2011)", f"{_DAY} < date_diff('day', DATE '1970-01-01', DATE '2011-10-02')")
 numbers("date_between", "#datebetween(1 october 2011, 3 october 2011)", f"{_DAY} BETWEEN date_diff('day', DATE '1970-01-01', DATE '2011-10-01') AND date_diff('day', DATE '1970-01-01', DATE '2011-10-03')")
 
@@ -197,11 +231,29 @@ plain(
 )
 plain("passage_max", lambda s, d: Compiler(corpora.documents(s, d)).run(parse("#max(#combine[passage50:25](court jury))")).select("doc_id", F.round("score", 6).alias("score")), _PSG + " SELECT doc_id, round(max(score), 6) AS score FROM r GROUP BY doc_id")
 
+# The document's own counts come in where a model has a document level.
+plain(
+    "passage_two_level",
+    lambda s, d: Compiler(corpora.documents(s, d), Config(rules=["method:dirichlet,mu:1000,documentmu:500"])).run(parse("#combine[passage50:25](court)")).select("doc_id", "begin", "end", F.round("score", 6).alias("score")),
+    f"""WITH {S.TOK}, p AS (SELECT doc_id, length, b, least(b + 50, length) AS e FROM (SELECT doc_id, length, unnest(range(0, length, 25)) AS b FROM len)),
+d AS (SELECT doc_id, count(*) AS dtf FROM tok WHERE term = 'court' GROUP BY doc_id),
+tf AS (SELECT p.doc_id, length, b, e, count(*) AS t FROM p JOIN tok ON tok.doc_id = p.doc_id AND pos >= b AND pos < e WHERE term = 'court' GROUP BY ALL)
+SELECT doc_id, b::INTEGER AS "begin", e::INTEGER AS "end", round(ln((t + 500 * (1000 * (SELECT sum(dtf) / max(total) FROM d, c) + dtf) / (length + 1000)) / (e - b + 500)), 6) AS score FROM tf JOIN d USING (doc_id)""",
+)
+plain(
+    "passage_twostage",
+    lambda s, d: Compiler(corpora.documents(s, d), Config(rules=["method:twostage,mu:1500,lambda:0.3"])).run(parse("#combine[passage40:40](jury)")).select("doc_id", "begin", "end", F.round("score", 6).alias("score")),
+    f"""WITH {S.TOK}, p AS (SELECT doc_id, length, b, least(b + 40, length) AS e FROM (SELECT doc_id, length, unnest(range(0, length, 40)) AS b FROM len)),
+d AS (SELECT doc_id, count(*) AS dtf FROM tok WHERE term = 'jury' GROUP BY doc_id),
+tf AS (SELECT p.doc_id, length, b, e, count(*) AS t FROM p JOIN tok ON tok.doc_id = p.doc_id AND pos >= b AND pos < e WHERE term = 'jury' GROUP BY ALL)
+SELECT doc_id, b::INTEGER AS "begin", e::INTEGER AS "end", round(ln(0.7 * (t + 1500 * dtf / length) / (e - b + 1500) + 0.3 * (SELECT sum(dtf) / max(total) FROM d, c)), 6) AS score FROM tf JOIN d USING (doc_id)""",
+)
+
 # fields
 
 
-def pages_query(text: str):
-    return lambda s, d: Compiler(corpora.pages(s, d)).run(parse(text)).select("doc_id", "begin", "end", F.round("score", 6).alias("score"))
+def pages_query(text: str, **config):
+    return lambda s, d: Compiler(corpora.pages(s, d), Config(**config)).run(parse(text)).select("doc_id", "begin", "end", F.round("score", 6).alias("score"))
 
 
 _IN = "SELECT DISTINCT tok.doc_id, pos AS b, pos + 1 AS e, 1.0 AS w FROM tok JOIN ext ON ext.doc_id = tok.doc_id AND field = '{f}' AND pos >= \"begin\" AND pos < \"end\" WHERE term = '{t}'"
@@ -223,6 +275,38 @@ h AS (SELECT u.doc_id, u."begin", u."end", count(*) FILTER (term = 'court') AS t
 o AS (SELECT sum(t0)::DOUBLE AS o0, sum(t1)::DOUBLE AS o1 FROM h)
 SELECT doc_id, "begin"::INTEGER AS "begin", "end"::INTEGER AS "end", round((ln((t0 + 2500 * CASE WHEN o0 > 0 THEN o0 / ctx ELSE 0.5 / ctx END) / ("end" - "begin" + 2500)) + ln((t1 + 2500 * CASE WHEN o1 > 0 THEN o1 / ctx ELSE 0.5 / ctx END) / ("end" - "begin" + 2500))) / 2, 6) AS score FROM h, o, sz""",
 )
+_P_UNITS = f"""WITH {S.PAGES}, u AS (SELECT DISTINCT doc_id, "begin", "end" FROM ext WHERE field = 'p' AND "end" > "begin"), sz AS (SELECT sum("end" - "begin")::DOUBLE AS ctx FROM ext WHERE field = 'p'),
+h AS (SELECT u.doc_id, u."begin", u."end", count(*) FILTER (term = 'court') AS t0, count(*) FILTER (term = 'jury') AS t1 FROM u JOIN tok ON tok.doc_id = u.doc_id AND pos >= "begin" AND pos < "end" GROUP BY ALL),
+o AS (SELECT sum(t0)::DOUBLE AS o0, sum(t1)::DOUBLE AS o1 FROM h), dl AS (SELECT doc_id, count(*) FILTER (term = 'court')::DOUBLE AS d0, count(*) AS n FROM tok GROUP BY doc_id)
+"""
+plain(
+    "sibling_scores",
+    pages_query("#combine[p](court jury)", score_siblings=True),
+    _P_UNITS
+    + """SELECT doc_id, "begin"::INTEGER AS "begin", "end"::INTEGER AS "end", round((ln((t0 + 2500 * CASE WHEN o0 > 0 THEN o0 / ctx ELSE 0.5 / ctx END) / ("end" - "begin" + 2500)) + ln((t1 + 2500 * CASE WHEN o1 > 0 THEN o1 / ctx ELSE 0.5 / ctx END) / ("end" - "begin" + 2500))) / 2, 6) AS score
+FROM h, o, sz WHERE doc_id IN (SELECT doc_id FROM h WHERE t0 + t1 > 0)""",
+)
+plain(
+    "field_jm_document",
+    pages_query("#combine[p](court)", rules=["method:jm,lambda:0.4,documentlambda:0.2"]),
+    _P_UNITS + """SELECT h.doc_id, "begin"::INTEGER AS "begin", "end"::INTEGER AS "end", round(ln(0.4 * t0 / ("end" - "begin") + 0.2 * d0 / n + 0.4 * o0 / ctx), 6) AS score FROM h JOIN dl ON dl.doc_id = h.doc_id, o, sz WHERE t0 > 0""",
+)
+plain(
+    "context_twostage",
+    pages_query("#combine(court.(p))", rules=["method:twostage"]),
+    _P_UNITS
+    + """, x AS (SELECT doc_id, sum(t0) AS t FROM h GROUP BY doc_id HAVING sum(t0) > 0), xl AS (SELECT doc_id, sum("end" - "begin") AS l FROM ext WHERE field = 'p' GROUP BY doc_id)
+SELECT x.doc_id, 0 AS "begin", n::INTEGER AS "end", round(ln(0.6 * (t + 2500 * d0 / n) / (l + 2500) + 0.4 * o0 / ctx), 6) AS score FROM x JOIN xl ON xl.doc_id = x.doc_id JOIN dl ON dl.doc_id = x.doc_id, o, sz""",
+)
+scores("rules_by_node", "#combine(court jury)", S.query(_CJ[:2], f"({S.dirichlet(0, 100)} + {S.dirichlet(1, 100)}) / 2"), rules=["method:dirichlet,mu:100", "node:NestedRawScorerNode,method:dirichlet,mu:7"])
+
+
+def registered(spark, sf):
+    scoring.register("saturation", lambda p, tf, length, counts: F.log(0.01 + tf / (tf + p.get("k", 1.0))))
+    return Compiler(corpora.documents(spark, sf), Config(rules=["method:saturation,k:2"])).run(parse("#combine(court jury)")).select("doc_id", F.round("score", 6).alias("score"))
+
+
+plain("registered_score", registered, S.query(_CJ[:2], "(ln(0.01 + coalesce(l0.tf, 0) / (coalesce(l0.tf, 0) + 2)) + ln(0.01 + coalesce(l1.tf, 0) / (coalesce(l1.tf, 0) + 2))) / 2"))
 plain(
     "any_field",
     lambda s, d: Extents(corpora.pages(s, d)).of(parse_extent("#any:h1")).select("doc_id", "begin", "end"),
@@ -264,3 +348,74 @@ plain(
     + """, h AS (SELECT li.doc_id, "begin", "end", count(*) AS tf FROM li JOIN tok ON tok.doc_id = li.doc_id AND pos >= "begin" AND pos < "end" WHERE term = 'court' GROUP BY ALL)
 SELECT doc_id, "begin", "end", round(ln((tf + 2500 * (SELECT sum(tf) FROM h) / (SELECT sum("end" - "begin") FROM li)) / ("end" - "begin" + 2500)), 6) AS score FROM h""",
 )
+
+
+def lines_query(text: str, language=parse, **config):
+    return lambda s, d: Compiler(corpora.documents(s, d), Config(**config)).run(language(text)).select("doc_id", "begin", "end", F.round("score", 6).alias("score"))
+
+
+#: Lines and paragraphs with their occurrences and the log scores of `court` and `jury` in their kind.
+_SCORED_LINES = (
+    _LINES
+    + """, tt AS (SELECT doc_id, pos, term FROM tok WHERE term IN ('court', 'jury')),
+hl AS (SELECT li.doc_id, para, "begin", "end", count(*) FILTER (term = 'court') AS c, count(*) FILTER (term = 'jury') AS j FROM li LEFT JOIN tt ON tt.doc_id = li.doc_id AND pos >= "begin" AND pos < "end" GROUP BY ALL),
+hp AS (SELECT pa.doc_id, "begin", "end", count(*) FILTER (term = 'court') AS c, count(*) FILTER (term = 'jury') AS j FROM pa LEFT JOIN tt ON tt.doc_id = pa.doc_id AND pos >= "begin" AND pos < "end" GROUP BY ALL),
+nl AS (SELECT sum("end" - "begin") AS n, sum(c) AS oc, sum(j) AS oj FROM hl), np AS (SELECT sum("end" - "begin") AS n, sum(c) AS oc, sum(j) AS oj FROM hp),
+sl AS (SELECT hl.*, ln((c + 2500 * oc / n) / ("end" - "begin" + 2500)) AS sc, ln((j + 2500 * oj / n) / ("end" - "begin" + 2500)) AS sj FROM hl, nl),
+pq AS (SELECT hp.*, ln((c + 2500 * oc / n) / ("end" - "begin" + 2500)) AS sc FROM hp, np)
+"""
+)
+plain(
+    "child_query",
+    lines_query("#combine[para](#max(#combine[./line](court)))"),
+    _SCORED_LINES + 'SELECT pq.doc_id, pq."begin", pq."end", round(max(sl.sc), 6) AS score FROM pq JOIN sl ON sl.doc_id = pq.doc_id AND sl."begin" >= pq."begin" AND sl."end" <= pq."end" WHERE sl.c > 0 GROUP BY ALL',
+)
+plain(
+    "descendant_query",
+    lines_query("#combine[document](#max(#combine[.//line](court)))"),
+    _SCORED_LINES + 'SELECT doc_id, 0 AS "begin", length::INTEGER AS "end", round(max(sc), 6) AS score FROM sl JOIN len USING (doc_id) WHERE c > 0 GROUP BY ALL',
+)
+plain(
+    "two_step_path",
+    lines_query("//para[about(., court)]//line[about(., jury)]", parse_paths),
+    _SCORED_LINES + 'SELECT sl.doc_id, sl."begin", sl."end", round((sl.sj + pq.sc) / 2, 6) AS score FROM sl JOIN pq ON sl.doc_id = pq.doc_id AND sl."begin" >= pq."begin" AND sl."end" <= pq."end" WHERE sl.j > 0',
+)
+plain(
+    "path_logic",
+    lines_query('//line[about(., "the court" -jury) or about(., +court)]', parse_paths),
+    _SCORED_LINES
+    + f""", ph AS ({S.phrase('the', 'court')}), hq AS (SELECT hl.doc_id, hl."begin", hl."end", count(b) AS q FROM hl LEFT JOIN ph ON ph.doc_id = hl.doc_id AND b >= "begin" AND e <= "end" GROUP BY ALL), nq AS (SELECT sum(q) AS oq FROM hq),
+z AS (SELECT sl.*, q, (ln((q + 2500 * oq / n) / (sl."end" - sl."begin" + 2500)) + ln(1 - exp(sj))) / 2 AS a FROM sl JOIN hq ON hq.doc_id = sl.doc_id AND hq."begin" = sl."begin" AND hq."end" = sl."end", nq, nl)
+SELECT doc_id, "begin", "end", round(ln(1 - (1 - exp(a)) * (1 - exp(sc))), 6) AS score FROM z WHERE q > 0 OR c > 0""",
+)
+plain(
+    "path_fields",
+    lambda s, d: Compiler(corpora.pages(s, d)).run(parse_paths("//(h1|title)[about(., court)]")).select("doc_id", "begin", "end", F.round("score", 6).alias("score")),
+    f"""WITH {S.PAGES}, u AS (SELECT DISTINCT doc_id, "begin", "end" FROM ext WHERE field IN ('h1', 'title') AND "end" > "begin"), sz AS (SELECT sum("end" - "begin")::DOUBLE AS ctx FROM ext WHERE field IN ('h1', 'title')),
+h AS (SELECT u.doc_id, u."begin", u."end", count(*) AS t FROM u JOIN tok ON tok.doc_id = u.doc_id AND pos >= "begin" AND pos < "end" AND term = 'court' GROUP BY ALL)
+SELECT doc_id, "begin"::INTEGER AS "begin", "end"::INTEGER AS "end", round(ln((t + 2500 * (SELECT sum(t) FROM h) / ctx) / ("end" - "begin" + 2500)), 6) AS score FROM h, sz""",
+)
+#: Shrinkage: lines into paragraphs into documents by 0.3 a child, then 0.2 from the parent, the document and the collection each.
+_RULES = Shrinkage(children={"line": 0.3, "para": 0.3})
+
+
+def _shrunk(t: str) -> str:
+    return f"""m{t} AS (SELECT doc_id, para, {t}::DOUBLE / ("end" - "begin") AS m FROM hl),
+lp{t} AS (SELECT doc_id, para, avg(m) AS m, least(0.3 * count(*), 1) AS w FROM m{t} GROUP BY ALL),
+p{t} AS (SELECT b.doc_id, b.para, b."begin", b."end", (1 - w) * {t}::DOUBLE / (b."end" - b."begin") + w * m AS m FROM (SELECT doc_id, para, min("begin") AS "begin", max("end") AS "end", sum({t}) AS {t} FROM hl GROUP BY ALL) b JOIN lp{t} USING (doc_id, para)),
+dp{t} AS (SELECT doc_id, avg(m) AS m, least(0.3 * count(*), 1) AS w FROM p{t} GROUP BY ALL),
+d{t} AS (SELECT doc_id, 0.8 * ((1 - w) * x / length + w * m) + 0.2 * g AS m, x, g FROM dp{t} JOIN (SELECT doc_id, sum({t})::DOUBLE AS x FROM hl GROUP BY ALL) USING (doc_id) JOIN len USING (doc_id), (SELECT sum({t}) / (SELECT total FROM c) AS g FROM hl)),
+f{t} AS (SELECT p{t}.doc_id, "begin", "end", 0.4 * p{t}.m + 0.4 * d{t}.m + 0.2 * g AS m FROM p{t} JOIN d{t} ON d{t}.doc_id = p{t}.doc_id)"""
+
+
+_SHRUNK = _SCORED_LINES + f", {_shrunk('c')}, {_shrunk('j')} "
+plain(
+    "shrinkage",
+    lambda s, d: shrinkage_scores(corpora.documents(s, d), "para", ["court", "jury"], _RULES).select("doc_id", "begin", "end", F.round("score", 6).alias("score")),
+    _SHRUNK + 'SELECT fc.doc_id, fc."begin", fc."end", round((ln(fc.m) + ln(fj.m)) / 2, 6) AS score FROM fc JOIN fj USING (doc_id, "begin", "end") WHERE fc.doc_id IN (SELECT doc_id FROM hl WHERE c + j > 0)',
+)
+plain(
+    "path_shrinkage",
+    lines_query("//para[about(., court jury)]", parse_paths, shrinkage=_RULES),
+    _SHRUNK + 'SELECT hp.doc_id, hp."begin", hp."end", round((ln(fc.m) + ln(fj.m)) / 2, 6) AS score FROM hp JOIN fc ON fc.doc_id = hp.doc_id AND fc."begin" = hp."begin" AND fc."end" = hp."end" JOIN fj ON fj.doc_id = hp.doc_id AND fj."begin" = hp."begin" AND fj."end" = hp."end" WHERE hp.c + hp.j > 0',
+)

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexigrove.functions import analysis, markup
+from lexigrove.session import exists, remove
 
 FIELDS = "begin int, end int, number long, ordinal int, parent int"
 
@@ -111,28 +112,33 @@ class Collection:
         """A named prior from (doc_id, logprob)."""
         return replace(self, priors=self.priors.filter(F.col("name") != name).unionByName(table.select(F.lit(name).alias("name"), "doc_id", "logprob")))
 
-    def save(self, path: str, buckets: int = 32) -> None:
-        """Parquet tables under path; tokens by a hash of the term, sorted, so that a query reads the buckets and row groups of its terms."""
-        b = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
-        self.tokens.withColumn("bucket", b).repartition("bucket").sortWithinPartitions("term", "doc_id", "pos").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/tokens")
-        self.fields.sortWithinPartitions("field", "doc_id").write.mode("overwrite").parquet(f"{path}/fields")
+    def save(self, path: str, parts: int | None = None) -> None:
+        """Parquet tables under path. Tokens go to `parts` files (the session's shuffle partitions) by ranges of (term, document), sorted, so that
+        no term is one task's and a query reads the files and row groups of its terms only; extents likewise by field."""
+
+        def ranged(df: DataFrame, *by: str) -> DataFrame:
+            return df.repartitionByRange(parts, *by) if parts else df.repartitionByRange(*by)
+
+        ranged(self.tokens, "term", "doc_id").sortWithinPartitions("term", "doc_id", "pos").write.mode("overwrite").parquet(f"{path}/tokens")
+        ranged(self.fields, "field", "doc_id").sortWithinPartitions("field", "doc_id").write.mode("overwrite").parquet(f"{path}/fields")
         self.lengths().write.mode("overwrite").parquet(f"{path}/lengths")
         self.docs.write.mode("overwrite").parquet(f"{path}/docs")
         self.priors.write.mode("overwrite").parquet(f"{path}/priors")
-        if self.deleted is not None:
-            self.deleted.write.mode("overwrite").parquet(f"{path}/deleted")
+        optional = {"deleted": self.deleted, "positions": self.positions}
+        for name, df in optional.items():
+            if df is not None:
+                df.write.mode("overwrite").parquet(f"{path}/{name}")
+            else:
+                remove(self.docs.sparkSession, f"{path}/{name}")
 
     @staticmethod
     def open(spark: SparkSession, *paths: str) -> Collection:
-        """One or several saved collections, as one."""
+        """One or several saved collections, as one. What can't be read raises; only tables that aren't there are taken as none."""
         parts = []
         for p in paths:
             read = lambda n, p=p: spark.read.parquet(f"{p}/{n}")
-            try:
-                gone = read("deleted")
-            except Exception:
-                gone = None
-            parts.append(Collection(read("docs"), read("tokens").drop("bucket"), read("fields"), read("priors"), gone, _lengths=read("lengths")))
+            maybe = lambda n, p=p: spark.read.parquet(f"{p}/{n}") if exists(spark, f"{p}/{n}") else None
+            parts.append(Collection(read("docs"), read("tokens"), read("fields"), read("priors"), maybe("deleted"), positions=maybe("positions"), _lengths=read("lengths")))
         out = parts[0]
         for part in parts[1:]:
             out = out.append(part)

@@ -25,6 +25,7 @@ class Markup:
     metadata: frozenset[str] = frozenset({"docno", "title"})
     conflate: dict[tuple[str, str | None, str | None], str] = field(default_factory=dict)
     numeric: frozenset[str] = frozenset()
+    characters: bool = False  # every letter and digit is a token of its own
 
 
 def normal_url(url: str, base: str = "") -> str:
@@ -74,6 +75,9 @@ def parse(text: str | None, rules: Markup = Markup(), url: str = "") -> dict:
     for m in _EVENT.finditer(text):
         if m.group("word"):
             if not hidden and (shown or not rules.include):
+                if rules.characters:
+                    tokens += [(c.lower(), m.start() + i, m.start() + i + 1) for i, c in enumerate(m.group("word")) if c != "'"]
+                    continue
                 tokens.append((m.group("word").lower(), m.start(), m.end()))
             continue
         name = written = (m.group("name") or "").lower()

@@ -11,18 +11,24 @@ from pyspark.sql import functions as F
 
 from lexigrove.collection import Collection
 from lexigrove.functions.scoring import Counts, Smoothing, score
-from lexigrove.operators.inspect import term_stats
+from lexigrove.operators.inspect import stats_of, term_stats
 from lexigrove.plans.compile import Compiler, Config, ranked
 from lexigrove.plans.parser import parse
-from lexigrove.session import beside
+from lexigrove.session import beside, broadcast_if_small, materialise
 
 
 def feedback_results(c: Collection, query: str, docs: int = 10, config: Config | None = None) -> DataFrame:
-    """The best results with `p`, their posterior: exponentials of the scores, less the greatest, over their sum."""
-    top = ranked(Compiler(c, config).run(parse(query)), docs)
+    """The best results, written, with `p`, their posterior: exponentials of the scores, less the greatest, over their sum."""
+    top = materialise(ranked(Compiler(c, config).run(parse(query)), docs))
     return posteriors(top)
 
 
+def tokens_of(c: Collection, results: DataFrame) -> DataFrame:
+    """Token rows beside the results of their documents; results are broadcast while they are counted to be few."""
+    rows = materialise(results)
+    return c.tokens.join(broadcast_if_small(rows, rows.count()), "doc_id")
+
+
 def posteriors(top: DataFrame) -> DataFrame:
     best = top.agg(F.max("score").alias("best"))
     e = beside(top, best).withColumn("e", F.exp(F.col("score") - F.col("best"))).drop("best")
@@ -34,10 +40,10 @@ def relevance_model(c: Collection, results: DataFrame, max_grams: int = 1, mu: f
     """(gram, n, weight): for runs of 1..max_grams words of the results, the sum over results of p x P(gram | result).
 
     P is occurrences by length, or Dirichlet-smoothed if mu is set. Grams with a stopped slot or anything but ASCII letters and digits are left out.
-    results is a few rows with p (feedback_results), so that only their documents' tokens are read.
+    results have p, as from feedback_results.
     """
     r = results.select("doc_id", F.col("begin").alias("rb"), F.col("end").alias("re"), "p")
-    t = c.tokens.join(F.broadcast(r), "doc_id").filter("pos >= rb and pos < re")
+    t = tokens_of(c, r).filter("pos >= rb and pos < re")
     grams = None
     order = W.partitionBy("doc_id", "rb", "re").orderBy("pos")
     for n in range(1, max_grams + 1):
@@ -49,8 +55,8 @@ def relevance_model(c: Collection, results: DataFrame, max_grams: int = 1, mu: f
     if not mu:
         return tf.groupBy("gram", "n").agg(F.sum(F.col("p") * F.col("tf") / (F.col("re") - F.col("rb"))).alias("weight"))
     total = Compiler(c).totals()[0] or 1.0
-    cf = term_stats(c).select(F.col("term").alias("gram"), "cf")
-    wide = tf.filter("n = 1").join(cf, "gram")
+    tf = materialise(tf.filter("n = 1"))
+    wide = tf.join(stats_of(c, tf.select(F.col("gram").alias("term"))).select(F.col("term").alias("gram"), "cf"), "gram")
     share = F.col("cf") / F.lit(total)
     seen = wide.groupBy("gram", "n").agg(F.sum(F.col("p") * (F.col("tf") + mu * share) / (F.col("re") - F.col("rb") + mu)).alias("seen"), F.sum(F.col("p") * mu * share / (F.col("re") - F.col("rb") + mu)).alias("base"), F.first(mu * share).alias("ms"))
     rest = r.agg(F.sum(F.col("p") / (F.col("re") - F.col("rb") + mu)).alias("k"))
@@ -81,10 +87,9 @@ def expand_rm(c: Collection, query: str, docs: int = 10, terms: int = 10, weight
 def ponte_model(c: Collection, results: DataFrame, mu: float = 0.0) -> DataFrame:
     """(term, odds, weight) of terms that occur twice or more in a result: summed log odds against the collection, and summed e^score x P(term | result)."""
     total = Compiler(c).totals()[0] or 1.0
-    r = results.select("doc_id", "score")
-    t = c.tokens.join(F.broadcast(r), "doc_id").filter("term is not null")
-    tf = t.groupBy("term", "doc_id", "score").agg(F.count("*").alias("tf")).filter("tf >= 2")
-    rows = tf.join(c.lengths(), "doc_id").join(term_stats(c), "term")
+    t = tokens_of(c, results.select("doc_id", "score")).filter("term is not null")
+    tf = materialise(t.groupBy("term", "doc_id", "score").agg(F.count("*").alias("tf")).filter("tf >= 2"))
+    rows = tf.join(c.lengths(), "doc_id").join(stats_of(c, tf), "term")
     share = F.col("cf") / F.lit(total)
     return rows.groupBy("term").agg(F.sum(F.log(F.col("tf") / F.col("length") / share)).alias("odds"), F.sum(F.exp("score") * (F.col("tf") + mu * share) / (F.col("length") + mu)).alias("weight"))
 
@@ -98,9 +103,8 @@ def expand_ponte(c: Collection, query: str, docs: int = 10, terms: int = 10, wei
 def rocchio_model(c: Collection, results: DataFrame, docs: int, k1: float = 1.2, b: float = 0.75, weight: float = 0.5) -> DataFrame:
     """(term, weight): mean over results of BM25 term frequency x idf, times weight; idf = ln((N + 1) / (df + 0.5))."""
     total, n = Compiler(c).totals()
-    r = results.select("doc_id")
-    tf = c.tokens.join(F.broadcast(r), "doc_id").filter("term is not null").groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
-    rows = tf.join(c.lengths(), "doc_id").join(term_stats(c), "term")
+    tf = materialise(tokens_of(c, results.select("doc_id")).filter("term is not null").groupBy("term", "doc_id").agg(F.count("*").alias("tf")))
+    rows = tf.join(c.lengths(), "doc_id").join(stats_of(c, tf), "term")
     bm = k1 * F.col("tf") / (F.col("tf") + k1 * (1 - b) + k1 * b * F.col("length") / (total / n if n else 1.0))
     idf = F.log(F.lit(n + 1) / (F.col("df") + 0.5))
     count = results.agg(F.count("*").alias("k"))
@@ -130,7 +134,8 @@ def clarity(c: Collection, query: str, docs: int = 5, terms: int | None = 10, mu
     if terms is not None:
         model = model.orderBy(F.desc("weight"), "gram").limit(terms)
     total = Compiler(c).totals()[0] or 1.0
-    rows = model.withColumnRenamed("gram", "term").join(term_stats(c), "term")
+    model = materialise(model.withColumnRenamed("gram", "term"))
+    rows = model.join(stats_of(c, model), "term")
     return rows.select("term", "weight", (F.col("weight") * F.log2(F.col("weight") / (F.col("cf") / F.lit(total)))).alias("part"))
 
 

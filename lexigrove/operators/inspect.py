@@ -10,7 +10,7 @@ from lexigrove.plans import ast as A
 from lexigrove.plans import rewrite
 from lexigrove.plans.extents import Extents, counted
 from lexigrove.plans.parser import parse_extent
-from lexigrove.session import beside
+from lexigrove.session import beside, broadcast_if_small, materialise
 
 
 def corpus_stats(c: Collection) -> DataFrame:
@@ -28,6 +28,13 @@ def term_stats(c: Collection) -> DataFrame:
     return c.tokens.filter("term is not null").groupBy("term", "doc_id").agg(F.count("*").alias("tf")).groupBy("term").agg(F.sum("tf").alias("cf"), F.count("*").alias("df"))
 
 
+def stats_of(c: Collection, terms: DataFrame) -> DataFrame:
+    """(term, cf, df) of the given terms only: rows of all others are left out before anything is counted."""
+    wanted = materialise(terms.select("term").dropna().distinct())
+    rows = c.tokens.select("term", "doc_id").join(broadcast_if_small(wanted, wanted.count()), "term", "left_semi")
+    return rows.groupBy("term", "doc_id").agg(F.count("*").alias("tf")).groupBy("term").agg(F.sum("tf").alias("cf"), F.count("*").alias("df"))
+
+
 def vocabulary(c: Collection, prefix: str = "") -> DataFrame:
     return term_stats(c).filter(F.col("term").startswith(prefix)) if prefix else term_stats(c)
 

@@ -86,10 +86,31 @@ def link_counts(links: DataFrame) -> DataFrame:
     return ends.groupBy("id").agg(F.sum("i").alias("links_in"), F.sum("o").alias("links_out"))
 
 
+def redirect_ends(redirects: DataFrame, rounds: int = 32) -> DataFrame:
+    """(url, target): where each redirect of redirects(url, target) ends, by pointer doubling (a chain of k takes log2 k joins). Of several targets of a
+    url the least holds; redirects that run in a ring lead nowhere and are left out, NULLs too."""
+    first = redirects.select("url", "target").dropna().groupBy("url").agg(F.min("target").alias("target")).filter("url <> target")
+    at = materialise(first)
+    n = at.count()
+    for _ in range(rounds):
+        hop = at.select(F.col("url").alias("target"), F.col("target").alias("next"))
+        new = materialise(at.join(hop, "target", "left").select("url", F.coalesce("next", "target").alias("target")))
+        moved = new.join(at, ["url", "target"], "left_semi").count() < n
+        at = new
+        if not moved:
+            break
+    return at.join(first.select(F.col("url").alias("target")), "target", "left_anti").select("url", "target")
+
+
 def resolved(links: DataFrame, redirects: DataFrame) -> DataFrame:
-    """links(src, dst, ...) with dst followed through redirects(url, target), one step."""
-    r = redirects.select(F.col("url").alias("dst"), "target").dropDuplicates(["dst"])
-    return links.join(r, "dst", "left").withColumn("dst", F.coalesce("target", "dst")).drop("target")
+    """links(src, dst, ...) with dst followed to the end of redirects(url, target)."""
+    r = redirect_ends(redirects).select(F.col("url").alias("dst"), "target")
+    return links.join(r, "dst", "left").withColumn("dst", F.coalesce("target", "dst")).drop("target").select(*links.columns)
+
+
+def link_keys(links: DataFrame, column: str = "dst") -> DataFrame:
+    """links with `key`, the SHA-1 of a column's text, as a join key of fixed width."""
+    return links.withColumn("key", F.sha1(F.col(column)))
 
 
 def anchor_texts(links: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from lexigrove.collection import Collection
 from lexigrove.functions.columns import let
 from lexigrove.operators.inspect import term_stats
 from lexigrove.plans.compile import Compiler
-from lexigrove.session import beside
+from lexigrove.session import beside, materialise, skew_safe_lookup
 
 
 def cut(terms: Column, size: int = 150, overlap: int = 50) -> Column:
@@ -64,12 +64,14 @@ def cosine_homogeneity(c: Collection, psgs: DataFrame) -> DataFrame:
     Weights are floor(ln(N / df) x tf + 0.5). A document or passage without weight has cosine 0.
     """
     _, n = Compiler(c).totals()
-    idf = term_stats(c).select("term", F.log(F.lit(n) / F.col("df")).alias("idf"))
+    idf = materialise(term_stats(c).select("term", "cf", F.log(F.lit(n) / F.col("df")).alias("idf")))
+    total = int(idf.agg(F.coalesce(F.sum("cf"), F.lit(0))).first()[0])
     docs = psgs.select("doc_id").distinct()
     tf = c.tokens.filter("term is not null").join(docs, "doc_id", "left_semi").groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
     weight = F.floor(F.col("idf") * F.col("tf") + 0.5)
-    d = tf.join(idf, "term").select("doc_id", "term", weight.alias("dw"))
-    p = psgs.select("doc_id", "psg_id", F.explode("terms").alias("term")).groupBy("doc_id", "psg_id", "term").agg(F.count("*").alias("tf")).join(idf, "term").select("doc_id", "psg_id", "term", weight.alias("pw"))
+    d = skew_safe_lookup(tf, idf, "term", "cf", total).select("doc_id", "term", weight.alias("dw"))
+    p = psgs.select("doc_id", "psg_id", F.explode("terms").alias("term")).groupBy("doc_id", "psg_id", "term").agg(F.count("*").alias("tf"))
+    p = skew_safe_lookup(p, idf, "term", "cf", total).select("doc_id", "psg_id", "term", weight.alias("pw"))
     norms = d.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("dw") * F.col("dw"))).alias("dn"))
     dots = p.join(d, ["doc_id", "term"]).groupBy("doc_id", "psg_id").agg(F.sum(F.col("pw") * F.col("dw")).alias("dot"), F.sqrt(F.sum(F.col("pw") * F.col("pw"))).alias("pn"))
     cos = F.when((F.col("pn") > 0) & (F.col("dn") > 0), F.col("dot") / (F.col("pn") * F.col("dn"))).otherwise(0.0)

@@ -63,9 +63,9 @@ def smooth(nodes: list[tuple[int, int, str, int, float]], share: float, rules: S
     return model
 
 
-def leaf_models(compiler: Compiler, spots: DataFrame, leaf: A.Leaf, rules: Shrinkage) -> tuple[DataFrame, float]:
-    """((doc_id, begin, end, p), p of extents in documents without the leaf): the smoothed probability of a leaf with
-    extents `spots` in every field of the documents it occurs in; of fields with equal extents the mean.
+def leaf_models(compiler: Compiler, spots: DataFrame, leaf: A.Leaf, rules: Shrinkage, docs: DataFrame, fields: tuple[str, ...] = ()) -> tuple[DataFrame, float]:
+    """((doc_id, begin, end, p), p of extents outside these): the smoothed probability of a leaf with
+    extents `spots` in every one of the fields (none: all) of the documents `docs`; of fields with equal extents the mean.
 
     The tree walk is a document's own work (applyInPandas by document); counts by field come from joins before it.
     """
@@ -76,11 +76,12 @@ def leaf_models(compiler: Compiler, spots: DataFrame, leaf: A.Leaf, rules: Shrin
     tree = c.fields.filter("ordinal > 0").select("doc_id", "field", "begin", "end", "ordinal", "parent")
     hits = blocks_joined(tree.filter("end > begin"), spots.select("doc_id", F.col("begin").alias("b"), F.col("end").alias("e"), "weight"), ["doc_id", "ordinal", "begin", "end"])
     tf = hits.groupBy("doc_id", "ordinal").agg(F.sum("weight").alias("tf"))
-    rows = tree.join(tf.select("doc_id").distinct(), "doc_id", "left_semi").join(tf, ["doc_id", "ordinal"], "left").fillna(0.0, ["tf"])
+    rows = tree.join(docs, "doc_id", "left_semi").join(tf, ["doc_id", "ordinal"], "left").fillna(0.0, ["tf"])
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         model = smooth(list(zip(pdf["ordinal"], pdf["parent"], pdf["field"], pdf["end"] - pdf["begin"], pdf["tf"])), share, rules)
-        return pdf[["doc_id", "begin", "end"]].assign(p=[model[o] for o in pdf["ordinal"]])
+        kept = pdf[pdf["field"].isin(fields)] if fields else pdf
+        return kept[["doc_id", "begin", "end"]].assign(p=[model[o] for o in kept["ordinal"]])
 
     made = rows.groupBy("doc_id").applyInPandas(walk, f"doc_id {dict(c.fields.dtypes)['doc_id']}, begin int, end int, p double")
     return made.groupBy("doc_id", "begin", "end").agg(F.avg("p").alias("p")), rules.lam * share

@@ -118,7 +118,7 @@ class Compiler:
             out = self.included(node, doc_ids)
         else:
             units, child = self.units(node)
-            out = self.scored(child, units, doc_ids)
+            out = self.scored(child, units, doc_ids, fields=_targets(node))
         if self.c.deleted is not None:
             out = out.join(self.c.deleted, "doc_id", "left_anti")
         return out
@@ -133,15 +133,15 @@ class Compiler:
 
     def included(self, node: A.Include, doc_ids: DataFrame | None = None) -> DataFrame:
         """Results of the inner restriction, each halfway between its own score and that of the context in the outer extents around it."""
-        inner = self.scored(node.inner.child, self.extents.of(node.inner.to), doc_ids)
+        inner = self.scored(node.inner.child, self.extents.of(node.inner.to), doc_ids, fields=_targets(node.inner))
         keys = ["doc_id", "begin", "end"]
         outer = blocks_joined(self.extents.of(node.outer).filter("end > begin"), inner.select("doc_id", F.col("begin").alias("b"), F.col("end").alias("e"), F.col("score").alias("own")), keys)
-        around = self.scored(node.context, outer.select(*keys).distinct().withColumn("weight", F.lit(1.0)), every=True)
+        around = self.scored(node.context, outer.select(*keys).distinct().withColumn("weight", F.lit(1.0)), every=True, fields=_targets(A.Restrict(node.outer, node.context)))
         rows = outer.join(around.withColumnRenamed("score", "context"), keys)
         return rows.select("doc_id", F.col("b").alias("begin"), F.col("e").alias("end"), (0.5 * F.col("own") + 0.5 * F.col("context")).alias("score"))
 
-    def scored(self, node: A.Node, units: DataFrame | A.Passages | None, doc_ids: DataFrame | None = None, every: bool = False) -> DataFrame:
-        """Results in the units; only units that a leaf occurs in, or with every (units are extents) all of them."""
+    def scored(self, node: A.Node, units: DataFrame | A.Passages | None, doc_ids: DataFrame | None = None, every: bool = False, fields: tuple[str, ...] = ()) -> DataFrame:
+        """Results in the units, which are extents of `fields`; only units that a leaf occurs in, or with every (units are extents) all of them."""
         whole, cut = units is None, isinstance(units, A.Passages)
         keys = ["doc_id"] if whole else ["doc_id", "begin", "end"]
         leaves: dict[A.Leaf, int] = {}
@@ -156,6 +156,8 @@ class Compiler:
             units = units.filter("end > begin").groupBy(*keys).agg(F.max("weight").alias("unit_weight"))
         shrunk = self.config.shrinkage is not None and not whole and not cut
         models: dict[A.Leaf, float] = {}
+        if shrunk and leaves:
+            held = reduce(DataFrame.unionAll, [self.matches(leaf).select("doc_id") for leaf in leaves]).distinct()
         plain = {leaf.extents.text: (k, leaf in fitting) for leaf, k in leaves.items() if whole and isinstance(leaf.extents, A.Term) and leaf.context is None}
         if plain:  # occurrences add up in the one aggregation by document below
             what = _lookup({t: f"t{k}" for t, (k, _) in plain.items()}, F.col("term"))
@@ -169,7 +171,7 @@ class Compiler:
             if shrunk:
                 from lexigrove.operators.shrinkage import leaf_models
 
-                model, models[leaf] = leaf_models(self, rows, leaf, self.config.shrinkage)
+                model, models[leaf] = leaf_models(self, rows, leaf, self.config.shrinkage, held, fields)
                 parts.append(units.select(*keys).join(model, keys).select(*keys, F.lit(f"m{k}").alias("what"), F.col("p").alias("tf"), F.lit(False).alias("fits")))
             if not whole:
                 rows = contained(rows, units, keys)
@@ -266,7 +268,7 @@ class Compiler:
     def nested(self, node: A.Node, outer: DataFrame | None) -> DataFrame:
         """Results of a restriction or of passages within a belief, summed up by the unit around them."""
         units, child = self.units(node)
-        inner = self.scored(child, units)
+        inner = self.scored(child, units, fields=_targets(node))
         if outer is not None:
             inner = contained(inner.withColumn("weight", F.lit(1.0)), outer, ["doc_id", "begin", "end"], extra=["score"])
         keys = ["doc_id"] if outer is None else ["doc_id", "begin", "end"]
@@ -282,6 +284,20 @@ class Compiler:
         return choose(self.config.rules, kind, tuple(names), "shrinkage" if shrunk else "raw" if whole else "nested")
 
 
+def _targets(node: A.Node) -> tuple[str, ...]:
+    """Names of the fields that a restriction's units are extents of; none: any."""
+
+    def names(to: A.Node) -> list[str]:
+        if isinstance(to, (A.AnyField, A.Path)):
+            return [to.name]
+        if isinstance(to, A.Inside):
+            return names(to.inner)
+        return [n for c in A.children(to) for n in names(c)]
+
+    found = names(node.to) if isinstance(node, A.Restrict) else []
+    return () if "*" in found else tuple(found)
+
+
 def _lookup(table: dict, key: Column) -> Column:
     """A query's few literals as a map."""
     return F.element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key)

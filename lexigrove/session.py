@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,30 +39,61 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
-def _forget() -> None:
-    for spark, path in _written:
+def _path(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether path is there; a storage fault raises."""
+    p, fs = _path(spark, path)
+    return fs.exists(p)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p, fs = _path(spark, path)
+    fs.delete(p, True)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it isn't there."""
+    p, fs = _path(spark, path)
+    return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def _forget(since: int = 0) -> None:
+    for spark, path in _written[since:]:
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            remove(spark, path)
         except Exception:  # the JVM may be gone already
             pass
-    _written.clear()
+    del _written[since:]
 
 
 atexit.register(_forget)
 
 
+@contextmanager
+def scope() -> Iterator[None]:
+    """Deletes at its end what materialise wrote inside it, so that long sessions don't fill the shared folder. Results must be written before;
+    what is built to stay (an index) belongs outside."""
+    since = len(_written)
+    try:
+        yield
+    finally:
+        _forget(since)
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """Write df once to the shared folder and read it back.
+    """Write df once to the shared folder and read it back. It is deleted at the end of the scope around it, or of the session.
 
     Cuts lineage like checkpoint(), survives the loss of executors, and is
     columnar and compressed, so that later passes prune columns.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/lexigrove-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
     _written.append((spark, path))
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,15 +1,26 @@
-"""Files -> DataFrames of documents. Files are split by Spark where the format allows it (line separators), else one file is one task's work."""
+"""Files -> DataFrames of documents. Files are split by Spark where the format allows it (line separators), else one file is one task's work, which
+streams its records."""
 
 from __future__ import annotations
 
 import email
+import gzip
+import io
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field, replace
+from typing import TYPE_CHECKING
 
 import pandas as pd
+from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexigrove.functions.markup import Markup
+
+if TYPE_CHECKING:
+    from lexigrove.collection import Collection
+
 DOCUMENTS = "path string, docno string, text string, content string, metadata map<string,string>"
 
 #: Extension -> file class.
@@ -19,6 +30,42 @@ EXTENSIONS = {
 }
 
 
+@dataclass(frozen=True)
+class FileClass:
+    """How files of a class are read: by which reader, with which tokenizer (word or char) and which markup rules."""
+
+    reader: str
+    markup: Markup = field(default_factory=Markup)
+    tokenizer: str = "word"
+
+
+#: Tags of news collections that stand for others.
+_CONFLATED = {("hl", None, None): "headline", ("head", None, None): "headline", ("ttl", None, None): "title", ("dd", None, None): "date", ("date_time", None, None): "date"}
+_HTML = Markup(metadata=frozenset({"docno", "title"}))
+_TREC = Markup(index=frozenset({"author", "headline", "title", "date", "text"}), metadata=frozenset({"docno", "title", "author"}), conflate=_CONFLATED)
+
+CLASSES = {
+    "html": FileClass("file", _HTML),
+    "xml": FileClass("file"),
+    "txt": FileClass("file"),
+    "warc": FileClass("warc", _HTML),
+    "warcchar": FileClass("warc", replace(_HTML, characters=True), "char"),
+    "trecweb": FileClass("tagged", _HTML),
+    "trectext": FileClass("tagged", replace(_TREC, include=frozenset({"text", "headline", "title", "author", "date"}))),
+    "trecchar": FileClass("tagged", replace(_TREC, include=frozenset({"text", "headline", "title", "author", "date"}), characters=True), "char"),
+    "trecalt": FileClass("tagged", replace(_TREC, index=frozenset({"text"}), include=frozenset({"text"}))),
+    "mbox": FileClass("mbox"),
+}
+
+#: Extractors of formats that this build has no library for: kind -> function(bytes) -> (text, metadata). See register.
+EXTRACTORS: dict[str, Callable[[bytes], tuple[str, dict[str, str]]]] = {}
+
+
+def register(kind: str, extract: Callable[[bytes], tuple[str, dict[str, str]]]) -> None:
+    """Makes documents() read whole files of a kind, such as pdf, by a function of the user."""
+    EXTRACTORS[kind] = extract
+
+
 def file_class(path: str) -> str | None:
     name = path.lower().removesuffix(".gz")
     return EXTENSIONS.get(name.rsplit(".", 1)[-1])
@@ -47,63 +94,127 @@ def whole_files(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("path", F.col("path").alias("docno"), "text", F.col("text").alias("content"), F.create_map(F.lit("docno"), F.col("path")).alias("metadata"))
 
 
-def parse_warc(data: bytes) -> Iterator[tuple[str | None, dict[str, str], str]]:
-    """(record id, headers, body) of response records; lengths are those of the header lines, a broken record ends the file."""
-    at = 0
-    while True:
-        at = data.find(b"WARC/", at)
-        if at < 0:
-            return
-        end = re.compile(rb"\r?\n\r?\n").search(data, at)
-        if not end:
-            return
-        lines = data[at : end.start()].decode("utf-8", "replace").splitlines()[1:]
-        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+#: Records of a file that are handed on at a time: so many, or so many characters.
+BATCH_RECORDS, BATCH_CHARS = 1000, 16_000_000
+
+Record = tuple[str | None, dict[str, str], str]
+
+
+def parse_warc(data: io.BufferedIOBase) -> Iterator[Record]:
+    """(record id, headers, body) of response records, read one after the other; lengths are those of the header lines, a broken record ends the file."""
+    while line := data.readline():
+        if not line.startswith(b"WARC/"):
+            continue
+        headers: dict[str, str] = {}
+        while (line := data.readline()).strip():
+            k, _, v = line.decode("utf-8", "replace").partition(":")
+            headers[k.strip().lower()] = v.strip()
         size = headers.get("content-length", "")
         if not size.isdigit():
             return
-        body = data[end.end() : end.end() + int(size)]
-        at = end.end() + int(size)
+        body = data.read(int(size))
+        if len(body) < int(size):
+            return
         if headers.get("warc-type") in ("response", "resource", "conversion"):
             cut = re.compile(rb"\r?\n\r?\n").search(body) if body.startswith(b"HTTP/") else None
             yield headers.get("warc-trec-id") or headers.get("warc-record-id"), headers, body[cut.end() if cut else 0 :].decode("utf-8", "replace")
 
 
-def parse_mbox(data: bytes) -> Iterator[tuple[str | None, dict[str, str], str]]:
-    for part in re.split(rb"(?m)^From [^\n]*\n", data):
-        if part.strip():
-            m = email.message_from_bytes(part)
+def parse_mbox(data: io.BufferedIOBase) -> Iterator[Record]:
+    """A message from each line that begins with `From ` to the next, read one after the other."""
+
+    def message(lines: list[bytes]) -> Iterator[Record]:
+        if b"".join(lines).strip():
+            m = email.message_from_bytes(b"".join(lines))
             pieces = [p.get_payload(decode=True) or b"" for p in m.walk() if p.get_content_maintype() == "text"]
             yield m.get("Message-ID"), {k.lower(): str(m[k]) for k in ("Subject", "From", "To", "Date") if m[k]}, b"\n".join(pieces).decode("utf-8", "replace")
 
+    lines: list[bytes] = []
+    while line := data.readline():
+        if line.startswith(b"From "):
+            yield from message(lines)
+            lines = []
+        else:
+            lines.append(line)
+    yield from message(lines)
+
+
+def _opened(path: str) -> io.BufferedIOBase:
+    """A buffered stream of a file of any file system that Arrow knows, unpacked if it is gzip."""
+    system, name = arrow_fs.FileSystem.from_uri(path)
+    raw = io.BufferedReader(system.open_input_stream(name, compression=None), 1 << 20)
+    return gzip.GzipFile(fileobj=raw) if raw.peek(2)[:2] == b"\x1f\x8b" else raw
+
 
 def record_files(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """warc or mbox files -> documents, a file at a time in Arrow batches."""
+    """warc or mbox files -> documents. Spark lists the files and hands their paths out; a task reads its files as streams, so that no file is ever whole in memory."""
     parser = {"warc": parse_warc, "mbox": parse_mbox}[kind]
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import gzip
+        out = lambda rows: pd.DataFrame(rows, columns=["path", "docno", "text", "content", "metadata"])
+        for b in batches:
+            for p in b["path"]:
+                rows, size = [], 0
+                with _opened(p) as data:
+                    for i, h, t in parser(data):
+                        rows.append((p, i, t, t, {**h, "docno": i or ""}))
+                        size += len(t)
+                        if len(rows) >= BATCH_RECORDS or size >= BATCH_CHARS:
+                            yield out(rows)
+                            rows, size = [], 0
+                yield out(rows)
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+    return files.mapInPandas(work, DOCUMENTS)
+
 
+def extracted_files(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """Whole files by the extractor registered for their kind, one document each."""
+    extract = EXTRACTORS[kind]
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for p, data in zip(b["path"], b["content"]):
-                raw = bytes(data)
-                rows = [(p, i, t, t, {**h, "docno": i or ""}) for i, h, t in parser(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw)]
-                yield pd.DataFrame(rows, columns=["path", "docno", "text", "content", "metadata"])
+            made = [extract(bytes(data)) for data in b["content"]]
+            yield pd.DataFrame({"path": b["path"], "docno": b["path"], "text": [t for t, _ in made], "content": [t for t, _ in made], "metadata": [{**m, "docno": p} for p, (_, m) in zip(b["path"], made)]})
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     return files.mapInPandas(work, DOCUMENTS)
 
 
+def collection(spark: SparkSession, path: str, kind: str | None = None, **options) -> Collection:
+    """The files of a class as a searchable collection, by its tokenizer and markup rules."""
+    from lexigrove.collection import Collection
+
+    kind = kind or file_class(path) or "txt"
+    docs = documents(spark, path, kind).withColumn("url", F.col("metadata")["url"])
+    return Collection.tagged(docs.filter("docno is not null"), "docno", "text", CLASSES[kind].markup, url="url", **options)
+
+
 def documents(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
     """Documents of any known class; kind defaults to that of the extension."""
     kind = kind or file_class(path) or "txt"
-    if kind in ("trectext", "trecweb"):
-        return tagged_documents(spark, path, kind)
-    if kind in ("warc", "mbox"):
-        return record_files(spark, path, kind)
-    if kind in ("txt", "html", "xml"):
+    if kind in EXTRACTORS:
+        return extracted_files(spark, path, kind)
+    reader = CLASSES[kind].reader if kind in CLASSES else None
+    if reader == "tagged":
+        return tagged_documents(spark, path, "trecweb" if kind == "trecweb" else "trectext")
+    if reader in ("warc", "mbox"):
+        return record_files(spark, path, reader)
+    if reader == "file":
         return whole_files(spark, path)
-    raise ValueError(f"no reader for {kind!r} in this build; give it one by a pandas UDF over binaryFile")
+    raise ValueError(f"no reader for {kind!r} in this build; give it one by register()")
+
+
+def frames(spark: SparkSession, path: str) -> list[str]:
+    """Question openings for reformulate, a line each, in the file's order; a configuration file that the driver reads."""
+    return [line.strip() for row in spark.read.option("wholetext", "true").text(path).collect() for line in row[0].split("\n") if line.strip()]
+
+
+def headwords(spark: SparkSession, path: str) -> DataFrame:
+    """(word, stem) of a dictionary's lines `word stem` or `word` (its own stem), lower-cased; for the stemmer by dictionary."""
+    v = F.split(F.lower(F.trim("value")), r"\s+")
+    rows = spark.read.text(path).select(v.alias("v")).filter(F.col("v")[0] != "")
+    return rows.select(F.col("v")[0].alias("word"), F.coalesce(F.get("v", F.lit(1)), F.col("v")[0]).alias("stem")).groupBy("word").agg(F.min("stem").alias("stem"))
 
 
 def offset_annotations(spark: SparkSession, path: str) -> DataFrame:

@@ -6,12 +6,14 @@ The batch form is the definition: running statistics of a day hold the days befo
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexigrove.functions.analysis import simple_tokens
-from lexigrove.session import BROADCAST_ROWS, materialise
+from lexigrove.session import BROADCAST_ROWS, children, materialise, remove
 
 MU, K1, B = 2500.0, 1.75, 0.75
 
@@ -80,15 +82,24 @@ def matches(terms: DataFrame, queries: DataFrame) -> DataFrame:
     return terms.join(_small(labels), "term").select("target_id", "stream_id", "day", "size").distinct()
 
 
-def scored(terms: DataFrame, queries: DataFrame, totals: DataFrame, statistics: DataFrame) -> DataFrame:
-    """(model, target_id, stream_id, day, score double) for every matched pair under bm25, bm25_ext, lm, lm_ext and kl.
+#: The live scorers.
+MODELS = ("bm25", "bm25_ext", "lm", "lm_ext", "kl")
+
+
+def scored(terms: DataFrame, queries: DataFrame, totals: DataFrame, statistics: DataFrame, models: Sequence[str] = MODELS) -> DataFrame:
+    """(model, target_id, stream_id, day, score double) for every matched pair under the models; terms of profiles that none of them reads aren't joined.
 
     totals are running_totals, statistics running_terms: of the days before. Terms not seen before have df = cf = 0; on a day without a past nothing scores.
     Ext models take the abstract's terms, and give 0 for profiles without; kl too, or the label's where there is none.
     """
     pairs = matches(terms, queries).join(_small(totals.filter("docs > 0")), "day")
     kinds = queries.groupBy("target_id").agg(F.max(F.when(F.col("kind") == "abstract", 1).otherwise(0)).alias("has"))
-    q = _small(queries.join(kinds, "target_id"))
+    q = queries.join(kinds, "target_id")
+    if not {"bm25_ext", "lm_ext", "kl"} & set(models):
+        q = q.filter("kind = 'label'")
+    elif not {"bm25", "lm"} & set(models):
+        q = q.filter("kind = 'abstract' or has = 0")
+    q = _small(q)
     rows = pairs.join(q, "target_id").join(terms.select("stream_id", "term", "tf"), ["stream_id", "term"], "left")
     s = _small(statistics.withColumnRenamed("term", "t"))
     on = (rows["term"] == s["t"]) & (rows["day"] > s["after"]) & (s["upto"].isNull() | (rows["day"] <= s["upto"]))
@@ -106,14 +117,14 @@ def scored(terms: DataFrame, queries: DataFrame, totals: DataFrame, statistics:
     def total(when: Column, v: str) -> Column:
         return F.coalesce(F.sum(F.when(when, F.col(v))), zero)
 
-    wide = rows.groupBy("target_id", "stream_id", "day").agg(total(label, "bm").alias("bm25"), total(ext, "bm").alias("bm25_ext"), total(label, "lm").alias("lm"), total(ext, "lm").alias("lm_ext"), total(for_kl, "kl").alias("kl"))
-    models = ["bm25", "bm25_ext", "lm", "lm_ext", "kl"]
+    sums = {"bm25": total(label, "bm"), "bm25_ext": total(ext, "bm"), "lm": total(label, "lm"), "lm_ext": total(ext, "lm"), "kl": total(for_kl, "kl")}
+    wide = rows.groupBy("target_id", "stream_id", "day").agg(*[sums[m].alias(m) for m in models])
     return wide.select("target_id", "stream_id", "day", F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("score")) for m in models])).alias("x")).select("x.model", "target_id", "stream_id", "day", "x.score")
 
 
 def pool(scores: DataFrame, size: int = POOL) -> DataFrame:
     """The best `size` items of each model, entity and day, whole scores, of equals the smaller stream_id first."""
-    rows = scores.withColumn("score", F.floor(F.col("score") * SCALE).cast("long"))
+    rows = scores.withColumn("score", F.floor(F.round("score", 9) * SCALE).cast("long"))
     order = W.partitionBy("model", "target_id", "day").orderBy(F.desc("score"), "stream_id")
     return rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= size)
 
@@ -174,6 +185,96 @@ def title_scores(items: DataFrame, topics: DataFrame, most: int = 1000) -> DataF
     return hits.select("target_id", "stream_id", F.least(F.col("k") * F.floor(F.lit(most) / F.col("n")), F.lit(most)).cast("long").alias("score"))
 
 
+def day_pass(terms: DataFrame, queries: DataFrame, history: int = 5, gate: int = 10_000, keep: int = POOL, mu: float = MU) -> DataFrame:
+    """(target_id, stream_id, day, first, score, place): the filter run a day at a time.
+
+    Each day's items are a collection of their own: the label's terms rank them by their mean Dirichlet log score (`first`), and the best `gate`
+    of each entity pass. These are scored again as one passage each, by the summed log probability of the label's words
+    against the collection of the `history` days before (a word that neither has counts once there), and the best
+    `keep` stay, of equals the smaller stream_id first. Days without a past give none. days are dates.
+    """
+    labels = queries.filter("kind = 'label'")
+    label = _small(labels.select("target_id", "term", "qtf", "qlen"))
+    totals = day_totals(terms)
+    days = day_terms(terms, labels)
+    hits = terms.join(_small(labels.select("target_id", "term")), "term").select("target_id", "stream_id", "day", "size").distinct()
+    rows = hits.join(label, "target_id").join(terms.select("stream_id", "term", "tf"), ["stream_id", "term"], "left").fillna(0, ["tf"])
+    rows = rows.join(_small(totals.select("day", F.col("tokens").alias("day_tokens"))), "day").join(_small(days.select("day", "term", F.col("cf").alias("day_cf"))), ["day", "term"], "left").fillna(0, ["day_cf"])
+    share = F.when(F.col("day_cf") > 0, F.col("day_cf") / F.col("day_tokens")).otherwise(0.5 / F.col("day_tokens"))
+    first = F.sum(F.col("qtf") / F.col("qlen") * F.log((F.col("tf") + mu * share) / (F.col("size") + mu))).alias("first")
+    # The past of a day holds for days on which nothing of the term came, too: sums by day number over the days that there are.
+    number = F.datediff(F.col("day").cast("date"), F.lit("1970-01-01").cast("date"))
+    here = totals.select("day", number.alias("n"))
+    before = totals.select(number.alias("m"), "tokens")
+    past = here.join(F.broadcast(before), (F.col("m") < F.col("n")) & (F.col("m") >= F.col("n") - history)).groupBy("day").agg(F.sum("tokens").alias("old_tokens"))
+    spread = days.select("term", "cf", F.explode(F.sequence(number + 1, number + history)).alias("n"))
+    old = spread.groupBy("term", "n").agg(F.sum("cf").alias("old_cf"))
+    rows = rows.withColumn("n", number).join(_small(past), "day").join(_small(old), ["term", "n"], "left").fillna(0, ["old_cf"])
+    count = F.when((F.col("old_cf") == 0) & (F.col("tf") == 0), 1).otherwise(F.col("old_cf"))
+    second = F.sum(F.col("qtf") * (F.log(F.col("tf") + mu * count / F.col("old_tokens")) - F.log(F.col("size") + mu))).alias("score")
+    pairs = rows.groupBy("target_id", "day", "stream_id").agg(first, second)
+    by_first = W.partitionBy("target_id", "day").orderBy(F.desc("first"), "stream_id")
+    by_second = W.partitionBy("target_id", "day").orderBy(F.desc("score"), "stream_id")
+    passed = pairs.withColumn("g", F.row_number().over(by_first)).filter(F.col("g") <= gate).drop("g")
+    return passed.withColumn("place", F.row_number().over(by_second)).filter(F.col("place") <= keep).select("target_id", "stream_id", "day", "first", "score", "place")
+
+
+def feedback_groups(terms: DataFrame, queries: DataFrame, group: int = 5, docs: int = 5, mu: float = MU) -> DataFrame:
+    """(group, target_id, stream_id, score, p): the bootstrap. Days fall into groups of `group` in their order, each a collection; of each
+    the `docs` best items of every entity by the label's mean Dirichlet log score, with their posteriors p, feed its expansion."""
+    labels = queries.filter("kind = 'label'")
+    number = terms.select("day").distinct().withColumn("group", F.floor((F.row_number().over(W.partitionBy(F.lit(0)).orderBy("day")) - 1) / group))  # a row a day
+    t = terms.join(F.broadcast(number), "day")
+    sizes = t.select("stream_id", "group", "size").distinct().groupBy("group").agg(F.sum("size").alias("total"))
+    counts = t.join(_small(labels.select("term").distinct()), "term", "left_semi").groupBy("group", "term").agg(F.sum("tf").alias("cf"))
+    hits = t.join(_small(labels.select("target_id", "term")), "term").select("target_id", "stream_id", "group", "size").distinct()
+    rows = hits.join(_small(labels.select("target_id", "term", "qtf", "qlen")), "target_id").join(t.select("stream_id", "term", "tf"), ["stream_id", "term"], "left").fillna(0, ["tf"])
+    rows = rows.join(_small(sizes), "group").join(_small(counts), ["group", "term"], "left").fillna(0, ["cf"])
+    share = F.when(F.col("cf") > 0, F.col("cf") / F.col("total")).otherwise(0.5 / F.col("total"))
+    scores = rows.groupBy("group", "target_id", "stream_id").agg(F.sum(F.col("qtf") / F.col("qlen") * F.log((F.col("tf") + mu * share) / (F.col("size") + mu))).alias("score"))
+    best = W.partitionBy("group", "target_id").orderBy(F.desc("score"), "stream_id")
+    top = scores.withColumn("k", F.row_number().over(best)).filter(F.col("k") <= docs)
+    whole = W.partitionBy("group", "target_id")
+    e = F.exp(F.col("score") - F.max("score").over(whole))
+    return top.withColumn("e", e).select("group", "target_id", "stream_id", "score", (F.col("e") / F.sum("e").over(whole)).alias("p"))
+
+
+def group_expansions(terms: DataFrame, feedback: DataFrame, count: int = 10) -> DataFrame:
+    """(group, target_id, term, weight): the `count` strongest terms of the relevance model over the feedback items of each group and entity."""
+    rows = terms.select("stream_id", "term", "tf", "size").join(_small(feedback.select("group", "target_id", "stream_id", "p")), "stream_id")
+    model = rows.groupBy("group", "target_id", "term").agg(F.sum(F.col("p") * F.col("tf") / F.col("size")).alias("weight"))
+    best = W.partitionBy("group", "target_id").orderBy(F.round("weight", 12).desc(), "term")
+    return model.withColumn("k", F.row_number().over(best)).filter(F.col("k") <= count).drop("k")
+
+
+def judgments(spark: SparkSession, path: str) -> DataFrame:
+    """(stream_id, doc_id, collected, target_id, rating, directory, size) of judgment lines: columns 3, 4, 6, 8 and 12 of blank-separated ones.
+    Lines that begin with # or have fewer columns, and those without a whole-number rating, are left out."""
+    rows = spark.read.text(path).filter(~F.col("value").startswith("#")).select(F.split(F.trim("value"), r"\s+").alias("v")).filter(F.size("v") >= 12)
+    rows = rows.select(F.col("v")[2].alias("stream_id"), F.col("v")[3].alias("target_id"), F.col("v")[5].try_cast("int").alias("rating"), F.col("v")[7].alias("directory"), F.col("v")[11].try_cast("long").alias("size"))
+    time = F.substring_index("stream_id", "-", 1).try_cast("long").alias("collected")
+    return rows.dropna(subset=["rating"]).select("stream_id", F.expr("substr(stream_id, instr(stream_id, '-') + 1)").alias("doc_id"), time, "target_id", "rating", "directory", "size")
+
+
+def term_relevance(terms: DataFrame, judged: DataFrame, queries: DataFrame, least: int = 1) -> DataFrame:
+    """(target_id, term, judged_df, relevant_df, relevant_size) of label terms: judged items with the term, those of them rated `least` or better, and
+    all that are. judged(target_id, stream_id, rating); the least rating of an item holds."""
+    j = judged.groupBy("target_id", "stream_id").agg((F.min("rating") >= least).cast("long").alias("rel"))
+    sizes = j.groupBy("target_id").agg(F.sum("rel").alias("relevant_size"))
+    labels = queries.filter("kind = 'label'").select("target_id", "term")
+    hits = j.join(terms.select("stream_id", "term"), "stream_id").join(_small(labels), ["target_id", "term"]).groupBy("target_id", "term").agg(F.count("*").alias("judged_df"), F.sum("rel").alias("relevant_df"))
+    return labels.join(sizes, "target_id").join(hits, ["target_id", "term"], "left").fillna(0, ["judged_df", "relevant_df"]).select("target_id", "term", "judged_df", "relevant_df", "relevant_size")
+
+
+def kl_scores(terms: DataFrame, distributions: DataFrame, shares: DataFrame, mu: float = MU) -> DataFrame:
+    """(target_id, stream_id, score): the sum over an entity's distribution(target_id, term, p) of p x ln P(term | item), for items with any of its
+    terms; P is Dirichlet-smoothed by shares(term, share). Terms without a share or with none above 1e-9 don't count."""
+    d = distributions.join(shares.filter("share > 1e-9"), "term")
+    hits = terms.join(_small(d.select("target_id", "term")), "term").select("target_id", "stream_id", "size").distinct()
+    rows = hits.join(_small(d), "target_id").join(terms.select("stream_id", "term", "tf"), ["stream_id", "term"], "left").fillna(0, ["tf"])
+    return rows.groupBy("target_id", "stream_id").agg(F.sum(F.col("p") * F.log((F.col("tf") + mu * F.col("share")) / (F.col("size") + mu))).alias("score"))
+
+
 def poisson(tf: Column, rate: Column) -> Column:
     """ln P(tf | rate) = tf ln rate - rate - ln tf!"""
     from lexigrove.functions.analysis import log_factorial
@@ -211,7 +312,8 @@ def mixture(counts: DataFrame, delta: float = 1e-6, rounds: int = 200) -> tuple[
 
 
 class DayFilter:
-    """The filter as a stream: every micro-batch brings items, is worked off day by day, and leaves day totals and term counts in its folder.
+    """The filter as a stream: every micro-batch brings items, is worked off day by day, and leaves all day totals and term counts so far in
+    its folder, one row a day and tracked term; states older than the one before the last are deleted.
 
     A day is scored against the state as of the days before; late items of a day already counted are scored with that day's state, and
     count for days to come. Batches carry their number, so that one that is run again after a failure changes nothing.
@@ -221,20 +323,23 @@ class DayFilter:
         self.spark, self.folder, self.warm_up, self.size = spark, folder.rstrip("/"), warm_up, size
         self.queries = materialise(query_terms(topics))
 
-    def _read(self, name: str, schema: str, before: int) -> DataFrame:
-        try:
-            rows = self.spark.read.schema(schema + ", batch long").parquet(f"{self.folder}/{name}")
-            return rows.filter(F.col("batch") < before)
-        except Exception:
-            return self.spark.createDataFrame([], schema + ", batch long")
+    def _state(self, name: str, schema: str, before: int) -> DataFrame:
+        """What the last batch before this one left; a state that is there but can't be read raises."""
+        done = [int(x.removeprefix("batch=")) for x in children(self.spark, f"{self.folder}/{name}") if x.startswith("batch=")]
+        last = max((k for k in done if k < before), default=None)
+        for k in done:
+            if last is not None and k < last - 1:
+                remove(self.spark, f"{self.folder}/{name}/batch={k}")
+        return self.spark.createDataFrame([], schema) if last is None else self.spark.read.schema(schema).parquet(f"{self.folder}/{name}/batch={last}")
 
     def __call__(self, batch: DataFrame, number: int) -> None:
         terms = materialise(item_terms(batch))
         totals, days = day_totals(terms), day_terms(terms, self.queries)
-        old_totals = self._read("totals", "day string, docs long, tokens long", number).drop("batch")
-        old_days = self._read("terms", "day string, term string, df long, cf long", number).drop("batch")
+        old_totals = self._state("totals", "day string, docs long, tokens long", number)
+        old_days = self._state("terms", "day string, term string, df long, cf long", number)
         all_totals = old_totals.unionByName(totals.select("day", "docs", "tokens")).groupBy("day").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
         all_days = old_days.unionByName(days.select("day", "term", "df", "cf")).groupBy("day", "term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+        all_totals, all_days = materialise(all_totals), materialise(all_days)
         running = materialise(running_totals(all_totals))
         out = scored(terms, self.queries, running, materialise(running_terms(all_days)))
         if self.warm_up:
@@ -242,8 +347,8 @@ class DayFilter:
             out = out.filter(~F.col("day").isin(first))
         write = lambda df, name: df.write.mode("overwrite").parquet(f"{self.folder}/{name}/batch={number}")
         write(pool(out, self.size), "pools")
-        write(totals, "totals")
-        write(days, "terms")
+        write(all_totals, "totals")
+        write(all_days, "terms")
 
     def start(self, stream: DataFrame, checkpoint: str):
         """Runs over all that is there (availableNow); stream has stream_id, day, text."""

@@ -35,6 +35,40 @@ def test_stream_equals_batch(spark, topics, tmp_path):
     assert {(r.model, r.target_id, r.stream_id, r.day, r.score, r.place) for r in f.results().collect()} == want
 
 
+def test_state_is_compact_and_strict(spark, topics, tmp_path):
+    items = spark.createDataFrame(ITEMS, "stream_id string, day string, text string")
+    f = Z.DayFilter(spark, topics, str(tmp_path / "state"))
+    for k in range(5):
+        f(items.filter(F.col("day") == f"2011-10-0{1 + k % 3}"), k)
+    assert sorted(x.name for x in (tmp_path / "state" / "totals").iterdir() if x.is_dir()) == ["batch=2", "batch=3", "batch=4"]
+    assert {(r.day, r.docs) for r in spark.read.parquet(str(tmp_path / "state" / "totals" / "batch=4")).collect()} == {("2011-10-01", 8), ("2011-10-02", 8), ("2011-10-03", 4)}
+    for x in (tmp_path / "state" / "totals" / "batch=4").iterdir():
+        x.unlink() if x.name.startswith(".") else x.write_bytes(b"broken")
+    with pytest.raises(Exception):
+        f(items, 5)
+
+
+def test_day_pass_and_bootstrap(spark, topics):
+    items = spark.createDataFrame(ITEMS, "stream_id string, day string, text string")
+    terms, q = Z.item_terms(items), Z.query_terms(topics)
+    rows = Z.day_pass(terms, q, gate=1).collect()
+    assert {(r.target_id, r.day) for r in rows} == {(t, f"2011-10-0{d}") for t in ("t1", "t2") for d in (2, 3)} and all(r.place == 1 for r in rows)
+    assert Z.day_pass(terms.limit(0), q).count() == 0
+    found = Z.feedback_groups(terms, q, group=2, docs=1)
+    assert {(r.group, r.target_id) for r in found.collect()} == {(g, t) for g in (0, 1) for t in ("t1", "t2")} and all(r.p == 1.0 for r in found.collect())
+    assert {r.term for r in Z.group_expansions(terms, found, 2).filter("target_id = 't2'").collect()} <= {"hen", "house", "news", "blue", "fox", "and", "red"}
+
+
+def test_judgments(spark, topics, tmp_path):
+    (tmp_path / "j").write_text("# header\na b 1317-s10 t1 x 2 y 2011-10-01-00 z z z 55\na b 1317-s12 t1 x -1 y d z z z 5\nshort line\na b c t1 x no y d z z z 5\n")
+    j = Z.judgments(spark, str(tmp_path / "j"))
+    assert {(r.stream_id, r.doc_id, r.collected, r.target_id, r.rating, r.directory, r.size) for r in j.collect()} == {("1317-s10", "s10", 1317, "t1", 2, "2011-10-01-00", 55), ("1317-s12", "s12", 1317, "t1", -1, "d", 5)}
+    items = spark.createDataFrame(ITEMS, "stream_id string, day string, text string")
+    judged = j.select("target_id", F.col("doc_id").alias("stream_id"), "rating")
+    got = {(r.term, r.judged_df, r.relevant_df, r.relevant_size) for r in Z.term_relevance(Z.item_terms(items), judged, Z.query_terms(topics)).collect()}
+    assert got == {("red", 1, 1, 1), ("fox", 1, 1, 1)}
+
+
 def test_scorers(spark, topics):
     items = spark.createDataFrame(ITEMS, "stream_id string, day string, text string")
     terms = Z.item_terms(items)

@@ -61,6 +61,24 @@ def test_readers(spark, tmp_path):
     body = b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n<p>hi</p>"
     (tmp_path / "w.warc").write_bytes(b"WARC/1.0\r\nWARC-Type: response\r\nWARC-TREC-ID: w1\r\nContent-Length: %d\r\n\r\n%s\r\n\r\nWARC/1.0\r\nWARC-Type: request\r\nContent-Length: 0\r\n\r\n" % (len(body), body))
     assert [(r.docno, r.text) for r in readers.documents(spark, str(tmp_path / "w.warc")).collect()] == [("w1", "<p>hi</p>")]
+    import gzip
+
+    many = b"".join(b"WARC/1.0\r\nWARC-Type: response\r\nWARC-TREC-ID: r%d\r\nContent-Length: 40\r\n\r\n%s\r\n\r\n" % (k, b"HTTP/1.1 200 OK\r\n\r\n" + b"x" * 21) for k in range(2500))
+    (tmp_path / "z.warc.gz").write_bytes(gzip.compress(many[:1000]) + gzip.compress(many[1000:] + b"WARC/1.0\r\nContent-Length: 99\r\n\r\ncut"))
+    assert {(r.docno, r.text) for r in readers.documents(spark, str(tmp_path / "z.warc.gz")).collect()} == {(f"r{k}", "x" * 21) for k in range(2500)}
+    news = "<DOC><DOCNO>n1</DOCNO><HL>Red Fox</HL><TEXT>ab cd</TEXT></DOC>"
+    (tmp_path / "n.trectext").write_text(news)
+    fields = lambda kind: {(r.field, r.begin, r.end) for r in readers.collection(spark, str(tmp_path / "n.trectext"), kind).fields.collect()}
+    assert fields("trectext") == {("document", 0, 4), ("headline", 0, 2), ("text", 2, 4)}
+    assert fields("trecalt") == {("document", 0, 2), ("text", 0, 2)}
+    assert fields("trecchar") == {("document", 0, 10), ("headline", 0, 6), ("text", 6, 10)}
+    (tmp_path / "d.xyz").write_bytes(b"\x01two words")
+    readers.register("xyz", lambda data: (data[1:].decode(), {"title": "t"}))
+    assert [(r.text, r.metadata["title"]) for r in readers.documents(spark, str(tmp_path / "d.xyz"), "xyz").collect()] == [("two words", "t")]
+    (tmp_path / "f").write_text("what is the\n\nwhat is\n")
+    assert readers.frames(spark, str(tmp_path / "f")) == ["what is the", "what is"]
+    (tmp_path / "h").write_text("Run\nrunning run\n \nran run\n")
+    assert {(r.word, r.stem) for r in readers.headwords(spark, str(tmp_path / "h")).collect()} == {("run", "run"), ("running", "run"), ("ran", "run")}
     (tmp_path / "t.txt").write_text("plain")
     assert readers.documents(spark, str(tmp_path / "t.txt")).first().text == "plain"
     with pytest.raises(ValueError):
