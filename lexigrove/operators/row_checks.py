@@ -67,7 +67,7 @@ def check_rows(lines: DataFrame, id_col: str = "line_id", line_col: str = "line"
 
     Structural reasons come from the line alone. Each distinct value of a checked
     column is tested once; the failing ones form a dictionary (column, value, reason)
-    that is written to the shared folder, counted, and joined back - broadcast while it holds
+    that is written to the shared folder, counted by column, and joined back - a column's part broadcast while it holds
     at most `limit` rows, by a shuffled join beyond that.
 
     NULL, empty and blank lines are `too_few_fields`; a NULL id is kept; repeated lines give
@@ -81,14 +81,15 @@ def check_rows(lines: DataFrame, id_col: str = "line_id", line_col: str = "line"
         F.when(~F.col("sound"), "broken_quote").when(n < len(LOG_COLUMNS), "too_few_fields").when(n > len(LOG_COLUMNS), "too_many_fields").alias("structural"),
         *[F.get("c", F.lit(i)).alias(name) for i, name in enumerate(LOG_COLUMNS)],
     )
+    parsed = materialise(parsed)  # lines are read and split once
     values = parsed.filter("structural is null").select(F.explode(F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).alias("v")) for c, _ in CHECKS])).alias("x")).select("x.k", "x.v").distinct()
     reason = F.coalesce(*[F.when((F.col("k") == c) & ~F.coalesce(_valid(c, F.col("v")), F.lit(False)), r) for c, r in CHECKS])
     invalid = materialise(values.withColumn("r", reason).filter("r is not null"))
-    rows = invalid.count()
+    sizes = {r["k"]: r["count"] for r in invalid.groupBy("k").count().collect()}
     out = parsed
     for c, r in CHECKS:
         side = invalid.filter(F.col("k") == c).select(F.col("v").alias(c), F.col("r").alias(f"why_{c}"))
-        out = out.join(broadcast_if_small(side, rows, limit), c, "left")
+        out = out.join(broadcast_if_small(side, sizes.get(c, 0), limit), c, "left")
     failed = F.coalesce(F.col("structural"), *[F.col(f"why_{c}") for c, _ in CHECKS])
     return out.select(F.col("id").alias(id_col), failed.alias("reason"), *LOG_COLUMNS)
 
