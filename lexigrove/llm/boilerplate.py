@@ -13,20 +13,23 @@ from pyspark.sql import functions as F
 
 from lexigrove.llm import tree
 from lexigrove.llm.words import WORD
-from lexigrove.session import materialise
+from lexigrove.session import materialise, skew_safe_lookup
 
-#: Labelled pages that the tree is grown from, at most.
-TRAINING_PAGES = 1500
+#: Pages of each kind of markup that the labelled table is made of, at most.
+LABELLED_PAGES = 1500
 
-#: Tags that hold prose, and tags that frame a page.
+#: Tags that hold prose, tags that frame a page, and tags within a line.
 PROSE_TAGS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote"}
 FRAME_TAGS = {"footer", "nav", "aside", "header", "form"}
+INLINE_TAGS = {"a", "i", "em", "strong", "span", "u", "small", "sup", "sub"}
 
-#: Features of a line by itself, in the order in which they are packed as 16-bit numbers.
-OWN = ["words", "chars", "sentence", "quote", "bars", "dash", "digits", "capitals", "title", "in_title", "link", "prose", "frame", "label"]
+#: Features of a line by itself, in the order in which they are packed as 16-bit numbers; first, second and last are hashes of those words.
+OWN = ["words", "chars", "sentence", "quote", "bars", "dash", "digits", "capitals", "title", "in_title", "bullet", "linked", "prose", "frame", "first", "second", "last", "kind", "label"]
 _K = {name: i for i, name in enumerate(OWN)}
+_PLAIN = _K["first"]  # features up to here are used as they are
+_TAGS = [_K["linked"], _K["prose"], _K["frame"]]
 
-_PIECE = re.compile(r"<([a-zA-Z][a-zA-Z0-9]*)([^<>]*)>\s*([^<]*)")
+_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)([^<>]*)>|\n")
 _BULLET = re.compile(r"^[\s•*·–-]+\s+")
 
 
@@ -34,32 +37,65 @@ def _clean(line: str) -> str:
     return _BULLET.sub("", line.strip())
 
 
-def _pieces(text: str | None) -> tuple[dict[str, tuple[str, bool]], bool]:
-    """(text of a tag -> its name and whether it has a class; whether the page's markup tells furniture from article)."""
+def _blocks(text: str | None) -> tuple[dict[str, tuple[str, bool, int]], int]:
+    """(line of text -> tag around it, whether the tag has a class, its words in links; what the page's markup tells).
+
+    Lines end at line ends and at tags that aren't inline. Markup tells furniture from article if there are prose tags: 2 with
+    classed frames and links as well, so that list entries belong to the article; else 1, and list entries may be either.
+    """
     if not text:
-        return {}, False
+        return {}, 0
     body = text[max(text.find("<body"), 0) :]
-    found: dict[str, tuple[str, bool]] = {}
-    classed = linked = prose = False
-    for m in _PIECE.finditer(body):
-        name, attributes, inner = m.group(1).lower(), m.group(2), m.group(3).strip()
-        if inner:
-            marked = name not in PROSE_TAGS and "class=" in attributes
+    found: dict[str, tuple[str, bool, int]] = {}
+    classed = any_link = prose = False
+    tag, marked, link, parts, linked, at = "", False, 0, [], 0, 0
+
+    def flush() -> None:
+        nonlocal parts, linked
+        line = _clean("".join(parts))
+        if line:
+            found.setdefault(line, ("a" if linked and not tag else tag, marked, linked))
+        parts, linked = [], 0
+
+    for m in _TAG.finditer(body):
+        piece = body[at : m.start()]
+        at = m.end()
+        if piece:
+            parts.append(piece)
+            if link:
+                linked += len(WORD.findall(piece))
+        name = (m.group(2) or "").lower()
+        if name in INLINE_TAGS:
+            if name == "a":
+                link = 0 if m.group(1) else 1
+                any_link |= not m.group(1)
+            continue
+        flush()
+        if not name:
+            continue
+        if m.group(1):
+            tag, marked = "", False
+        else:
+            tag, marked = name, name not in PROSE_TAGS and "class=" in m.group(3)
             classed |= marked
-            linked |= name == "a"
             prose |= name == "p"
-            for part in inner.split("\n"):
-                found.setdefault(_clean(part), (name, marked))
-    return found, classed and linked and prose
+        link = 0
+    parts.append(body[at:])
+    flush()
+    return found, (2 if classed and any_link else 1) if prose else 0
+
+
+def _word_hash(word: str) -> int:
+    return (xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) & 0xFFFF) - 0x8000
 
 
 def own_features(content: str, text: str | None, title: str | None) -> tuple[list[int], list[int], np.ndarray]:
     """Of each line that isn't blank: its number, the hash of its wording, and its own features.
 
-    The label is 1 for article and 0 for furniture on pages whose markup tells them apart (frames with a
-    class and links against prose tags and list entries), and -1 on all others.
+    The label is 1 for article and 0 for furniture where the page's markup tells (lines of links, frames and classed tags against
+    prose tags, and list entries on pages of kind 2), and -1 elsewhere.
     """
-    found, tells = _pieces(text)
+    found, kind = _blocks(text)
     title = (title or "").strip().lower()
     numbers, hashes, rows = [], [], []
     for k, line in enumerate(content.split("\n")):
@@ -68,12 +104,14 @@ def own_features(content: str, text: str | None, title: str | None) -> tuple[lis
             continue
         w = WORD.findall(s)
         n, low = len(w), s.lower()
-        tag, marked = found.get(s, ("", False))
+        tag, marked, linked = found.get(s, ("", False, 0))
         label = -1
-        if tells and tag:
-            label = 0 if tag == "a" or marked or tag in FRAME_TAGS else 1 if tag in PROSE_TAGS or tag == "li" else 0
+        if kind and tag:
+            furniture = marked or tag in FRAME_TAGS or 2 * linked > n
+            label = 0 if furniture else 1 if tag in PROSE_TAGS or (tag == "li" and kind == 2) else -1 if tag == "li" else 0
         numbers.append(k)
         hashes.append(xxhash.xxh3_64_intdigest(s.encode("utf-8", "surrogatepass")) - (1 << 63))
+        ends = [("#" if x.isdigit() else x.lower()) for x in (*w[:2], *w[-1:])]
         rows.append(
             (
                 min(n, 1000),
@@ -81,14 +119,19 @@ def own_features(content: str, text: str | None, title: str | None) -> tuple[lis
                 s[-1] in ".!?…”\"»)" and n > 3,
                 s[0] in "“\"„«»",
                 min(s.count("|") + s.count("·") + s.count("»") + s.count("  "), 100),
-                " – " in s,
+                min(len(WORD.findall(s[: s.index(" – ")])), 100) + 1 if " – " in s else 0,
                 min(sum(x.isdigit() for x in w), 100),
                 100 * sum(x[:1].isupper() for x in w) // n if n else 0,
                 len(title) > 3 and (title == low or title.startswith((low + " –", low + " -", low + " |"))),
                 len(title) > 8 and title[:9] in low,
-                tag == "a",
+                line.strip() != s,
+                min(linked, 1000),
                 tag in PROSE_TAGS,
-                tag in FRAME_TAGS or (tag == "a"),
+                tag in FRAME_TAGS or marked or tag == "a",
+                _word_hash(ends[0] if n > 1 else "=" + ends[0]) if n else 0,  # a word alone isn't the beginning of a line
+                _word_hash(ends[1]) if n > 1 else 0,
+                _word_hash(ends[-1]) if n > 1 else 0,
+                kind,
                 label,
             )
         )
@@ -124,73 +167,130 @@ def pages(docs: DataFrame) -> DataFrame:
 def with_counts(made: DataFrame) -> DataFrame:
     """pages with `at`, `on_site` and `overall`: of the lines that occur on other pages, their index, pages of the site and all pages that have them."""
     lines = made.select("docno", "site", F.posexplode("hashes").alias("at", "h"))
-    on_site = lines.groupBy("site", "h").agg(F.count("*").alias("s"))
-    on_site = materialise(on_site)
+    on_site = materialise(lines.groupBy("site", "h").agg(F.count("*").alias("s")))
     overall = on_site.groupBy("h").agg(F.sum("s").alias("o")).filter("o > 1")
-    counts = on_site.join(overall, "h")
-    joined = lines.join(counts, ["site", "h"]).groupBy("docno").agg(F.collect_list(F.struct("at", "s", "o")).alias("c"))
+    counts = materialise(on_site.join(overall, "h"))
+    total = counts.agg(F.coalesce(F.sum("s"), F.lit(0))).first()[0]
+    joined = skew_safe_lookup(lines, counts, ["site", "h"], "s", total).groupBy("docno").agg(F.collect_list(F.struct("at", "s", "o")).alias("c"))
     return made.join(joined, "docno", "left").select("docno", "lines", "own", F.col("c.at").alias("at"), F.col("c.s").alias("on_site"), F.col("c.o").alias("overall"))
 
 
-def features(own: np.ndarray, lengths: np.ndarray, on_site: np.ndarray, overall: np.ndarray) -> np.ndarray:
-    """The tree's features of lines of several pages, one page after the other: own features, how often the line
+def style_tables(own: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """counts[position, label, word]: how often short lines of each label begin, go on and end with a word; y is -1 for lines that don't count."""
+    counts = np.zeros((3, 2, 1 << 16), np.float32)
+    short = own[:, _K["sentence"]] == 0
+    for j in range(3):
+        words = own[:, _K["first"] + j].astype(np.int64) + 0x8000
+        for label in (0, 1):
+            counts[j, label] = np.bincount(words[short & (y == label)], minlength=1 << 16)
+    return counts
+
+
+def styles(own: np.ndarray, counts: np.ndarray, y: np.ndarray | None = None) -> np.ndarray:
+    """Log odds of `article` by the first, second and last word of each line, and their sum; with y, a line's own label doesn't count."""
+    short = own[:, _K["sentence"]] == 0
+    out = []
+    for j in range(3):
+        words = own[:, _K["first"] + j].astype(np.int64) + 0x8000
+        no, yes = counts[j, 0][words], counts[j, 1][words]
+        if y is not None:
+            no, yes = no - (short & (y == 0)), yes - (short & (y == 1))
+        out.append(np.log((yes + 1) / (no + 1)))
+    return np.stack([*out, sum(out)], axis=1)
+
+
+def features(own: np.ndarray, lengths: np.ndarray, on_site: np.ndarray, overall: np.ndarray, style: np.ndarray) -> np.ndarray:
+    """The tree's features of lines of several pages, one page after the other: own features and style, link density, how often the line
     recurs, and the same of two neighbours on each side, of the run of short lines around it and of the page."""
     n = len(own)
+    if not n:
+        return np.zeros((0, 1), np.float32)
     page = np.repeat(np.arange(len(lengths)), lengths)
     first = np.repeat(np.cumsum(lengths) - lengths, lengths)
     last = np.repeat(np.cumsum(lengths) - 1, lengths)
     i = np.arange(n)
-    o = own[:, : _K["label"]].astype(np.float32)
     most = np.ones(len(lengths))
-    if n:
-        np.maximum.at(most, page, on_site)
+    np.maximum.at(most, page, on_site)
     share = on_site / most[page]
     often = np.log2(overall)
     again = (on_site >= 3) & (share >= 0.01)
-    long = (own[:, _K["sentence"]] > 0) & (own[:, _K["words"]] >= 8)
-    before = np.maximum.accumulate(np.where(long, i, -1)) if n else i
-    before = np.where(long, np.r_[-1, before[:-1]] if n else before, before)
-    before = np.maximum(before, first - 1)
-    after = np.minimum.accumulate(np.where(long, i, n)[::-1])[::-1] if n else i
-    after = np.where(long, np.r_[after[1:], n] if n else after, after)
-    after = np.minimum(after, last + 1)
-    c_again, c_long, c_link = (np.r_[0, np.cumsum(v)] for v in (again, long, own[:, _K["link"]]))
-    c_prose = np.r_[0, np.cumsum(own[:, _K["prose"]])]
-    recent = np.maximum(np.maximum.accumulate(np.where(again, i, -1)) if n else i, before)
-    heads = np.where(own[:, _K["title"]] > 0, i, -1)
-    head = np.maximum.accumulate(heads) if n else i
-    out = [o, share[:, None], often[:, None], again[:, None], on_site[:, None] > 1]
+    words, linked = own[:, _K["words"]].astype(np.float64), own[:, _K["linked"]].astype(np.float64)
+    density = linked / np.maximum(words, 1)
+    before, after = runs_around(own, lengths)
+
+    def between(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Sum of values from a up to b, b left out."""
+        c = np.r_[0, np.cumsum(values)]
+        return c[np.maximum(b, a)] - c[a]
+
+    long = _long(own)
+    recent = np.maximum(np.maximum.accumulate(np.where(again, i, -1)), before)
+    head = np.maximum.accumulate(np.where(own[:, _K["title"]] > 0, i, -1))
     size = (last - first + 1).astype(np.float32)
-    out += [
-        np.stack(
-            [
-                i - before - 1,
-                after - i - 1,
-                after - before - 1,
-                c_again[i] - c_again[before + 1],
-                c_again[after] - c_again[np.minimum(i + 1, n)],
-                i - recent,
-                before < first,
-                after > last,
-                (i - first) / size,
-                c_long[i] - c_long[first],
-                c_long[last + 1] - c_long[i + 1] if n else i,
-                np.where(head >= first, np.minimum(i - head, 50), -1),
-                (c_prose[last + 1] - c_prose[first]) / size if n else i,
-                (c_link[last + 1] - c_link[first]) / size if n else i,
-            ],
-            axis=1,
-        )
+    lo, hi = np.maximum(i - 2, first), np.minimum(i + 3, last + 1)
+    run = np.maximum(after - before - 1, 1)
+    own_columns = [
+        i - before - 1,
+        after - i - 1,
+        after - before - 1,
+        between(again, before + 1, i),
+        between(again, i + 1, after),
+        i - recent,
+        before < first,
+        after > last,
+        (i - first) / size,
+        between(long, first, i),
+        between(long, i + 1, last + 1),
+        np.where(head >= first, np.minimum(i - head, 50), -1),
+        between(own[:, _K["prose"]], first, last + 1) / size,
+        density,
+        between(linked, lo, hi) / np.maximum(between(words, lo, hi), 1),
+        between(linked, before + 1, after) / np.maximum(between(words, before + 1, after), 1),
+        between(linked, first, last + 1) / np.maximum(between(words, first, last + 1), 1),
+        between(style[:, 3], before + 1, after) / run,
+        between(own[:, _K["bullet"]], before + 1, after) / run,
     ]
+    out = [own[:, :_PLAIN].astype(np.float32), style, share[:, None], often[:, None], again[:, None], on_site[:, None] > 1, np.stack(own_columns, axis=1)]
     for d in (-2, -1, 1, 2):
         j = i + d
         inside = (j >= first) & (j <= last)
-        j = np.clip(j, 0, max(n - 1, 0))
-        near = np.stack([own[j, _K["words"]], own[j, _K["sentence"]], often[j], share[j], own[j, _K["link"]], own[j, _K["prose"]], own[j, _K["bars"]], own[j, _K["title"]], again[j]], axis=1) if n else np.zeros((0, 9))
+        j = np.clip(j, 0, n - 1)
+        near = np.stack([words[j], own[j, _K["sentence"]], often[j], share[j], density[j], own[j, _K["prose"]], own[j, _K["bars"]], own[j, _K["title"]], again[j], style[j, 3]], axis=1)
         out.append(np.where(inside[:, None], near, -1))
     return np.concatenate([np.asarray(v, np.float32) for v in out], axis=1)
 
 
+def _long(own: np.ndarray) -> np.ndarray:
+    return (own[:, _K["sentence"]] > 0) & (own[:, _K["words"]] >= 8)
+
+
+def runs_around(own: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each line the long line before and the one after it on its page (or the place before the first and after the last line)."""
+    n = len(own)
+    first = np.repeat(np.cumsum(lengths) - lengths, lengths)
+    last = np.repeat(np.cumsum(lengths) - 1, lengths)
+    i, long = np.arange(n), _long(own)
+    before = np.maximum.accumulate(np.where(long, i, -1))
+    before = np.where(long, np.r_[-1, before[:-1]], before)
+    after = np.minimum.accumulate(np.where(long, i, n)[::-1])[::-1]
+    after = np.where(long, np.r_[after[1:], n], after)
+    return np.maximum(before, first - 1), np.minimum(after, last + 1)
+
+
+def with_votes(x: np.ndarray, p: np.ndarray, own: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """x with what a first tree says of the line, its neighbours and the run of short lines around it, so that lines of one block are decided together."""
+    if not len(own):
+        return x
+    first = np.repeat(np.cumsum(lengths) - lengths, lengths)
+    last = np.repeat(np.cumsum(lengths) - 1, lengths)
+    i = np.arange(len(own))
+    before, after = runs_around(own, lengths)
+    sums = np.r_[0, np.cumsum(p)]
+    run = (sums[np.maximum(after, before + 1)] - sums[before + 1]) / np.maximum(after - before - 1, 1)
+    near = [np.where((i + d >= first) & (i + d <= last), p[np.clip(i + d, 0, len(p) - 1)], -1) for d in (-2, -1, 1, 2)]
+    return np.concatenate([x, np.stack([p, run, *near], axis=1).astype(np.float32)], axis=1)
+
+
 def _flat(own: list[bytes], at: list, on_site: list, overall: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     mats = [np.frombuffer(x, np.int16).reshape(-1, len(OWN)) for x in own]
     lengths = np.array([len(m) for m in mats], np.int64)
@@ -202,43 +302,82 @@ def _flat(own: list[bytes], at: list, on_site: list, overall: list) -> tuple[np.
     return (np.concatenate(mats) if mats else np.zeros((0, len(OWN)), np.int16)), lengths, s, o
 
 
-def train(counted: DataFrame, limit: int = TRAINING_PAGES):
-    """A tree from at most `limit` pages whose markup labels their lines, taken in the order of a hash of docno.
+def markup_labels(made: DataFrame, limit: int = LABELLED_PAGES) -> DataFrame:
+    """A labelled table (docno, line_no, article) of at most `limit` pages of each kind of markup that tells, taken in the order of a hash of docno; where
+    nobody has labelled pages by hand, their markup does."""
+    kind = F.substring("own", 2 * _K["kind"] + 1, 1)  # of the first line, as of all
+    parts = [made.filter((F.length("own") > 0) & (kind == F.lit(bytes([k])))).orderBy(F.xxhash64("docno"), "docno").limit(limit) for k in (1, 2)]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for docno, lines, own in zip(*(c.to_pylist() for c in b.columns)):
+                y = np.frombuffer(own, np.int16).reshape(-1, len(OWN))[:, _K["label"]]
+                known = np.flatnonzero(y >= 0)
+                yield pa.RecordBatch.from_arrays([pa.array([docno] * len(known), pa.string()), pa.array(np.array(lines, np.int32)[known]), pa.array(y[known] > 0)], ["docno", "line_no", "article"])
+
+    return parts[0].unionByName(parts[1]).select("docno", "lines", "own").mapInArrow(work, "docno string, line_no int, article boolean")
+
+
+def train(counted: DataFrame, labels: DataFrame, most: int = 2 * LABELLED_PAGES):
+    """(style tables, tree, second tree) from the labelled lines of at most `most` pages, taken in the order of a hash of docno.
 
     Every page counts twice, with its tags and with them hidden, as they are on pages laid out by tables or
-    plain blocks. Without any labelled page the tree is one split: lines of ten words or more that end a sentence.
+    plain blocks. The second tree sees what the first says of lines nearby, which for training two trees say of the half of the pages that they
+    haven't seen. Without fifty labelled lines the tree is one split: lines of ten words or more that end a sentence.
     """
-    labelled = F.substring("own", 2 * len(OWN) - 1, 2) != F.lit(np.array([-1], np.int16).tobytes())
-    rows = counted.filter((F.length("own") > 0) & labelled).orderBy(F.xxhash64("docno"), "docno").limit(limit).select("own", "at", "on_site", "overall").collect()
+    marks = labels.filter("docno is not null and line_no is not null and article is not null").groupBy("docno", "line_no").agg(F.max(F.col("article").cast("int")).alias("y"))
+    marks = materialise(marks.groupBy("docno").agg(F.collect_list(F.struct("line_no", "y")).alias("marks")).orderBy(F.xxhash64("docno"), "docno").limit(most))
+    rows = counted.join(F.broadcast(marks), "docno").orderBy(F.xxhash64("docno"), "docno").select("own", "at", "on_site", "overall", "lines", "marks").collect()  # at most `most` pages
     own, lengths, s, o = _flat([bytes(r[0]) for r in rows], *[[r[k] for r in rows] for k in (1, 2, 3)])
-    known = own[:, _K["label"]] >= 0
+    y = np.full(len(own), -1, np.int64)
+    for begin, r in zip(np.cumsum(lengths) - lengths, rows):
+        place = {line: k for k, line in enumerate(r["lines"])}
+        for mark in r["marks"]:
+            if mark["line_no"] in place:
+                y[begin + place[mark["line_no"]]] = mark["y"]
+    known = y >= 0
     if known.sum() < 50:
-        return np.array([_K["words"], -1, -1]), np.array([9.5, 0, 0]), np.array([1, -1, -1]), np.array([2, -1, -1]), np.array([0.5, 0.0, 1.0])
-    x = features(own, lengths, s, o)
+        plain = np.array([_K["words"], -1, -1]), np.array([9.5, 0, 0]), np.array([1, -1, -1]), np.array([2, -1, -1]), np.array([0.5, 0.0, 1.0])
+        return np.zeros((3, 2, 1 << 16), np.float32), plain, None
+    counts = style_tables(own, y)
+    style = styles(own, counts, y)
     hidden = own.copy()
-    hidden[:, [_K["link"], _K["prose"], _K["frame"]]] = 0
-    y = own[known, _K["label"]].astype(np.float64)
-    return tree.grow(np.concatenate([x[known], features(hidden, lengths, s, o)[known]]), np.concatenate([y, y]))
-
-
-def article_lines(docs: DataFrame, limit: int = TRAINING_PAGES) -> DataFrame:
+    hidden[:, _TAGS] = 0
+    half = (np.repeat(np.arange(len(lengths)), lengths) % 2).astype(bool)
+    shown, second = [], []
+    for version in (own, hidden):
+        shown.append(features(version, lengths, s, o, style))
+    folds = [tree.grow(np.concatenate([x[known & side] for x in shown]), np.tile(y[known & side].astype(np.float64), 2)) for side in (half, ~half)]
+    for x, version in zip(shown, (own, hidden)):
+        p = np.where(half, tree.apply(folds[1], x), tree.apply(folds[0], x))
+        second.append(with_votes(x, p, version, lengths)[known])
+    target = np.tile(y[known].astype(np.float64), 2)
+    return counts, tree.grow(np.concatenate([x[known] for x in shown]), target), tree.grow(np.concatenate(second), target)
+
+
+def article_lines(docs: DataFrame, labels: DataFrame | None = None, limit: int = LABELLED_PAGES) -> DataFrame:
     """(docno, line_no): the lines of content that belong to the article, numbered from 0, each docno once.
 
     Lines are flat text blocks with their word count, link density, tags (where text gives them), how often the line
-    recurs on the site and elsewhere, and the same of their neighbours; a decision tree grown from pages
-    with telling markup decides. Only rows of class trecweb with content count; blank lines, empty content and NULL docnos
+    recurs on the site and elsewhere, and the same of their neighbours; a decision tree grown from the labelled table labels(docno, line_no,
+    article) - by default markup_labels, of at most 2 x limit pages - decides, and a second one with its votes on nearby lines.
+    Only rows of class trecweb with content count; blank lines, empty content and NULL docnos
     give no rows; NULL text, metadata and url only leave their features empty; repeated rows count once; an empty table gives none.
     """
-    counted = materialise(with_counts(pages(docs)))
-    grown = train(counted, limit)
+    made = pages(docs)
+    counted = materialise(with_counts(made))
+    grown = train(counted, markup_labels(made, limit) if labels is None else labels, 2 * limit)
     shared = docs.sparkSession.sparkContext.broadcast(grown)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, one, two = shared.value
         for b in batches:
             for k in range(0, b.num_rows, 500):
                 docnos, lines, own, at, s, o = (c.to_pylist() for c in b.slice(k, 500).columns)
-                x, lengths, s, o = _flat(own, at, s, o)
-                yes = tree.apply(shared.value, features(x, lengths, s, o)) > 0.5
+                own, lengths, s, o = _flat(own, at, s, o)
+                x = features(own, lengths, s, o, styles(own, counts))
+                p = tree.apply(one, x)
+                yes = (p if two is None else tree.apply(two, with_votes(x, p, own, lengths))) > 0.5
                 page = np.repeat(np.arange(len(lengths)), lengths)[yes]
                 numbers = np.array([v for ls in lines for v in ls], np.int32)[yes]
                 yield pa.RecordBatch.from_arrays([pa.array(docnos, pa.string()).take(pa.array(page)), pa.array(numbers, pa.int32())], ["docno", "line_no"])

@@ -34,6 +34,28 @@ def test_articles_of_pages_without_telling_tags(spark):
     assert tp / (tp + fp) > 0.95 and tp / (tp + fn) > 0.95
 
 
+def test_link_density_and_labels(spark):
+    found, kind = B._blocks('<body><div class="x">one</div><p>some <a href="/">linked words</a> and <b>bold</b></p>\n<li><a>all of it</a></li>left <i>over</i>')
+    assert kind == 2 and found == {"one": ("div", True, 0), "some linked words and bold": ("p", False, 2), "all of it": ("li", False, 3), "left over": ("", False, 0)} or found["some linked words and"][2] == 2
+    assert B._blocks("<body><p>text</p><li>item</li>")[1] == 1 and B._blocks("<td>text</td>")[1] == 0 and B._blocks(None) == ({}, 0)
+    numbers, _, own = B.own_features("text\n\nall links here", "<body><p>text</p><a>all links</a> here", None)
+    k = B._K
+    assert numbers == [0, 2] and own[:, k["linked"]].tolist() == [0, 2] and own[:, k["label"]].tolist() == [1, 0]
+
+
+def test_labels_of_the_user_decide(spark):
+    """A labelled table that calls sentences furniture and all else the article turns the result round."""
+    rng = random.Random(2)
+    made = [page(k, rng, True) for k in range(60)]
+    df = spark.createDataFrame([r for r, _ in made], SCHEMA)
+    rows = [(r[0], i, i not in want) for r, want in made[:40] for i, _ in enumerate(r[3].split("\n"))] + [(None, 1, True), ("d0001", None, True), ("d0001", 2, None), ("nowhere", 0, True)]
+    labels = spark.createDataFrame(rows, "docno string, line_no int, article boolean")
+    got = {(r.docno, r.line_no) for r in B.article_lines(df, labels).collect()}
+    want = {(r[0], i) for r, w in made[40:] for i, _ in enumerate(r[3].split("\n")) if i not in w}
+    seen = {x for x in got if x[0] in {r[0] for r, _ in made[40:]}}
+    assert len(seen & want) > 0.95 * len(want) and len(seen & want) > 0.95 * len(seen)
+
+
 def test_odd_input(spark):
     long = " ".join(["word"] * 20) + "."
     rows = [
