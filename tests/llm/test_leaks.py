@@ -75,3 +75,58 @@ def test_odd_input(spark):
     got = found(spark, docs, [(7, ITEM, "en"), (8, None, None), (9, "short", "en"), (None, ITEM, "en"), (7, ITEM, "en")])
     assert set(got) == {(d, i) for d in (None, 3, 4) for i in (7, None)} and set(got.values()) == {"verbatim"}
     assert found(spark, [], [(7, ITEM, "en")]) == {} and found(spark, docs, []) == {}
+
+
+def slots(text, canon, joined):
+    """(kind, words) of each slot of a text, runs of numbers and of names as one slot if joined; naive."""
+    import re
+
+    out = []
+    for w in re.findall(r"[^\W_]+", text):
+        k = canon.kinds[canon[w]]
+        if joined and out and k in (1, 3) and out[-1][0] == k:
+            out[-1] = (k, out[-1][1] + " " + w.lower())
+        else:
+            out.append((k, w.lower()))
+    return out
+
+
+def meets(a, b, least_fixed):
+    """Whether two windows are equal, or have equal templates of enough words and slots that map one to one."""
+    if [w for _, w in a] == [w for _, w in b]:
+        return "verbatim"
+    if [k for k, _ in a] != [k for k, _ in b] or sum(k == 0 for k, _ in a) < least_fixed or any(k == 0 and x != y for (k, x), (_, y) in zip(a, b)):
+        return None
+    pairs = {(x, y) for (k, x), (_, y) in zip(a, b) if k}
+    # Slots of two kinds may hold equal words only together.
+    return "reworded" if len({x for x, _ in pairs}) == len(pairs) == len({y for _, y in pairs}) else None
+
+
+def test_reworded_against_brute_force(spark):
+    rng = random.Random(7)
+    names, numbers, fixed = ["Zor", "Vim", "Ost Hill", "Pel", "Marr"], ["12", "7", "1,250", "44"], "the mill of and closed moved old toward".split()
+
+    def fill(pattern):
+        return " ".join(rng.choice(names) if x == "N" else rng.choice(numbers) if x == "9" else x for x in pattern)
+
+    patterns = [[rng.choice(fixed + ["N", "9"]) for _ in range(12)] for _ in range(12)]
+    items = [(k, "so " + fill(p) + " it", "en") for k, p in enumerate(patterns)]
+    docs = [row(k, "and " + fill(rng.choice(patterns)) + " was " + fill(rng.choice(patterns))) for k in range(60)]
+    size, least = 8, 3
+    known = L.lexicon(spark.createDataFrame(items, "item_id long, text string, lang string"))
+    canon = L.Canon(known, frozenset(L.UNITS))
+    want = {}
+    for d, text, *_ in docs:
+        for i, item, _ in items:
+            for joined_d in (False, True):
+                for joined_i in (False, True):
+                    a, b = slots(text, canon, joined_d), slots(item, canon, joined_i)
+                    for x in range(len(a) - size + 1):
+                        for y in range(len(b) - size + 1):
+                            kind = meets(a[x : x + size], b[y : y + size], least)
+                            if kind and not (kind == "reworded" and want.get((d, i)) == "verbatim"):
+                                if kind == "verbatim" and any(" " in w for _, w in a[x : x + size]) and joined_d != joined_i:
+                                    continue
+                                want[(d, i)] = kind
+    got = found(spark, docs, items, size=size, least_fixed=least)
+    assert got == want and {"verbatim", "reworded"} == set(want.values())
