@@ -439,10 +439,13 @@ def porter(spark, sf):
 
 
 def dictionary_stems(spark, sf):
+    """All terms by a dictionary of the terms of twenty documents or more."""
     from lexigrove.functions.analysis import stem_udf
+    from lexigrove.operators.inspect import term_stats
 
-    words = corpora.documents(spark, sf).tokens.select("term").distinct()
-    return words.select("term", stem_udf("krovetz")("term").alias("stem"))
+    stats = Z.materialise(term_stats(corpora.documents(spark, sf)))
+    headwords = frozenset(r["term"] for r in stats.filter("df >= 20").select("term").collect())  # a dictionary
+    return stats.select("term", stem_udf("krovetz", headwords=headwords)("term").alias("stem"))
 
 
 def html_parse(spark, sf):
@@ -472,3 +475,31 @@ for _i in range(1, 21):
     _EM += f""", x{_i} AS (SELECT tf, n, 1 / (1 + exp((ln(1 - s) + tf * ln(lo) - lo) - (ln(s) + tf * ln(hi) - hi))) AS r FROM h, e{_i - 1}), y{_i} AS (SELECT sum(n * r) AS w, sum(n * r * tf) AS g FROM x{_i}),
 e{_i} AS MATERIALIZED (SELECT least(greatest(w / docs, 1e-9), 1 - 1e-9) AS s, greatest(g / greatest(w, 1e-12), 1e-9) AS hi, greatest((hits - g) / greatest(docs - w, 1e-12), 1e-9) AS lo FROM y{_i}, t)"""
 SQL["em_mixture"] = _EM + " SELECT round(s, 6) AS share, round(hi, 6) AS topic, round(lo, 6) AS background FROM e20"
+SQL["dictionary_stems"] = f"""WITH {S.TOK}, ts AS (SELECT term AS w, count(DISTINCT doc_id) AS df FROM tok GROUP BY term), hw AS (SELECT list(w) AS h FROM ts WHERE df >= 20),
+y AS (SELECT w, CASE WHEN w LIKE '%ies' THEN [w[:-2], w[:-4] || 'y'] WHEN w LIKE '%es' THEN [w[:-2], w[:-3]] WHEN w LIKE '%s' AND w NOT LIKE '%ss' AND w NOT LIKE '%us' THEN [w[:-2]]
+  WHEN w LIKE '%ied' THEN [w[:-4] || 'y'] WHEN w LIKE '%ed' THEN [w[:-2], w[:-3], CASE WHEN w[-3] = w[-4] THEN w[:-4] ELSE w[:-3] END]
+  WHEN w LIKE '%ing' THEN [w[:-4] || 'e', w[:-4], CASE WHEN len(w) > 5 AND w[-4] = w[-5] THEN w[:-5] ELSE w[:-4] END] ELSE [] END AS tries FROM ts)
+SELECT w AS term, CASE WHEN len(w) < 4 OR list_contains(h, w) OR NOT regexp_full_match(w, '[a-z]+') THEN w ELSE coalesce(list_filter(tries, lambda x: list_contains(h, x))[1], w) END AS stem FROM y, hw"""
+
+
+def adhoc(spark, sf):
+    from lexigrove.operators.adhoc import run_topics
+
+    topics = [{"number": "7", "query": "court jury"}, {"number": "8", "query": "meeting"}]
+    return run_topics(corpora.documents(spark, sf), topics, k=40, size=60, overlap=20).select("topic", "doc_id", F.round("score", 6).alias("score"))
+
+
+add("adhoc_topics", adhoc)
+
+
+def _adhoc_topic(number: str, terms: list[str]) -> str:
+    lm = " + ".join(f"ln((len(list_filter(ts, lambda x: x = '{t}')) + 2500 * (SELECT count(*)::DOUBLE FROM tok WHERE term = '{t}') / total) / (len(ts) + 2500))" for t in terms)
+    leaves = ", ".join(S.leaf(k, S.term(t)) for k, t in enumerate(terms))
+    score = "(" + " + ".join(S.dirichlet(k) for k in range(len(terms))) + f") / {len(terms)}"
+    joins = " ".join(f"LEFT JOIN l{k} USING (doc_id)" for k in range(len(terms)))
+    gate = " UNION ".join(f"SELECT doc_id FROM l{k}" for k in range(len(terms)))
+    return f"""(WITH sc AS (SELECT doc_id, max({lm}) AS p FROM ps, c GROUP BY doc_id), {leaves}, cand AS ({gate}), r AS (SELECT doc_id, {score} AS d FROM cand JOIN len USING (doc_id) {joins}),
+hom AS ({_LH}) SELECT '{number}' AS topic, doc_id, round(h * d + (1 - h) * p, 6) AS score FROM r JOIN hom USING (doc_id) JOIN sc USING (doc_id) ORDER BY round(h * d + (1 - h) * p, 9) DESC, doc_id DESC LIMIT 40)"""
+
+
+SQL["adhoc_topics"] = f"{_CUT} {_adhoc_topic('7', ['court', 'jury'])} UNION ALL {_adhoc_topic('8', ['meeting'])}"
