@@ -173,17 +173,30 @@ def _batch(part: pa.RecordBatch, canon: Canon, size: int, least_fixed: int, want
 
 
 def window_filter(windows: DataFrame, bits: int) -> np.ndarray:
-    """A set of bits (a power of two), those that the hashes h of windows fall on; put together by Spark in words of 32 bits."""
-    place = F.shiftrightunsigned("h", 64 - (bits.bit_length() - 1))
-    rows = windows.select(place.alias("p")).groupBy(F.shiftright("p", 5).alias("at")).agg(F.bit_or(F.pow(F.lit(2.0), F.col("p").bitwiseAND(31)).cast("long")).alias("v")).toPandas()
-    out = np.zeros(bits // 32, np.uint32)
-    out[rows["at"].to_numpy(np.int64)] = rows["v"].to_numpy(np.int64).astype(np.uint32)
-    return out
+    """A set of bits (a power of two), those that the hashes h of windows fall on. Tasks put together chunks of it, so that the driver gets bits / 8 bytes."""
+    chunk = min(19, bits.bit_length() - 1)  # bits of a place within its chunk
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: dict[int, np.ndarray] = {}
+        for b in batches:
+            places = np.unique(b.column(0).to_numpy())
+            for k in np.unique(places >> chunk).tolist():
+                bit = np.zeros(1 << chunk, bool)
+                bit[places[places >> chunk == k] & ((1 << chunk) - 1)] = True
+                packed = np.packbits(bit, bitorder="little")
+                made[k] = made[k] | packed if k in made else packed
+        yield pa.RecordBatch.from_arrays([pa.array(list(made), pa.int64()), pa.array([v.tobytes() for v in made.values()], pa.binary())], ["k", "v"])
+
+    place = windows.select(F.shiftrightunsigned("h", 64 - (bits.bit_length() - 1)).alias("p"))
+    out = np.zeros((bits >> chunk, (1 << chunk) // 8), np.uint8)
+    for r in place.repartition(F.shiftright("p", chunk)).mapInArrow(pack, "k long, v binary").toLocalIterator():
+        out[r["k"]] |= np.frombuffer(r["v"], np.uint8)
+    return out.ravel()
 
 
 def in_filter(filter_: np.ndarray, h: np.ndarray) -> np.ndarray:
-    place = h >> np.uint64(64 - ((len(filter_) * 32).bit_length() - 1))
-    return (filter_[(place >> np.uint64(5)).astype(np.int64)] >> (place & np.uint64(31)).astype(np.uint32)) & np.uint32(1) == 1
+    place = h >> np.uint64(64 - ((len(filter_) * 8).bit_length() - 1))
+    return (filter_[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
 
 
 def leaks(docs: DataFrame, items: DataFrame, size: int = 12, least_fixed: int = 4, units: Sequence[str] = tuple(UNITS), filter_bits: int = FILTER_BITS) -> DataFrame:
