@@ -78,7 +78,7 @@ def place_table(best: DataFrame, models: list[str]) -> DataFrame:
     An item without a score of a model takes n_items as its place. Models not in `models` don't count,
     but their items do.
     """
-    at = places(best, ["model_name", "topic_name", "dir_day"])
+    at = places(materialise(best), ["model_name", "topic_name", "dir_day"])
     wide = at.groupBy("topic_name", "dir_day", "stream_id").agg(F.count("*").alias("n_models"), *[F.max(F.when(F.col("model_name") == m, F.col("place"))).alias(f"p{k}") for k, m in enumerate(models)])
     wide = materialise(wide)
     sizes = wide.groupBy("topic_name", "dir_day").agg(F.count("*").alias("n_items"))
