@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lexigrove.catalog import corpora
 from lexigrove.catalog import sqltext as S
+from lexigrove.collection import Collection
 from lexigrove.engine import Engine
 from lexigrove.functions import scoring
 from lexigrove.operators import inspect
@@ -17,6 +18,7 @@ from lexigrove.plans.extents import Extents
 from lexigrove.operators.shrinkage import Shrinkage, shrinkage_scores
 from lexigrove.plans.parser import parse, parse_extent
 from lexigrove.plans.xpath import parse_paths
+from lexigrove.session import table
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -160,6 +162,13 @@ plain(
     lambda s, d: inspect.inverted_list(corpora.documents(s, d), "jury").select("doc_id", F.explode("positions").alias("pos")),
     f"WITH {S.TOK} SELECT doc_id, pos::INTEGER AS pos FROM tok WHERE term = 'jury'",
 )
+plain(
+    "token_offsets",
+    lambda s, d: Collection.flat(table(s, d, "documents"), offsets=True).positions,
+    """WITH z AS (SELECT doc_id, regexp_extract_all(lower(text), '([^a-z0-9]*)([a-z0-9]+)', 1) AS g, regexp_extract_all(lower(text), '([^a-z0-9]*)([a-z0-9]+)', 2) AS t FROM documents WHERE text IS NOT NULL),
+u AS (SELECT doc_id, unnest(g) AS g, unnest(t) AS t, generate_subscripts(t, 1) - 1 AS pos FROM z), e AS (SELECT doc_id, pos, length(t) AS n, sum(length(g) + length(t)) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS e FROM u)
+SELECT doc_id, pos::INTEGER AS pos, (e - n)::INTEGER AS "begin", e::INTEGER AS "end" FROM e""",
+)
 plain(
     "expr_df_phrase",
     lambda s, d: inspect.expression_counts(corpora.documents(s, d), "#1(copies of the)").select("doc_id", F.col("n").cast("long").alias("n")),

@@ -34,8 +34,9 @@ class Collection:
     # -- building
 
     @staticmethod
-    def flat(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", metadata: list[str] | None = None, stopwords: tuple[str, ...] = (), stemmer: str | None = None) -> Collection:
-        """Plain texts: simple tokens at array positions; stopped ones keep their slot as NULL."""
+    def flat(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", metadata: list[str] | None = None, stopwords: tuple[str, ...] = (), stemmer: str | None = None, offsets: bool = False) -> Collection:
+        """Plain texts: simple tokens at array positions; stopped ones keep their slot as NULL. With offsets, `positions` tells where in the text each token
+        begins and ends, in characters (of its lower-cased form)."""
         spark = docs.sparkSession
         rows = docs.filter(F.col(text).isNotNull() & F.col(doc_id).isNotNull())
         tokens = rows.select(F.col(doc_id).alias("doc_id"), F.posexplode(analysis.simple_tokens(F.col(text))).alias("pos", "term"))
@@ -44,7 +45,13 @@ class Collection:
         meta = F.map_from_arrays(F.array(*[F.lit(c) for c in keep]), F.array(*[F.col(c).cast("string") for c in keep])) if keep else F.create_map().cast("map<string,string>")
         table = rows.select(F.col(doc_id).alias("doc_id"), F.col(doc_id).cast("string").alias("ext_id"), F.col(text).alias("text"), meta.alias("metadata"))
         kind = dict(docs.dtypes)[doc_id]
-        return Collection(table, tokens, spark.createDataFrame([], f"doc_id {kind}, field string, {FIELDS}"), no_priors(spark, kind), None, stopwords, stemmer)
+        spots = None
+        if offsets:  # what lies before each token, and the token, add up to where it ends
+            part = lambda k: F.regexp_extract_all(F.lower(F.col(text)), F.lit("([^a-z0-9]*)([a-z0-9]+)"), F.lit(k))
+            pairs = rows.select(F.col(doc_id).alias("doc_id"), F.posexplode(F.arrays_zip(part(1).alias("gap"), part(2).alias("term"))).alias("pos", "p"))
+            end = F.sum(F.length("p.gap") + F.length("p.term")).over(W.partitionBy("doc_id").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)).cast("int")
+            spots = pairs.withColumn("end", end).select("doc_id", "pos", (F.col("end") - F.length("p.term")).alias("begin"), "end")
+        return Collection(table, tokens, spark.createDataFrame([], f"doc_id {kind}, field string, {FIELDS}"), no_priors(spark, kind), None, stopwords, stemmer, spots)
 
     @staticmethod
     def tagged(docs: DataFrame, doc_id: str, text: str, rules: markup.Markup = markup.Markup(), url: str | None = None, stopwords: tuple[str, ...] = (), stemmer: str | None = None) -> Collection:

@@ -68,7 +68,7 @@ class Extents:
         if isinstance(node, A.Both):
             return reduce(overlap, [self.of(c) for c in node.children])
         if isinstance(node, A.Inside):
-            return inside(self.of(node.inner), self.of(node.outer))
+            return inside(self.of(node.inner), self.of(node.outer), product=True)
         if isinstance(node, A.Path):
             return self.path(node)
         raise TypeError(f"no extents of {type(node).__name__}")
@@ -151,8 +151,9 @@ def descendants(fields: DataFrame, outer: DataFrame) -> DataFrame:
             return found
 
 
-def inside(inner: DataFrame, outer: DataFrame) -> DataFrame:
-    """inner extents contained in some outer one; empty outer extents contain nothing.
+def inside(inner: DataFrame, outer: DataFrame, product: bool = False) -> DataFrame:
+    """inner extents contained in some outer one; empty outer extents contain nothing. With product, weights are multiplied by that of the
+    outer extent that reaches furthest.
 
     Outer extents that may nest are first merged to the longest reach so far, so that one equi-join on documents and a
     frame suffice: sorted by begin, an inner extent is inside if the furthest outer end before it is at or after its own.
@@ -160,8 +161,8 @@ def inside(inner: DataFrame, outer: DataFrame) -> DataFrame:
     i = inner.select("doc_id", "begin", "end", "weight", F.lit(1).alias("kind"))
     o = outer.filter("end > begin").select("doc_id", "begin", "end", "weight", F.lit(0).alias("kind"))
     upto = W.partitionBy("doc_id").orderBy("begin", "kind").rowsBetween(W.unboundedPreceding, 0)
-    rows = i.unionAll(o).withColumn("reach", F.max(F.when(F.col("kind") == 0, F.col("end"))).over(upto))
-    return rows.filter("kind = 1 and reach >= end").select(*COLUMNS)
+    rows = i.unionAll(o).withColumn("reach", F.max(F.when(F.col("kind") == 0, F.struct("end", "weight"))).over(upto)).filter("kind = 1 and reach.end >= end")
+    return rows.select("doc_id", "begin", "end", (F.col("weight") * F.col("reach.weight")).alias("weight") if product else "weight")
 
 
 def overlap(a: DataFrame, b: DataFrame) -> DataFrame:
