@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexigrove.llm.bits import bit_filter, in_filter
 from lexigrove.llm.words import WORD, mix, runs
 from lexigrove.session import BROADCAST_ROWS, materialise
 
@@ -172,33 +173,6 @@ def _batch(part: pa.RecordBatch, canon: Canon, size: int, least_fixed: int, want
     return pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int64())), pa.array(hashes, pa.int64()), pa.array(templates, pa.string()), pa.array(words, pa.string())], ["id", "h", "template", "words"])
 
 
-def window_filter(windows: DataFrame, bits: int) -> np.ndarray:
-    """A set of bits (a power of two), those that the hashes h of windows fall on. Tasks put together chunks of it, so that the driver gets bits / 8 bytes."""
-    chunk = min(19, bits.bit_length() - 1)  # bits of a place within its chunk
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made: dict[int, np.ndarray] = {}
-        for b in batches:
-            places = np.unique(b.column(0).to_numpy())
-            for k in np.unique(places >> chunk).tolist():
-                bit = np.zeros(1 << chunk, bool)
-                bit[places[places >> chunk == k] & ((1 << chunk) - 1)] = True
-                packed = np.packbits(bit, bitorder="little")
-                made[k] = made[k] | packed if k in made else packed
-        yield pa.RecordBatch.from_arrays([pa.array(list(made), pa.int64()), pa.array([v.tobytes() for v in made.values()], pa.binary())], ["k", "v"])
-
-    place = windows.select(F.shiftrightunsigned("h", 64 - (bits.bit_length() - 1)).alias("p"))
-    out = np.zeros((bits >> chunk, (1 << chunk) // 8), np.uint8)
-    for r in place.repartition(F.shiftright("p", chunk)).mapInArrow(pack, "k long, v binary").toLocalIterator():
-        out[r["k"]] |= np.frombuffer(r["v"], np.uint8)
-    return out.ravel()
-
-
-def in_filter(filter_: np.ndarray, h: np.ndarray) -> np.ndarray:
-    place = h >> np.uint64(64 - ((len(filter_) * 8).bit_length() - 1))
-    return (filter_[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
-
-
 def leaks(docs: DataFrame, items: DataFrame, size: int = 12, least_fixed: int = 4, units: Sequence[str] = tuple(UNITS), filter_bits: int = FILTER_BITS) -> DataFrame:
     """(doc_id, item_id, kind, n_windows) for every document that holds a window of `size` words of an item.
 
@@ -229,7 +203,7 @@ def leaks(docs: DataFrame, items: DataFrame, size: int = 12, least_fixed: int =
     of_items = materialise(of_items.select(F.col("id").alias("item_id"), "h", "template", F.col("words").alias("item_words")).distinct())
     n = of_items.count()
     bits = min(filter_bits, 1 << max(16, (FILTER_LOAD * n).bit_length()))
-    wanted = spark.sparkContext.broadcast(window_filter(of_items, bits))
+    wanted = spark.sparkContext.broadcast(bit_filter(of_items, bits))
     of_docs = docs.select("doc_id", "text").dropna(subset=["text"]).mapInArrow(lambda it: cut(it, wanted), schema.format(dict(docs.dtypes)["doc_id"]))
     pairs = of_docs.join(F.broadcast(of_items) if n <= BROADCAST_ROWS else of_items, ["h", "template"])
     out = pairs.groupBy(F.col("id").alias("doc_id"), "item_id").agg(F.max(F.col("words") == F.col("item_words")).alias("same"), F.count("*").alias("n_windows"))

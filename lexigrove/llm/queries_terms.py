@@ -21,6 +21,11 @@ def p2_ngrams_any(spark, sf):
     return T.term_marks(T.query_records(table(spark, sf, "queries")), max_n=None).select(F.col("n").cast("long").alias("n"), "term", "occurrences", "records", "mark")
 
 
+def p2_repeated(spark, sf):
+    """N-grams of up to four tokens, and all longer ones that occur more than once."""
+    return T.repeated_ngrams(T.query_records(table(spark, sf, "queries"))).select(F.col("n").cast("long").alias("n"), "term", "occurrences", "records")
+
+
 def p2_fields(spark, sf):
     return T.field_counts(table(spark, sf, "field_statistics"))
 
@@ -41,7 +46,7 @@ def p5_weights(spark, sf):
     return w.select(F.col("rec").alias("query_id"), "term", "n", "records", F.round("log_entropy", 6).alias("log_entropy"), F.round("tf_idf", 6).alias("tf_idf"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_ngrams, p2_ngrams_any, p2_fields, p5_found, p5_distinctive, p5_weights)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_ngrams, p2_ngrams_any, p2_repeated, p2_fields, p5_found, p5_distinctive, p5_weights)}
 
 _RECORDS = r"""
 WITH q AS (SELECT query_id,
@@ -78,6 +83,11 @@ SELECT n, term, occurrences, records, {_MARK} AS mark FROM c""",
   UNION ALL SELECT j - i + 1, query_id, array_to_string(tk[i:j], ' '), 1 FROM (SELECT query_id, tk, i, unnest(range(i + 1, len(tk) + 1)) AS j FROM (SELECT query_id, tk, unnest(range(1, len(tk))) AS i FROM d WHERE tk IS NOT NULL))),
 c AS (SELECT n, term, sum(k)::BIGINT AS occurrences, count(DISTINCT query_id) AS records FROM g GROUP BY n, term)
 SELECT n, term, occurrences, records, {_MARK} AS mark FROM c""",
+    "p2_repeated": _RECORDS
+    + """g AS (SELECT 1::BIGINT AS n, query_id, term, n AS k FROM t
+  UNION ALL SELECT j - i + 1, query_id, array_to_string(tk[i:j], ' '), 1 FROM (SELECT query_id, tk, i, unnest(range(i + 1, len(tk) + 1)) AS j FROM (SELECT query_id, tk, unnest(range(1, len(tk))) AS i FROM d WHERE tk IS NOT NULL))),
+c AS (SELECT n, term, sum(k)::BIGINT AS occurrences, count(DISTINCT query_id) AS records FROM g GROUP BY n, term)
+SELECT n, term, occurrences, records FROM c WHERE n <= 4 OR occurrences > 1""",
     "p5_found": _RECORDS
     + _W
     + "SELECT query_id, arg_min(term, (-tf_idf, term)) FILTER (records >= 2 AND records < total) AS term FROM w GROUP BY query_id HAVING count(*) >= 3 AND count(*) FILTER (records >= 2 AND records < total) > 0",

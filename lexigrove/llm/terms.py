@@ -6,9 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexigrove.llm.bits import bit_filter, in_filter
 from lexigrove.session import materialise, skew_safe_lookup
 
 #: Tokens of one suffix array; a partition of any size is worked off in blocks of so many.
@@ -73,26 +75,53 @@ def suffix_counts(code: np.ndarray, rec: np.ndarray, weight: np.ndarray, left: n
         yield n, pos[starts], np.add.reduceat(weight[pos], starts), lengths - dup
 
 
-def _count_block(rows: list[tuple], max_n: int | None) -> pd.DataFrame:
+def _living(rows: list[tuple], n: int, filter_: np.ndarray) -> tuple[list[tuple], np.ndarray]:
+    """The rows with a run of n tokens that is in the filter, and which positions of theirs such runs begin at."""
+    sizes = [len(terms[0]) - n + 1 if ordered else 0 for _, ordered, terms in rows]
+    h = np.array([xxhash.xxh64_intdigest(" ".join(terms[0][i : i + n]).encode("utf-8", "surrogatepass"), 42) for (_, _, terms), size in zip(rows, sizes) for i in range(size)], np.uint64)
+    hit = in_filter(filter_, h)
+    kept, alive, at = [], [], 0
+    for row, size in zip(rows, sizes):
+        if size > 0:
+            mine = hit[at : at + size]
+            at += size
+            if mine.any():
+                kept.append(row)
+                alive.append(np.r_[mine, np.zeros(len(row[2][0]) - size, bool)])
+    return kept, np.concatenate(alive) if alive else np.zeros(0, bool)
+
+
+def _count_block(rows: list[tuple], max_n: int | None, above: int = 0, filter_: np.ndarray | None = None) -> pd.DataFrame:
+    """Counts of a block's n-grams of more than `above` tokens; with a filter, of those whose first `above` tokens are in it."""
+    alive = None
+    if filter_ is not None:
+        rows, alive = _living(rows, above, filter_)
+        if not rows:
+            return pd.DataFrame({"n": pd.Series(dtype="int32"), "term": pd.Series(dtype=object), "occurrences": pd.Series(dtype="int64"), "records": pd.Series(dtype="int64")})
     max_n = max_n or max((len(terms[0]) for _, ordered, terms in rows if ordered), default=1) or 1
     words = [t for _, _, terms in rows for t in terms[0]]
     code, names = pd.factorize(np.array(words, dtype=object))
     weight = np.array([n for _, _, terms in rows for n in terms[1]], np.int64)
     rec = np.repeat(np.arange(len(rows)), [len(terms[0]) for _, _, terms in rows])
     left = np.concatenate([np.arange(len(t[0]), 0, -1) if o else np.ones(len(t[0]), np.int64) for _, o, t in rows])
-    parts = [pd.DataFrame({"n": [0], "term": [""], "occurrences": [len(rows)], "records": [len(rows)]})]
+    parts = [pd.DataFrame({"n": [0], "term": [""], "occurrences": [len(rows)], "records": [len(rows)]})] if not above else []
     for n, start, occ, recs in suffix_counts(code, rec, weight, left, max_n):
+        if n <= above:
+            continue
+        if alive is not None:
+            start, occ, recs = start[alive[start]], occ[alive[start]], recs[alive[start]]
         text = names[code[start]] if n == 1 else [" ".join(names[code[s : s + n]]) for s in start]
         parts.append(pd.DataFrame({"n": n, "term": text, "occurrences": occ, "records": recs}))
-    return pd.concat(parts, ignore_index=True)
+    return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"n": [], "term": [], "occurrences": [], "records": []})
 
 
-def ngram_counts(records: DataFrame, max_n: int | None = 3) -> DataFrame:
+def ngram_counts(records: DataFrame, max_n: int | None = 3, above: int = 0, filter_=None) -> DataFrame:
     """(n, term, occurrences, records) of every n-gram of 1..max_n tokens (None: of any length), and at n = 0 the number of records.
 
     records are as from query_records. A record lies wholly in one block; each block is counted by a suffix
     array, which emits every n-gram of the block once, and blocks add up in one aggregation by n-gram: a term
-    of any frequency arrives as one row a block. Unordered records have no n-grams beyond n = 1.
+    of any frequency arrives as one row a block. Unordered records have no n-grams beyond n = 1. With `above`, only longer
+    n-grams, and with filter_ (a broadcast bit filter) only those that begin with a run of `above` tokens in it.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -102,16 +131,36 @@ def ngram_counts(records: DataFrame, max_n: int | None = 3) -> DataFrame:
                 rows.append((rec, ordered, (names, ns)))
                 size += len(names)
                 if size >= BLOCK_TOKENS:
-                    yield _count_block(rows, max_n)
+                    yield _count_block(rows, max_n, above, filter_.value if filter_ else None)
                     rows, size = [], 0
         if rows:
-            yield _count_block(rows, max_n)
+            yield _count_block(rows, max_n, above, filter_.value if filter_ else None)
 
     flat = records.select("rec", "ordered", F.col("terms.term").alias("names"), F.col("terms.n").alias("ns"))
     blocks = flat.mapInPandas(count, "n int, term string, occurrences long, records long")
     return blocks.groupBy("n", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
 
 
+def repeated_ngrams(records: DataFrame, step: int = 4, bits: int = 1 << 28) -> DataFrame:
+    """(n, term, occurrences, records), as from ngram_counts, of all n-grams of up to `step` tokens and of all longer ones that occur more than once, however long.
+
+    An n-gram can only repeat if its beginning does. Each round counts lengths up to twice those of the last one, starting only where the last
+    round's longest n-grams were repeated - a set of bits of one size tells the tasks where - and rounds end when none is. So a long record costs
+    what it shares with others, not the square of its length.
+    """
+    spark = records.sparkSession
+    counts = materialise(ngram_counts(records, step))
+    out, n = counts, step
+    while True:
+        longest = counts.filter((F.col("n") == n) & (F.col("occurrences") > 1)).select(F.xxhash64("term").alias("h"))
+        size = longest.count()
+        if not size:
+            return out.filter(F.col("n").between(1, step) | (F.col("occurrences") > 1)).filter("n > 0")
+        filter_ = spark.sparkContext.broadcast(bit_filter(longest, min(bits, 1 << max(16, (32 * size).bit_length()))))
+        counts = materialise(ngram_counts(records, 2 * n, n, filter_))
+        out, n = out.unionByName(counts), 2 * n
+
+
 def term_marks(records: DataFrame, max_n: int | None = 1, rare: int = 2, common: float = 0.1) -> DataFrame:
     """(n, term, occurrences, records, mark): mark `rare` in at most `rare` records, `common` in more than that share of them, else NULL."""
     counts = materialise(ngram_counts(records, max_n))

@@ -130,3 +130,34 @@ def test_ngrams_of_any_length(spark):
             for i in range(len(text) - n + 1):
                 want.setdefault((n, " ".join(text[i : i + n])), []).append(rec)
     assert got == {k: (len(v), len(set(v))) for k, v in want.items()}
+
+
+def test_repeated_ngrams_of_any_length(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    shared = [f"s{i}" for i in range(60)]
+    rows = []
+    for k in range(40):
+        w = [f"w{rng.integers(0, 30)}" for _ in range(rng.integers(0, 30))]
+        if k % 4 == 0:
+            a = int(rng.integers(0, 30))
+            w[len(w) // 2 : len(w) // 2] = shared[a : a + 25]
+        rows.append((k, w, None, "", ""))
+    rows += [(100, ["é", "a"] * 20, None, "", ""), (101, None, {"é a": 5}, "", ""), (102, [], None, "", "")]
+    counts, records = Counter(), defaultdict(set)
+    for k, w, tf, *_ in rows:
+        for i in range(len(w or [])):
+            for n in range(1, len(w) - i + 1):
+                g = (n, " ".join(w[i : i + n]))
+                counts[g] += 1
+                records[g].add(k)
+        for t, n in (tf or {}).items():
+            counts[(1, t)] += n
+            records[(1, t)].add(k)
+    want = {g: (c, len(records[g])) for g, c in counts.items() if g[0] <= 4 or c > 1}
+    df = spark.createDataFrame(rows, SCHEMA)
+    for block, bits in ((1_000_000, 1 << 28), (100, 64)):  # a filter that lets all through, and blocks of a few records, change nothing
+        monkeypatch.setattr(T, "BLOCK_TOKENS", block)
+        got = {(r.n, r.term): (r.occurrences, r.records) for r in T.repeated_ngrams(T.query_records(df).repartition(3), bits=bits).collect()}
+        assert got == want
+    assert max(n for n, _ in want) > 20
+    assert T.repeated_ngrams(T.query_records(df.limit(0))).count() == 0
