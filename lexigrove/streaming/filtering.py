@@ -204,12 +204,10 @@ def day_pass(terms: DataFrame, queries: DataFrame, history: int = 5, gate: int =
     first = F.sum(F.col("qtf") / F.col("qlen") * F.log((F.col("tf") + mu * share) / (F.col("size") + mu))).alias("first")
     # The past of a day holds for days on which nothing of the term came, too: sums by day number over the days that there are.
     number = F.datediff(F.col("day").cast("date"), F.lit("1970-01-01").cast("date"))
-    here = totals.select("day", number.alias("n"))
-    before = totals.select(number.alias("m"), "tokens")
-    past = here.join(F.broadcast(before), (F.col("m") < F.col("n")) & (F.col("m") >= F.col("n") - history)).groupBy("day").agg(F.sum("tokens").alias("old_tokens"))
-    spread = days.select("term", "cf", F.explode(F.sequence(number + 1, number + history)).alias("n"))
-    old = spread.groupBy("term", "n").agg(F.sum("cf").alias("old_cf"))
-    rows = rows.withColumn("n", number).join(_small(past), "day").join(_small(old), ["term", "n"], "left").fillna(0, ["old_cf"])
+    ahead = F.explode(F.sequence(number + 1, number + history)).alias("n")
+    past = totals.select("tokens", ahead).groupBy("n").agg(F.sum("tokens").alias("old_tokens"))
+    old = days.select("term", "cf", ahead).groupBy("term", "n").agg(F.sum("cf").alias("old_cf"))
+    rows = rows.withColumn("n", number).join(_small(past), "n").join(_small(old), ["term", "n"], "left").fillna(0, ["old_cf"])
     count = F.when((F.col("old_cf") == 0) & (F.col("tf") == 0), 1).otherwise(F.col("old_cf"))
     second = F.sum(F.col("qtf") * (F.log(F.col("tf") + mu * count / F.col("old_tokens")) - F.log(F.col("size") + mu))).alias("score")
     pairs = rows.groupBy("target_id", "day", "stream_id").agg(first, second)
