@@ -84,6 +84,13 @@ def scope() -> Iterator[None]:
         _forget(since)
 
 
+def own_folder(spark: SparkSession) -> str:
+    """A new path in the shared folder, deleted at the end of the scope around it, or of the session."""
+    path = f"{shared_dir(spark).rstrip('/')}/lexigrove-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write df once to the shared folder and read it back. It is deleted at the end of the scope around it, or of the session.
 
@@ -91,8 +98,7 @@ def materialise(df: DataFrame) -> DataFrame:
     columnar and compressed, so that later passes prune columns.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/lexigrove-{uuid.uuid4().hex}"
-    _written.append((spark, path))
+    path = own_folder(spark)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
