@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexigrove.functions.analysis import simple_tokens
-from lexigrove.session import BROADCAST_ROWS, children, materialise, remove
+from lexigrove.session import BROADCAST_ROWS, children, materialise, remove, scope
 
 MU, K1, B = 2500.0, 1.75, 0.75
 
@@ -331,6 +331,10 @@ class DayFilter:
         return self.spark.createDataFrame([], schema) if last is None else self.spark.read.schema(schema).parquet(f"{self.folder}/{name}/batch={last}")
 
     def __call__(self, batch: DataFrame, number: int) -> None:
+        with scope():
+            self._batch(batch, number)
+
+    def _batch(self, batch: DataFrame, number: int) -> None:
         terms = materialise(item_terms(batch))
         totals, days = day_totals(terms), day_terms(terms, self.queries)
         old_totals = self._state("totals", "day string, docs long, tokens long", number)
