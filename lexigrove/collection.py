@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexigrove.functions import analysis, markup
-from lexigrove.session import exists, remove
+from lexigrove.session import exists, remove, settle
 
 FIELDS = "begin int, end int, number long, ordinal int, parent int"
 
@@ -141,6 +141,7 @@ class Collection:
     @staticmethod
     def open(spark: SparkSession, *paths: str) -> Collection:
         """One or several saved collections, as one. What can't be read raises; only tables that aren't there are taken as none."""
+        settle(spark)
         parts = []
         for p in paths:
             read = lambda n, p=p: spark.read.parquet(f"{p}/{n}")
@@ -165,6 +166,7 @@ class Collection:
 
 
 def no_priors(spark: SparkSession, kind: str) -> DataFrame:
+    settle(spark)
     return spark.createDataFrame([], f"name string, doc_id {kind}, logprob double")
 
 

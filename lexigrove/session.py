@@ -17,7 +17,13 @@ BROADCAST_ROWS = 200_000
 _written: list[tuple[SparkSession, str]] = []
 
 
+def settle(spark: SparkSession) -> None:
+    """Unions aren't joined partition by partition: their sides may be cut differently while a query runs (adaptive execution), and then fail to match."""
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    settle(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -98,6 +104,7 @@ def materialise(df: DataFrame) -> DataFrame:
     columnar and compressed, so that later passes prune columns.
     """
     spark = df.sparkSession
+    settle(spark)
     path = own_folder(spark)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -109,19 +116,22 @@ def broadcast_if_small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) ->
 
 
 def skew_safe_lookup(rows: DataFrame, table: DataFrame, keys: str | list[str], weight: str, total: int) -> DataFrame:
-    """rows joined with table (unique by keys), however often a key occurs in rows.
+    """rows joined with table (written, unique by keys), however often a key occurs in rows.
 
-    Keys whose weight (at least their number of rows) exceeds total / BROADCAST_ROWS, where total is the sum of weights, are
-    fewer than BROADCAST_ROWS: those are broadcast, so that no hot key is shuffled; the rest, none of which is hot, is shuffled.
+    A table of at most BROADCAST_ROWS is broadcast. Of a larger one, keys whose weight (about their number of rows) exceeds
+    total / BROADCAST_ROWS, where total is the sum of weights, are fewer than BROADCAST_ROWS: those are broadcast; the rest, none of which is hot,
+    is joined by a shuffle, in which rows of hot keys are dealt out by the task that they come from.
     """
     keys = [keys] if isinstance(keys, str) else keys
-    floor = max(1, total // BROADCAST_ROWS)
-    hot = F.broadcast(table.filter(F.col(weight) > floor).withColumn("is_hot", F.lit(True)))
-    marked = rows.join(hot, keys, "left")
     columns = [c for c in table.columns if c not in keys]
-    direct = marked.filter("is_hot").select(*rows.columns, *columns)
-    rest = marked.filter("is_hot is null").select(*rows.columns)
-    return direct.unionByName(rest.join(table.filter(F.col(weight) <= floor), keys).select(*rows.columns, *columns))
+    if table.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(table), keys).select(*rows.columns, *columns)
+    floor = max(1, total // BROADCAST_ROWS)
+    hot = F.broadcast(table.filter(F.col(weight) > floor).select(*keys, F.struct(*columns).alias("_hot")))
+    rest = table.filter(F.col(weight) <= floor).select(*keys, F.lit(0).alias("_deal"), F.struct(*columns).alias("_rest"))
+    dealt = rows.join(hot, keys, "left").withColumn("_deal", F.when(F.col("_hot").isNotNull(), F.spark_partition_id() + 1).otherwise(0))
+    out = dealt.join(rest, [*keys, "_deal"], "left").withColumn("_found", F.coalesce("_hot", "_rest")).filter("_found is not null")
+    return out.select(*rows.columns, *[F.col(f"_found.{c}").alias(c) for c in columns])
 
 
 def empty_like(spark: SparkSession, schema: str) -> DataFrame:
