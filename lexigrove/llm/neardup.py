@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexigrove.llm.words import TAG, WordHashes, mix, runs, words
-from lexigrove.session import materialise
+from lexigrove.session import discard, materialise
 
 #: Counters of a task that looks for frequent shingles (16 bytes each).
 COUNTERS = 1 << 20
@@ -31,6 +31,10 @@ SAMPLES, MOST_BANDS, RECALL = 72, 64, 0.995
 #: Texts whose shingles are counted, and shingles that are sampled, at a time.
 CHUNK_TEXTS, CHUNK_SHINGLES = 4000, 100_000
 
+#: Shingles in more than this share of the texts, and this many of them, are not sketched. A sketch has so many 4-bit samples of a text's other shingles, 16 in each long.
+HOT_SHARE, HOT_LEAST, SKETCH = 0.01, 20, 64
+_SKETCH = [f"s{k}" for k in range(SKETCH // 16)]
+
 _SEED = 0x5EED5EED5EED5EED
 
 
@@ -210,8 +214,21 @@ def banding(least: float) -> np.ndarray:
     return np.concatenate(rounds)[:bands]
 
 
-def signatures(reps: DataFrame, n: int, weights) -> DataFrame:
-    """(t, size, sig, rest): distinct shingles of each text, the low bytes of its samples, and their other bytes."""
+def sketches(h: np.ndarray, text: np.ndarray, texts: int) -> np.ndarray:
+    """For each text SKETCH numbers of 4 bits (as longs, a row each), of which two texts share a share equal, on average, to the plain Jaccard similarity
+    of the given shingles, and besides a 16th of the rest by chance. 0 for a text without any."""
+    some = np.flatnonzero(np.bincount(text, minlength=texts))
+    least = np.zeros((texts, SKETCH), np.uint8)
+    if len(some):
+        starts = np.searchsorted(text, some)
+        for k in range(0, SKETCH, 4):
+            x = mix(h ^ np.uint64((_SEED * (2 * k + 3)) & 0xFFFFFFFFFFFFFFFF)).view(np.uint16).reshape(-1, 4)
+            least[some, k : k + 4] = np.minimum.reduceat(x, starts, axis=0) & 15
+    return (least[:, ::2] | (least[:, 1::2] << 4)).view("<i8")
+
+
+def signatures(reps: DataFrame, n: int, weights, hot) -> DataFrame:
+    """(t, size, hot, s0, s1, ..., sig): distinct shingles of each text, how many of them are among the sorted `hot`, the sketch of the others, and the samples."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -226,35 +243,56 @@ def signatures(reps: DataFrame, n: int, weights) -> DataFrame:
                 h, text, _ = _distinct(*_shingles(norms[at:end], hashes, n))
                 starts = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
                 s = weighted_samples(h, weigh(weights.value, h), starts, SAMPLES)
-                parts = s.astype("<u4").view(np.uint8).reshape(*s.shape, 4)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        ts.slice(at, end - at),
-                        pa.array(np.diff(np.r_[starts, len(h)]).astype(np.int32)),
-                        pa.array([row.tobytes() for row in parts[:, :, 0]], pa.binary()),
-                        pa.array([row.tobytes() for row in parts[:, :, 1:]], pa.binary()),
-                    ],
-                    ["t", "size", "sig", "rest"],
-                )
+                rare = ~_among(hot.value, h)
+                sketch = sketches(h[rare], text[rare], end - at)
+                columns = [np.diff(np.r_[starts, len(h)]).astype(np.int32), np.bincount(text[~rare], minlength=end - at).astype(np.int32), *sketch.T]
+                yield pa.RecordBatch.from_arrays([ts.slice(at, end - at), *[pa.array(np.ascontiguousarray(c)) for c in columns], pa.array([row.tobytes() for row in s.astype("<u4")], pa.binary())], ["t", "size", "hot", *_SKETCH, "sig"])
                 at = end
 
-    return reps.select("t", "norm").mapInArrow(work, "t long, size int, sig binary, rest binary")
+    return reps.select("t", "norm").mapInArrow(work, "t long, size int, hot int, " + "".join(f"{c} long, " for c in _SKETCH) + "sig binary")
+
+
+def _among(keys: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which of the numbers are among the sorted keys."""
+    return keys[np.minimum(np.searchsorted(keys, h), len(keys) - 1)] == h if len(keys) else np.zeros(len(h), bool)
 
 
 def band_rows(sigs: DataFrame, bands: np.ndarray) -> DataFrame:
-    """(t, size, key): a row for each text and band; keys of two bands are unlike."""
+    """(t, size, hot, s0, s1, ..., key): a row for each text and band; keys of two bands are unlike."""
+    kept = ["t", "size", "hot", *_SKETCH]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sig, rest = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, SAMPLES, width) for c, width in ((2, 1), (3, 3)))
-            s = np.ascontiguousarray(np.concatenate([sig, rest], axis=2)).view("<u4")[:, :, 0].astype(np.uint64)
+            s = np.frombuffer(b"".join(b.column(len(kept)).to_pylist()), "<u4").reshape(-1, SAMPLES).astype(np.uint64)
             keys = np.tile(np.arange(1, len(bands) + 1, dtype=np.uint64), (len(s), 1))
             for column in bands.T:
                 keys = mix(keys * np.uint64(31) + s[:, column])
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, len(bands), dtype=np.int32)), pa.array(keys.view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists], ["t", "size", "keys"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], lists], [*kept, "keys"])
+
+    out = sigs.select(*kept, "sig").mapInArrow(work, ", ".join(f"{c} {kind}" for c, kind in sigs.select(*kept).dtypes) + ", keys array<long>")
+    return out.select(*kept, F.explode("keys").alias("key"))
 
-    return sigs.select("t", "size", "sig", "rest").mapInArrow(work, "t long, size int, keys array<long>").select("t", "size", F.explode("keys").alias("key"))
+
+def alike(x: str, y: str, least: float):
+    """Whether two texts (prefixes of their columns size, hot and sketch) may be as similar as `least`, told within the join by key, so that of the
+    pairs of a bucket, which grow with its square, only those are written that go on to be verified.
+
+    Of texts of that similarity least / (1 + least) of both sizes are common at least, at most the lesser hot of these are hot, and the rest is
+    a part of the other shingles that their sketches show: these agree as often as that part makes them but for four standard deviations.
+    """
+    c = lambda side, name: F.col(f"{side}.{name}")
+    both = c(x, "size") + c(y, "size")
+    common = F.greatest(F.lit(0.0), least / (1 + least) * both - F.least(c(x, "hot"), c(y, "hot")))
+    share = common / F.greatest(F.lit(1.0), both - c(x, "hot") - c(y, "hot") - common)
+    agree = F.least(F.lit(1.0), share + (1 - share) / 16)
+    unlike = F.lit(0)
+    for name in _SKETCH:
+        bits = c(x, name).bitwiseXOR(c(y, name))
+        bits = bits.bitwiseOR(F.shiftrightunsigned(bits, 2))
+        unlike += F.bit_count(bits.bitwiseOR(F.shiftrightunsigned(bits, 1)).bitwiseAND(F.lit(0x1111111111111111)))
+    sizes = F.least(c(x, "size"), c(y, "size")) >= least * F.greatest(c(x, "size"), c(y, "size"))
+    return sizes & (SKETCH - unlike >= SKETCH * agree - 4 * F.sqrt(SKETCH * agree * (1 - agree)))
 
 
 def verified(pairs: DataFrame, n: int, weights, least: float) -> DataFrame:
@@ -308,42 +346,27 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, n: int = 5, lea
 
     Two texts are linked if the sets of their runs of n words (tags taken as blanks) have a Jaccard similarity
     of at least `least`. Texts with equal words share one fp and are linked to others once; of an id with unlike
-    texts the greatest fp holds. Candidates are texts with an equal band of weighted samples; of these, pairs whose samples
-    agree too rarely for the weighted bound are set aside, and the rest is verified on the whole texts by plain
+    texts the greatest fp holds. Candidates are texts with an equal band of weighted samples; of these, pairs whose sketches
+    agree too rarely for that limit are set aside within the join, and the rest is verified on the whole texts by plain
     Jaccard. NULL ids and texts and texts under n words are in no row; an empty table gives none.
     """
     spark = docs.sparkSession
     texts = materialise(normal_texts(docs, id_col, text_col, n))
-    members = texts.groupBy("id").agg(F.max("fp").alias("fp"))
+    members = materialise(texts.groupBy("id").agg(F.max("fp").alias("fp")))
     reps = materialise(texts.groupBy("fp").agg(F.first("n").alias("n"), F.first("norm").alias("norm")).withColumn("t", F.monotonically_increasing_id()))  # numbers take half the space of fps
+    discard(texts)
     total, mean = reps.agg(F.count("*"), F.coalesce(F.avg("n"), F.lit(0.0))).first()
     share = max(COMMON_SHARE, 4 * mean / COUNTERS)
-    weights = spark.sparkContext.broadcast(weight_table(frequent_shingles(reps, n, total, share) if share < 1 else {}, total, share))
-    sigs = materialise(signatures(reps, n, weights))
-    rows = band_rows(sigs, banding(least))
-    a, b = rows.select("key", F.col("t").alias("a"), F.col("size").alias("sa")), rows.select("key", F.col("t").alias("b"), F.col("size").alias("sb"))
-    pairs = a.join(b, "key").filter((F.col("a") < F.col("b")) & (F.least("sa", "sb") >= F.lit(least) * F.greatest("sa", "sb"))).select("a", "b").distinct()
-    near = pairs.join(sigs.select(F.col("t").alias("a"), F.col("sig").alias("ga")), "a").join(sigs.select(F.col("t").alias("b"), F.col("sig").alias("gb")), "b")
-    near = near.mapInArrow(_agreeing(weighted_bound(least)), "a long, b long")
-    near = near.join(reps.select(F.col("t").alias("a"), F.col("fp").alias("fa"), F.col("norm").alias("ta")), "a").join(reps.select(F.col("t").alias("b"), F.col("fp").alias("fb"), F.col("norm").alias("tb")), "b")
+    frequent = frequent_shingles(reps, n, total, share) if share < 1 else {}
+    weights = spark.sparkContext.broadcast(weight_table(frequent, total, share))
+    hot = spark.sparkContext.broadcast(np.sort(np.array([h for h, df in frequent.items() if df > max(HOT_SHARE * total, HOT_LEAST)], np.int64).view(np.uint64)))
+    rows = band_rows(materialise(signatures(reps, n, weights, hot)), banding(least))
+    pairs = rows.alias("x").join(rows.alias("y"), F.col("x.key") == F.col("y.key")).filter((F.col("x.t") < F.col("y.t")) & alike("x", "y", least)).select(F.col("x.t").alias("a"), F.col("y.t").alias("b")).distinct()
+    near = pairs.join(reps.select(F.col("t").alias("a"), F.col("fp").alias("fa"), F.col("norm").alias("ta")), "a").join(reps.select(F.col("t").alias("b"), F.col("fp").alias("fb"), F.col("norm").alias("tb")), "b")
     near = near.select(F.least("fa", "fb").alias("a"), F.greatest("fa", "fb").alias("b"), "ta", "tb")
     return members, verified(near, n, weights, least)
 
 
-def _agreeing(bound: float):
-    """Pairs whose samples agree as often as texts of similarity `bound` do but for four standard deviations."""
-    k = SAMPLES
-    floor = max(0.0, bound - 4 * (bound * (1 - bound) / k) ** 0.5) * k
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ga, gb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, k) for c in (batch.schema.get_field_index("ga"), batch.schema.get_field_index("gb")))
-            ok = pa.array((ga == gb).sum(axis=1) >= floor)
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)).filter(ok) for c in ("a", "b")], ["a", "b"])
-
-    return work
-
-
 def classes(links: DataFrame, rounds: int = 50) -> DataFrame:
     """(fp, class): the least fp that each linked text reaches; by alternating large and small stars, each round written."""
     edges = materialise(links.select("a", "b"))

@@ -157,3 +157,31 @@ def test_bands_follow_the_limit(least):
     bands, s = N.banding(least), N.weighted_bound(least)
     equal = np.random.default_rng(7).random((20_000, N.SAMPLES)) < s
     assert equal[:, bands].all(axis=2).any(axis=1).mean() > 0.99
+
+
+def test_texts_alike_by_furniture_are_not_fetched(spark, monkeypatch):
+    """Unlike texts that share two fifths of their shingles with all others meet in bands, but the join by band sets their pairs aside; no true pair goes with them."""
+    rng = random.Random(8)
+    menu, rows = [f"m{i}" for i in range(80)], []
+    for k in range(150):
+        body = [f"t{k}w{i}" for i in range(120)]
+        rows.append((f"a{k:03d}", " ".join(menu + body)))
+        if k % 10 == 0:
+            for i in rng.sample(range(120), 8):
+                body[i] = f"e{k}x{i}"
+            rows.append((f"b{k:03d}", " ".join(menu + body)))
+    fetched, check = [], N.verified
+    monkeypatch.setattr(N, "verified", lambda pairs, *rest: (fetched.append(pairs.count()), check(pairs, *rest))[1])
+    members, links = N.near_duplicates(spark.createDataFrame(rows, "docno string, text string"), "docno", "text", 3, 0.6)
+    want = brute(rows, 3, 0.6)
+    assert len(want) == 15 and {(r.a, r.b) for r in N.found_pairs(members, links).collect()} == want
+    assert fetched[0] <= 2 * len(want)
+
+
+def test_sketches_tell_plain_similarity():
+    rng = np.random.default_rng(9)
+    h = rng.integers(0, 2**63, 900, dtype=np.uint64)
+    s = N.sketches(np.r_[h[:600], h[300:]], np.repeat([0, 2], 600), 3).view(np.uint8)
+    nibbles = np.stack([s & 15, s >> 4], axis=2).reshape(3, -1)
+    assert nibbles.shape[1] == N.SKETCH and not nibbles[1].any()
+    assert abs((nibbles[0] == nibbles[2]).mean() - (1 / 3 + 2 / 3 / 16)) < 4 * (0.375 * 0.625 / N.SKETCH) ** 0.5
