@@ -1,8 +1,12 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
+from lexigrove.catalog import core
 from lexigrove.streaming import filtering as Z
 
+SF = "/root/testdata/sf0.001"
 ITEMS = [(f"s{d}{i}", f"2011-10-0{d}", t) for d in (1, 2, 3) for i, t in enumerate(["red fox runs fast", "blue fox and red hen", "nothing much here", "hen house news"])]
 
 
@@ -101,3 +105,40 @@ def test_event_time_windows(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r.n for r in spark.table("daily").collect()) == [1, 1, 1]
+
+
+def _scores(spark, topics, models=Z.MODELS, size=None):
+    items = spark.createDataFrame(ITEMS + [("late", "2011-10-02", "hen hen fox " * 9), ("odd", None, "red hen"), ("nul", "2011-10-03", None), ("short", "2011-10-03", "a b")], "stream_id string, day string, text string")
+    q = Z.query_terms(topics)
+    rows, terms = Z.item_rows(items, q).cache(), Z.item_terms(items)
+    statistics = Z.running_terms(Z.day_terms(terms, q))
+    return Z.scored_rows(rows, q, Z.running_totals(Z.row_totals(rows)), statistics, models, size), Z.scored(terms, q, Z.running_totals(Z.day_totals(terms)), statistics, models)
+
+
+def _plain(df):
+    return sorted((r.model, r.target_id, r.stream_id, r.day, round(r.score, 9)) for r in df.collect())
+
+
+def test_pool_of_rows_is_that_of_joins(spark, topics, monkeypatch):
+    for models in (Z.MODELS, ["bm25"], ["lm", "kl"]):
+        rows, joined = _scores(spark, topics, models, size=2)
+        assert _plain(Z.pool(rows, 2)) == _plain(Z.pool(joined, 2))
+    monkeypatch.setattr(Z.within, "MOST_ROWS", 2)  # profiles too many for a task
+    rows, joined = _scores(spark, topics)
+    assert _plain(rows) == _plain(joined) != []
+
+
+def test_tasks_hold_back_what_cant_be_best(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(Z.within, "HELD_ROWS", 100)
+    rng, best = np.random.default_rng(1), Z.within._Best(3, 5)
+    group, score, out = rng.integers(0, 5, 4000), np.round(rng.normal(size=4000), 2), []
+    for at in range(0, 4000, 50):
+        out += best.add(group[at : at + 50], score[at : at + 50], pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + 50))], ["i"]))
+    kept = np.concatenate([x.column(0).to_numpy() for x in [*out, *best.rest()]])
+    assert len(kept) == len(set(kept)) < 200
+    for g in range(5):
+        of = np.flatnonzero(group == g)
+        assert set(of[score[of] >= np.sort(score[of])[-3]]) <= set(kept)  # those tied with the last, too
