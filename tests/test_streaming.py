@@ -142,3 +142,13 @@ def test_tasks_hold_back_what_cant_be_best(monkeypatch):
     for g in range(5):
         of = np.flatnonzero(group == g)
         assert set(of[score[of] >= np.sort(score[of])[-3]]) <= set(kept)  # those tied with the last, too
+
+
+@pytest.mark.parametrize("model", ["kl"])
+def test_one_model_scores_where_items_are(spark, topics, model):
+    rows, joined = _scores(spark, topics, [model])
+    assert _plain(rows) == _plain(joined) != []
+    if not os.path.isdir(SF):
+        return
+    plan = core.QUERIES[f"stream_{model}"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
