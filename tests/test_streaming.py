@@ -144,7 +144,7 @@ def test_tasks_hold_back_what_cant_be_best(monkeypatch):
         assert set(of[score[of] >= np.sort(score[of])[-3]]) <= set(kept)  # those tied with the last, too
 
 
-@pytest.mark.parametrize("model", ["kl", "lm_ext"])
+@pytest.mark.parametrize("model", ["kl", "lm_ext", "bm25_ext"])
 def test_one_model_scores_where_items_are(spark, topics, model):
     rows, joined = _scores(spark, topics, [model])
     assert _plain(rows) == _plain(joined) != []
