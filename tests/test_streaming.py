@@ -152,3 +152,11 @@ def test_one_model_scores_where_items_are(spark, topics, model):
         return
     plan = core.QUERIES[f"stream_{model}"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_warm_up_days_are_not_scored(spark, topics, monkeypatch):
+    items = spark.createDataFrame(ITEMS, "stream_id string, day string, text string")
+    all_days, seen = {tuple(r) for r in Z.filter_batch(items, topics).collect()}, []
+    real = Z.within.row_scores
+    monkeypatch.setattr(Z.within, "row_scores", lambda rows, *a: seen.append({r.day for r in rows.collect()}) or real(rows, *a))
+    assert {tuple(r) for r in Z.filter_batch(items, topics, warm_up=2).collect()} == {r for r in all_days if "2011-10-03" in r} and seen == [{"2011-10-03"}]
